@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, secret_scan
+from . import byte_bpe, decontaminate, exact_dedup, secret_scan, warc
 from .common import documents
 
 
@@ -73,11 +73,32 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``pages`` as WARC files, read them back, report every record."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM k
+"""
+
+
 QUERIES = {
+    "op10_warc": op10_warc,
     "op2_decontaminate": op2_decontaminate,
     "op6_secret_scan": op6_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLES = {"op2_decontaminate": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLES = {"op10_warc": OP10_SQL, "op2_decontaminate": OP2_SQL, "op5_exact_dedup": OP5_SQL}
