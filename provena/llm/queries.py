@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, secret_scan, warc
+from . import byte_bpe, decontaminate, exact_dedup, secret_scan, substring_dedup, warc
 from .common import documents
 
 
@@ -93,7 +93,13 @@ FROM k
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` removed as repeats of an earlier window."""
+    return substring_dedup.digest(substring_dedup.substring_dedup(documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_warc": op10_warc,
     "op2_decontaminate": op2_decontaminate,
     "op6_secret_scan": op6_secret_scan,
