@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, secret_scan, substring_dedup, warc
+from . import byte_bpe, decontaminate, exact_dedup, minhash_dedup, secret_scan, substring_dedup, warc
 from .common import documents
 
 
@@ -98,7 +98,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(documents(spark, sf_dir)))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``documents``."""
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op4_minhash": op4_minhash,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_warc": op10_warc,
     "op2_decontaminate": op2_decontaminate,
