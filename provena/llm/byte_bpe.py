@@ -2,11 +2,13 @@
 
 1. Tokenise: texts are cut into pre-tokens in blocks of bounded size.  A block
    keeps its distinct pre-tokens once, and the pre-token at every position as an
-   index into that list, so positions never travel as rows.
-2. Distinct words: the blocks' lists are exploded and reduced to the distinct
-   words of the corpus; each is encoded exactly once.
-3. The ids are joined back by word, meet their block again by block number, and
-   the texts are reassembled by position.
+   index into that list; it goes to a table bucketed by block, so positions
+   never cross a shuffle.
+2. Distinct words: the blocks' words are dealt by word hash into bins, packed;
+   a bin meets every occurrence of its words and encodes each distinct word once.
+3. The ids are joined back to the words of each block, meet their block again
+   by block number, and the texts are reassembled by position.
+A word that is in a third of all texts costs one entry a block.
 
 Decoding joins token ids with the token-byte table, whose size is that of the
 vocabulary file (its rows are checked against MAX_VOCABULARY) and so can be
@@ -20,20 +22,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, map_arrow, materialise
+from .common import blocks_of, bucketed, map_arrow, pack, unpack
 
 MAX_VOCABULARY = 1 << 20
 BLOCK_CHARS = 16 << 20
 BLOCK_ROWS = 1 << 16
+#: Entries (a distinct word of one block) that one bin holds about.
+WORDS_PER_BIN = 1 << 18
 
 _ENCODERS: dict[str, object] = {}
 
@@ -93,20 +99,58 @@ def _tokenise(pattern: str):
                     pa.array([lengths], pa.list_(pa.int32())),
                     pa.array([pack(positions.tobytes())], pa.binary()),
                     pa.array([list(index)], pa.list_(pa.string())),
+                    pa.array([len(index)], pa.int64()),
                 ],
-                ["block", "keys", "lengths", "positions", "words"],
+                ["block", "keys", "lengths", "positions", "words", "n"],
             )
 
     return run
 
 
-def _encode_words(vocab: Broadcast):
+def _deal_words(bins: int):
+    """A block's words, packed by bin: their indexes, byte lengths and bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _encoder(vocab)._core_bpe.encode_single_piece
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [np.asarray(piece(w.encode()), np.uint32).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+            for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = [w.encode() for w in words]
+                home = np.fromiter((xxhash.xxh64_intdigest(w) % bins for w in data), np.int64, len(data))
+                order = np.argsort(home, kind="stable")
+                cuts = np.searchsorted(home[order], np.arange(bins + 1))
+                rows = []
+                for i in range(bins):
+                    own = order[cuts[i] : cuts[i + 1]]
+                    if len(own):
+                        held = [data[k] for k in own.tolist()]
+                        rows.append((block, i, pack(np.diff(own, prepend=0).astype(np.uint32)), pack(np.fromiter(map(len, held), np.uint32, len(held))), squeeze(b"".join(held))))
+                kinds = [("block", pa.int64()), ("bin", pa.int32()), ("lids", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+    return run
+
+
+def _encode_bin(vocab: Broadcast):
+    """Each distinct word of a bin is encoded once; every block gets the ids of its words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        piece = _encoder(vocab)._core_bpe.encode_single_piece
+        known: dict[bytes, list[int]] = {}
+        counts, ids = [], []
+        for sizes, packed in zip(table.column("sizes").to_pylist(), table.column("bytes").to_pylist(), strict=True):
+            data = zstandard.ZstdDecompressor().decompress(packed)
+            ends = np.cumsum(unpack(sizes, np.uint32)).tolist()
+            own, start = [], 0
+            for end in ends:
+                word = data[start:end]
+                start = end
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = piece(word)
+                own.append(found)
+            counts.append(pack(np.fromiter(map(len, own), np.uint32, len(own))))
+            ids.append(pack(np.fromiter(itertools.chain.from_iterable(own), np.uint32)))
+        return pa.table([table.column("block"), table.column("lids"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["home", "lids", "counts", "ids"])
 
     return run
 
@@ -120,13 +164,14 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _reassemble(key_type: pa.DataType):
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        lid = words.column("lid").to_numpy()
-        blobs = words.column("ids").combine_chunks()
-        blobs = blobs.chunk(0) if isinstance(blobs, pa.ChunkedArray) else blobs
-        off = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // 4
-        flat = np.frombuffer(blobs.buffers()[2] or b"", np.uint32) if len(blobs) else np.zeros(0, np.uint32)
+        lids = [np.cumsum(unpack(x, np.uint32), dtype=np.int64) for x in words.column("lids").to_pylist()]
+        counts = [unpack(x, np.uint32) for x in words.column("counts").to_pylist()]
+        flats = [unpack(x, np.uint32) for x in words.column("ids").to_pylist()]
+        lid = np.concatenate(lids) if lids else np.zeros(0, np.int64)
+        count = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+        flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
         start, length = np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int64)
-        start[lid], length[lid] = off[:-1], np.diff(off)
+        start[lid], length[lid] = np.cumsum(count) - count, count
         keys, ids = [], []
         for row in block.to_pylist():
             positions = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["positions"]), np.uint32)
@@ -141,21 +186,20 @@ def _reassemble(key_type: pa.DataType):
     return run
 
 
-def encode(docs: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "text", words_per_bin: int = WORDS_PER_BIN) -> DataFrame:
     """One row per input row: ``key`` and ``ids``, the token ids as packed little-endian uint32."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    blocks = materialise(
-        map_arrow(rows, _tokenise(vocab.value["pattern"]), f"block bigint, keys array<{kind}>, lengths array<int>, positions binary, words array<string>"),
-        "bpe-blocks",
-    )
-    words = blocks.select(F.col("block").alias("home"), F.posexplode("words").alias("lid", "word"))
-    ids = map_arrow(words.select("word").distinct(), _encode_words(vocab), "word string, ids binary")
-    back = words.join(ids, "word").select("home", "lid", "ids")
+    spark = docs.sparkSession
+    made = map_arrow(rows, _tokenise(vocab.value["pattern"]), f"block bigint, keys array<{kind}>, lengths array<int>, positions binary, words array<string>, n bigint")
+    blocks = spark.table(bucketed(made, "block"))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    bins = max(12, -(-int(total) // words_per_bin))
+    dealt = map_arrow(blocks.select("block", "words"), _deal_words(bins), "block bigint, bin int, lids binary, sizes binary, bytes binary")
+    back = dealt.groupBy("bin").applyInArrow(_encode_bin(vocab), "home bigint, lids binary, counts binary, ids binary")
     key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return (
-        blocks.drop("words").groupBy("block").cogroup(back.groupBy("home")).applyInArrow(_reassemble(key_type), f"key {kind}, ids binary").withColumnRenamed("key", key)
-    )
+    texts = blocks.select("block", "keys", "lengths", "positions").groupBy("block")
+    return texts.cogroup(back.groupBy("home")).applyInArrow(_reassemble(key_type), f"key {kind}, ids binary").withColumnRenamed("key", key)
 
 
 def decode_ids(ids: bytes, table: list[bytes]) -> bytes:

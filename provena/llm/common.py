@@ -11,7 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,23 @@ def materialise(df: DataFrame, tag: str, *partition_cols: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, compression: str = "zstd") -> str:
+    """Name of a table in the shared folder bucketed by ``key``: joins on the key leave its rows where they are."""
+    spark = df.sparkSession
+    name = f"provena_{uuid.uuid4().hex}"
+    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").option("compression", compression).option("path", fresh_dir(spark, "table")).bucketBy(buckets, key).saveAsTable(name)
+    return name
+
+
+def pack(a: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(a.tobytes())
+
+
+def unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by materialise() once nothing reads it any more."""
     spark = df.sparkSession

@@ -26,7 +26,6 @@ the table; further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, fresh_dir, map_arrow, materialise
+from .common import blocks_of, bucketed, map_arrow, materialise, pack, unpack
 from .words import U, chunks, doc_words, window_hash
 
 WINDOW = 20
@@ -49,14 +48,6 @@ SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
 NULL_KEY = -(1 << 63)
 
 
-def pack(a: np.ndarray, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(a.tobytes())
-
-
-def unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
-
 def pack_sorted(a: np.ndarray) -> bytes:
     """Sorted uint64 values: differences, split into byte planes, compressed."""
     d = np.diff(a, prepend=U(0))
@@ -149,12 +140,9 @@ class Blocks:
     schema = "block bigint, words bigint, keys array<bigint>, sizes array<int>, text binary"
 
     def __init__(self, docs: DataFrame, key: str, text: str):
-        spark = self.spark = docs.sparkSession
+        self.spark = docs.sparkSession
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-        self.name = f"provena_blocks_{uuid.uuid4().hex}"
-        made = map_arrow(rows, _make_blocks, self.schema)
-        buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        made.write.format("parquet").option("compression", "none").option("path", fresh_dir(spark, "blocks")).bucketBy(buckets, "block").saveAsTable(self.name)
+        self.name = bucketed(map_arrow(rows, _make_blocks, self.schema), "block", "none")
 
     @property
     def table(self) -> DataFrame:
