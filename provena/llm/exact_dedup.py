@@ -69,11 +69,12 @@ def exact_dedup(
         .select("_id", "_chars", "_len", "_prefix", F.unhex(F.sha2("_norm", 256)).alias("_full")),
         "survivors",
     )
-    best = (
+    best = materialise(
         survivors.groupBy("_len", "_full")
         .agg(F.min_by("_id", F.struct((-F.col("_chars")).alias("a"), F.col("_id"))).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-    )
+        .where("group_size > 1"),
+        "groups",
+    )  # a table of its own, so that the join below is one whose large groups Spark can split
     at = ["_id", "_chars", "_len", "_prefix"]
     grouped = survivors.join(best, ["_len", "_full"]).select(*at, "keep_id", "group_size").dropDuplicates(at)
     return first.join(grouped, at, "left").select(
