@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, minhash_dedup, quality, secret_scan, substring_dedup, toxicity, warc
+from . import byte_bpe, decontaminate, exact_dedup, minhash_dedup, pitman_yor, quality, secret_scan, substring_dedup, toxicity, warc
 from .common import documents
 from .labelled import held_out
 
@@ -118,7 +118,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of ``documents``."""
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_pitman_yor": op3_pitman_yor,
     "op1_quality": op1_quality,
     "op7_toxicity": op7_toxicity,
     "op4_minhash": op4_minhash,
