@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS_CLASS = r"[\x20\x09-\x0D]"
 #: The characters of that class, for translate().
@@ -64,6 +65,37 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def mapped_column(df: DataFrame, source: str, name: str, kind: str, fn: Callable[[list], pa.Array]) -> DataFrame:
+    """``df`` with one more column, made from the values of ``source`` batch by batch; all rows and columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fn(batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], name])
+
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields] + [T.StructField(name, T._parse_datatype_string(kind), True)])
+    bound_batches(df.sparkSession)
+    return df.select("*", F.col(source).alias("__source")).mapInArrow(run, schema)
+
+
+FILTER_BITS = 20
+
+
+def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is not among ``dropped``; rows with a null key stay.
+
+    A bitmap of 2**FILTER_BITS buckets of the dropped keys, a fixed size, is
+    broadcast; only rows that it hits are shuffled for the exact anti-join.
+    """
+    spot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << FILTER_BITS))
+    gone = materialise(dropped.select(F.col(key)).where(F.col(key).isNotNull()).distinct(), "dropped")
+    bitmap = gone.select(spot.alias("__spot")).distinct().withColumn("__hit", F.lit(True))
+    marked = df.withColumn("__spot", spot).join(F.broadcast(bitmap), "__spot", "left")
+    clear = marked.where(F.col("__hit").isNull() | F.col(key).isNull()).select(*df.columns)
+    maybe = marked.where(F.col("__hit") & F.col(key).isNotNull()).select(*df.columns)
+    return clear.unionByName(maybe.join(gone, key, "left_anti").select(*df.columns))
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by materialise() once nothing reads it any more."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, map_arrow
+from .common import lower_az, map_arrow, mapped_column
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -96,14 +96,20 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
+def _automaton(name: str, shared, window: int):
+    """The automaton of a worker process, built once from the broadcast items."""
+    if name not in _AUTOMATA:
+        if len(_AUTOMATA) >= 4:
+            _AUTOMATA.clear()
+        _AUTOMATA[name] = build_automaton(shared.value, window)
+    return _AUTOMATA[name]
+
+
 def _scanner(shared, window: int):
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _AUTOMATA:
-            _AUTOMATA.clear()
-            _AUTOMATA[name] = build_automaton(shared.value, window)
-        automaton = _AUTOMATA[name]
+        automaton = _automaton(name, shared, window)
         for batch in batches:
             n, ranges, spans, items = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -172,6 +178,20 @@ def decontaminate(
     return out.withColumnRenamed("_key", key)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_pattern_chars: int = MAX_PATTERN_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs; no row is shuffled."""
+    out = docs
+    for group in item_groups(benchmark, item, item_text, max_pattern_chars):
+        shared, name = docs.sparkSession.sparkContext.broadcast(group), uuid.uuid4().hex
+
+        def hits(texts: list, shared=shared, name=name) -> pa.Array:
+            automaton = _automaton(name, shared, window)
+            return pa.array([bool(scan(t, automaton)[1]) for t in texts], pa.bool_())
+
+        out = mapped_column(out, text, "__hit", "boolean", hits).where("not __hit").select(*docs.columns)
+    return out
+
+
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return found.select(

@@ -9,8 +9,10 @@
   agree in enough minima are confirmed on the full sets of shingle hashes.
 * Members that a bucket's smallest member does not link are not given up: the
   buckets that still hold several components are dealt in chunks, chunks meet
-  in tasks, and inside a task signatures are compared; only pairs of different
-  components that agree in enough minima are confirmed as well.
+  in tasks, and inside a task signatures are compared; pairs of different
+  components that agree in enough minima are confirmed as well, each document's
+  likeliest partners first, so that most components have met before the last
+  round, which tries every pair that is left.
 * Components of confirmed links by alternating large-star and small-star.
 
 At a similarity of 0.85 a pair misses all of 24 bands of 4 rows with
@@ -40,7 +42,9 @@ NUMERATOR, DENOMINATOR = 85, 100
 BANDS, ROWS = 24, 4
 #: Least number of equal minima for a pair that its bucket's smallest member did not settle.
 MIN_AGREE = 60
-CHUNK = 512
+CHUNK = 1024
+#: Partners that a document outside its bucket's largest component tries in successive rounds; None: all that are left.
+PARTNERS = (1, 6, None)
 FILTER_BITS = 20
 SEED = 20_240_501
 
@@ -181,29 +185,45 @@ def _agree(min_agree: int):
     return run
 
 
-def _cross_pairs(minima: int, min_agree: int, numerator: int, denominator: int):
-    """Pairs of different components in a bucket that agree in enough minima; chunk i meets chunk j."""
+def _cross_pairs(minima: int, min_agree: int, numerator: int, denominator: int, most: int | None):
+    """Pairs of different components in a bucket that agree in enough minima; chunk i meets chunk j.
+
+    With ``most``, only so many likeliest partners of each document that is
+    outside the chunks' largest component; without, all of them.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, part = (table.column(c).to_numpy() for c in ("id", "component", "part"))
-        size = table.column("n").to_numpy()
+        ids, comp, part, size = (table.column(c).to_numpy() for c in ("id", "component", "part", "n"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, minima)
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        names, n = np.unique(comp, return_counts=True)
+        largest = names[n.argmax()]
         a, b = [], []
-        for u in left.tolist():
-            near = right[(comp[right] != comp[u]) & (denominator * np.minimum(size[right], size[u]) >= numerator * np.maximum(size[right], size[u]))]
-            if i == j:
-                near = near[ids[near] > ids[u]]
-            if len(near):
-                hit = near[(sig[near] == sig[u]).sum(axis=1) >= min_agree]
-                a += [min(ids[u], v) for v in ids[hit].tolist()]
-                b += [max(ids[u], v) for v in ids[hit].tolist()]
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for one, other in {(i, j), (j, i)}:
+            right = np.flatnonzero(part == other)
+            for u in np.flatnonzero((part == one) & (comp != largest)).tolist():
+                near = right[(comp[right] != comp[u]) & (denominator * np.minimum(size[right], size[u]) >= numerator * np.maximum(size[right], size[u]))]
+                agree = (sig[near] == sig[u]).sum(axis=1)
+                hit, agree = near[agree >= min_agree], agree[agree >= min_agree]
+                if most is not None and len(hit) > most:
+                    hit = hit[np.lexsort((ids[hit], -agree))[:most]]
+                a += np.minimum(ids[hit], ids[u]).tolist()
+                b += np.maximum(ids[hit], ids[u]).tolist()
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).group_by(["a", "b"]).aggregate([])
 
     return run
 
 
+def merged(found: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """Components after further links: those of the graph whose nodes are the components so far."""
+    side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+    joined = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("c_a", "a").alias("x"), F.coalesce("c_b", "b").alias("y"))
+    joined = materialise(joined, f"{tag}-contracted")
+    nodes = found.unionByName(joined.select(F.col("a").alias("id"), F.col("x").alias("component"))).unionByName(joined.select(F.col("b").alias("id"), F.col("y").alias("component"))).distinct()
+    over = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("over"))
+    return materialise(nodes.join(over, "component", "left").select("id", F.coalesce("over", "component").alias("component")), f"{tag}-components")
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, component) of every node of the edges (a, b): alternating large-star and small-star.
 
@@ -263,29 +283,31 @@ def near_duplicates(
 
     # One pair a member: with the smallest first member of its buckets.
     pairs = members.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    links = confirm(pairs, "first")
-    found = components(links)
+    found = materialise(components(confirm(pairs, "first")), "components")
     # Then the first members of its other buckets, unless they are in one component by now.
     side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
     stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    stars = stars.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    stars = materialise(stars.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "stars")
+    tried = pairs.unionByName(stars)
     more = confirm(stars, "stars")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        found = components(links)
-    # Then buckets that still hold several components, chunk against chunk.
-    labelled = members.join(found, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2")
-    several = materialise(several.select("bucket", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "open-buckets")
-    if not several.isEmpty():
+        found = merged(found, more, "stars")
+    # Then buckets that still hold several components, chunk against chunk: likeliest partners first, at last all.
+    for most in PARTNERS:
+        labelled = members.join(found, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
+        several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2")
+        several = materialise(several.select("bucket", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "open-buckets")
+        if several.isEmpty():
+            break
         rest = labelled.join(several, "bucket").join(reps.select("id", "n", "signature"), "id")
         rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         meet = rest.select("bucket", "id", "n", "component", "signature", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-        extra = meet.groupBy("bucket", "i", "j").applyInArrow(_cross_pairs(bands * rows, min_agree, numerator, denominator), "a bigint, b bigint").distinct()
-        tried = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        more = confirm(extra.join(tried, ["a", "b"], "left_anti"), "rest")
+        extra = meet.groupBy("bucket", "i", "j").applyInArrow(_cross_pairs(bands * rows, min_agree, numerator, denominator, most), "a bigint, b bigint").distinct()
+        extra = materialise(extra.join(tried, ["a", "b"], "left_anti"), "extra")
+        tried = tried.unionByName(extra)
+        more = confirm(extra, "rest")
         if not more.isEmpty():
-            found = components(links.unionByName(more))
+            found = merged(found, more, "rest")
     label = classes.join(found, classes["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     return signed.select("id", "n", "class").join(label, "class", "left").select(
         F.col("id").alias(key),
