@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Extension of every known image format, and formats by extension.
 FORMAT_EXTENSIONS = {"jpeg": ".jpg", "png": ".png", "webp": ".webp", "avif": ".avif", "gif": ".gif"}
@@ -105,18 +106,18 @@ def collision_key_of(path: str | None) -> str | None:
     return None if path is None else unicodedata.normalize("NFC", path.replace("\\", "/")).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _slug_udf(names: pd.Series) -> pd.Series:
     return names.map(slug_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _key_udf(paths: pd.Series) -> pd.Series:
     return paths.map(collision_key_of)
 
 
 def slugify(component: Column) -> Column:
-    """ASCII names stay in the JVM; only others pass through Unicode normalisation in Python."""
+    """ASCII names are handled by expressions, others by Unicode normalisation in an Arrow UDF."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(component), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
     return F.when(component.rlike(r"^[\x00-\x7f]*$"), F.when(plain == "", "image").otherwise(plain)).otherwise(_slug_udf(component))
 
