@@ -33,10 +33,10 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, bucketed, map_arrow, pack, unpack
+from .common import blocks_of, bucketed, grouped, map_arrow, pack, unpack
 
 MAX_VOCABULARY = 1 << 20
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 BLOCK_ROWS = 1 << 16
 #: Entries (a distinct word of one block) that one bin holds about.
 WORDS_PER_BIN = 1 << 18
@@ -196,10 +196,10 @@ def encode(docs: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "
     total = blocks.agg(F.sum("n")).first()[0] or 0
     bins = max(12, -(-int(total) // words_per_bin))
     dealt = map_arrow(blocks.select("block", "words"), _deal_words(bins), "block bigint, bin int, lids binary, sizes binary, bytes binary")
-    back = dealt.groupBy("bin").applyInArrow(_encode_bin(vocab), "home bigint, lids binary, counts binary, ids binary")
+    back = dealt.groupBy("bin").applyInArrow(grouped(_encode_bin(vocab)), "home bigint, lids binary, counts binary, ids binary")
     key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     texts = blocks.select("block", "keys", "lengths", "positions").groupBy("block")
-    return texts.cogroup(back.groupBy("home")).applyInArrow(_reassemble(key_type), f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return texts.cogroup(back.groupBy("home")).applyInArrow(grouped(_reassemble(key_type)), f"key {kind}, ids binary").withColumnRenamed("key", key)
 
 
 def decode_ids(ids: bytes, table: list[bytes]) -> bytes:

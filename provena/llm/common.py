@@ -7,6 +7,9 @@ private folder is chosen only where that setting is absent, as in tests.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +75,7 @@ def mapped_column(df: DataFrame, source: str, name: str, kind: str, fn: Callable
         for batch in batches:
             made = fn(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], name])
+        trim()
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields] + [T.StructField(name, T._parse_datatype_string(kind), True)])
     bound_batches(df.sparkSession)
@@ -107,7 +111,7 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bound_batches(spark: SparkSession, records: int = 2048, size: str = "8m") -> None:
+def bound_batches(spark: SparkSession, records: int = 1024, size: str = "4m") -> None:
     """Keep Arrow batches small enough for long texts; explicit user settings win."""
     for key, default, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", {"10000"}, str(records)),
@@ -126,9 +130,34 @@ def lower_az(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER_AZ)
 
 
+def trim() -> None:
+    """Give freed memory back: workers are reused, and what one stage freed counts against the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def grouped(fn: Callable) -> Callable:
+    """A function for applyInArrow that gives its memory back after every group."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return fn(*tables)
+        finally:
+            trim()
+
+    # Spark tells functions of one and of two tables (and of a key before them) by their number of parameters.
+    return (lambda table: run(table)) if len(inspect.signature(fn).parameters) == 1 else (lambda left, right: run(left, right))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bound_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], rows: int, text_column: str = "text", chars: int = 32 << 20) -> Iterator[list[pa.RecordBatch]]:

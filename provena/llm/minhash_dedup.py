@@ -16,8 +16,9 @@
 * Components of confirmed links by alternating large-star and small-star.
 
 At a similarity of 0.85 a pair misses all of 24 bands of 4 rows with
-probability 2e-8, and agrees in fewer than ``min_agree`` of 96 minima with
-probability under 1e-8.
+probability 2e-8, agrees in fewer than ``min_agree`` of 96 minima with
+probability under 1e-8, and falls short in the last round's sketches, which have
+1024 minima, with probability 2e-8.
 
 Edge cases: null and empty texts (or texts without words) have an empty set and
 link with nothing; fewer than ``k`` words make one shingle; repeated rows under
@@ -46,11 +47,13 @@ CHUNK = 1024
 #: Partners that a document outside its bucket's largest component tries in successive rounds; None: all that are left.
 PARTNERS = (1, 6, None)
 FILTER_BITS = 20
+#: Minima in the sketches that the last round compares before it confirms pairs.
+SKETCH = 1024
 SEED = 20_240_501
 
 
-def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
+def _coefficients(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 63, n, dtype=U) * U(2) + U(1), rng.integers(0, 1 << 63, n, dtype=U)
 
 
@@ -72,6 +75,26 @@ def shingle_sets(texts: list[bytes], k: int, lower: bool = True) -> list[np.ndar
     return out
 
 
+def minima_of(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least value of every hash a * x + b (its upper half) over every set; 0 for empty sets."""
+    out = np.zeros((len(sets), len(a)), np.uint32)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    full = np.flatnonzero(sizes)
+    at = 0
+    while at < len(full):  # as many sets at a time as fit a processor's cache
+        to, held = at, 0
+        while to < len(full) and (held == 0 or held + sizes[full[to]] <= 1 << 16):
+            held += sizes[full[to]]
+            to += 1
+        own = full[at:to]
+        values = np.concatenate([sets[i] for i in own])
+        starts = np.concatenate(([0], np.cumsum(sizes[own])[:-1]))
+        for j in range(len(a)):
+            out[own, j] = np.minimum.reduceat((values * a[j] + b[j]) >> U(32), starts)
+        at = to
+    return out
+
+
 def _signatures(k: int, bands: int, rows: int, lower: bool):
     """(key, n, class, signature, band hashes) of every document."""
 
@@ -80,24 +103,11 @@ def _signatures(k: int, bands: int, rows: int, lower: bool):
         for batch in batches:
             sets = shingle_sets([t or b"" for t in batch.column(1).to_pylist()], k, lower)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            minima = np.zeros((len(sets), bands * rows), np.uint32)
+            minima = minima_of(sets, a, b)
             identity = np.zeros((len(sets), 2), U)
-            full = np.flatnonzero(sizes)
-            at = 0
-            while at < len(full):  # a few hundred thousand shingles at a time
-                to, held = at, 0
-                while to < len(full) and (held == 0 or held + sizes[full[to]] <= 1 << 18):
-                    held += sizes[full[to]]
-                    to += 1
-                own = full[at:to]
-                values = np.concatenate([sets[i] for i in own])
-                starts = np.concatenate(([0], np.cumsum(sizes[own])[:-1]))
-                for j in range(bands * rows):
-                    minima[own, j] = np.minimum.reduceat((values * a[j] + b[j]) >> U(32), starts)
-                one, two = mix(values * U(3) + U(1)), mix(values ^ U(0xA5A5A5A5A5A5A5A5))
-                identity[own, 0] = np.add.reduceat(one, starts)
-                identity[own, 1] = np.add.reduceat(two, starts) ^ np.bitwise_xor.reduceat(one, starts)
-                at = to
+            for i in np.flatnonzero(sizes).tolist():
+                one, two = mix(sets[i] * U(3) + U(1)), mix(sets[i] ^ U(0xA5A5A5A5A5A5A5A5))
+                identity[i] = one.sum(), two.sum() ^ np.bitwise_xor.reduce(one)
             pairs = minima.astype(U).reshape(len(sets), bands, rows)
             band = np.zeros((len(sets), bands), U)
             for r in range(rows):
@@ -123,6 +133,18 @@ def _sets(k: int, lower: bool):
     return run
 
 
+def _sketches(size: int):
+    """Low bytes of ``size`` further minima of full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _coefficients(size, SEED + 1)
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), U) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in minima_of(sets, a, b).astype(np.uint8)], pa.binary())], ["id", "sketch"])
+
+    return run
+
+
 def _confirm(numerator: int, denominator: int):
     """Exact comparison of two full sets."""
 
@@ -189,13 +211,19 @@ def _cross_pairs(minima: int, min_agree: int, numerator: int, denominator: int,
     """Pairs of different components in a bucket that agree in enough minima; chunk i meets chunk j.
 
     With ``most``, only so many likeliest partners of each document that is
-    outside the chunks' largest component; without, all of them.
+    outside the chunks' largest component; without, all whose sketches agree in
+    enough minima too.
     """
+    least = numerator / denominator
+    enough = SKETCH * (least - 5.5 * (least * (1 - least) / SKETCH) ** 0.5)
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, part, size = (table.column(c).to_numpy() for c in ("id", "component", "part", "n"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, minima)
+        keys = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+        bucket = table.column("bucket")[0].as_py()
+        sketch = None if most else np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         names, n = np.unique(comp, return_counts=True)
         largest = names[n.argmax()]
         a, b = [], []
@@ -205,7 +233,13 @@ def _cross_pairs(minima: int, min_agree: int, numerator: int, denominator: int,
                 near = right[(comp[right] != comp[u]) & (denominator * np.minimum(size[right], size[u]) >= numerator * np.maximum(size[right], size[u]))]
                 agree = (sig[near] == sig[u]).sum(axis=1)
                 hit, agree = near[agree >= min_agree], agree[agree >= min_agree]
-                if most is not None and len(hit) > most:
+                # A pair belongs to the first bucket that both are in, so that it is made once.
+                first = (keys[hit] == keys[u]).argmax(axis=1) if len(hit) else np.zeros(0, int)
+                own = keys[u][first] == bucket
+                hit, agree = hit[own], agree[own]
+                if sketch is not None:
+                    hit = hit[(sketch[hit] == sketch[u]).sum(axis=1) >= enough]
+                elif len(hit) > most:
                     hit = hit[np.lexsort((ids[hit], -agree))[:most]]
                 a += np.minimum(ids[hit], ids[u]).tolist()
                 b += np.maximum(ids[hit], ids[u]).tolist()
@@ -270,6 +304,7 @@ def near_duplicates(
     lower: bool = True,
 ) -> DataFrame:
     """``key, n_shingles, component_id, kept`` of every row; links need denominator * intersection >= numerator * union."""
+    spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     signed = materialise(map_arrow(source, _signatures(k, bands, rows, lower), "id bigint, n bigint, class binary, signature binary, bands array<bigint>"), "signatures")
     known = signed.where("id is not null and class is not null")
@@ -299,9 +334,15 @@ def near_duplicates(
         several = materialise(several.select("bucket", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "open-buckets")
         if several.isEmpty():
             break
-        rest = labelled.join(several, "bucket").join(reps.select("id", "n", "signature"), "id")
+        rest = materialise(labelled.join(several, "bucket"), "rest")
+        rest = rest.join(reps.select("id", "n", "signature", "bands"), "id")
+        kept = ["bucket", "id", "n", "component", "signature", "bands", "part"]
+        if most is None:
+            sets = spark.table(confirm.name).join(rest.select("id").distinct(), "id", "left_semi")
+            rest = rest.join(materialise(map_arrow(sets.select("id", "shingles"), _sketches(SKETCH), "id bigint, sketch binary"), "sketches"), "id")
+            kept.append("sketch")
         rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        meet = rest.select("bucket", "id", "n", "component", "signature", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+        meet = rest.select(*kept, F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
         extra = meet.groupBy("bucket", "i", "j").applyInArrow(_cross_pairs(bands * rows, min_agree, numerator, denominator, most), "a bigint, b bigint").distinct()
         extra = materialise(extra.join(tried, ["a", "b"], "left_anti"), "extra")
         tried = tried.unionByName(extra)

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, bucketed, map_arrow, materialise, pack, unpack
+from .common import blocks_of, bucketed, grouped, map_arrow, materialise, pack, unpack
 from .labelled import held_out
 from .words import U
 
@@ -406,15 +406,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     n_words, n_tokens = blocks.agg(F.sum("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     bins = max(12, -(-int(n_words or 0) // words_per_bin))
     dealt = map_arrow(blocks.select("block", "words", "counts"), _deal(bins), "block bigint, bin int, lids binary, sizes binary, bytes binary, counts binary")
-    words = materialise(dealt.groupBy("bin").applyInArrow(_vocabulary, _BIN), "vocabulary")
+    words = materialise(dealt.groupBy("bin").applyInArrow(grouped(_vocabulary), _BIN), "vocabulary")
     types, once, twice, tokens = (int(x or 0) for x in words.agg(F.sum("types"), F.sum("once"), F.sum("twice"), F.sum("tokens")).first())
-    counts = materialise(words.groupBy("bin").applyInArrow(_answer_counts, "home bigint, bin int, lids binary, counts binary"), "counts")
+    counts = materialise(words.groupBy("bin").applyInArrow(grouped(_answer_counts), "home bigint, bin int, lids binary, counts binary"), "counts")
     # Context restaurants.
     wide = max(12, -(-int(n_tokens or 0) // pairs_per_bin))
     limit = max(least_hot, tokens // HOT_SHARE)
     texts = blocks.drop("counts", "n").groupBy("block")
-    sent = texts.cogroup(counts.groupBy("home")).applyInArrow(_send_pairs(wide, limit, tokens), "block bigint, bin int, keys binary, train binary, share binary, hot binary")
-    seated = materialise(sent.groupBy("bin").applyInArrow(_seat_bin(seed), _PAIRS), "seated")
+    sent = texts.cogroup(counts.groupBy("home")).applyInArrow(grouped(_send_pairs(wide, limit, tokens)), "block bigint, bin int, keys binary, train binary, share binary, hot binary")
+    seated = materialise(sent.groupBy("bin").applyInArrow(grouped(_seat_bin(seed)), _PAIRS), "seated")
     hot: dict[int, float] = {}
     for r in seated.where("home is null").select("hot").collect():  # parts of contexts with a 4096th of the tokens or more
         for name, tables in unpack(r["hot"], np.int64).reshape(2, -1).T.tolist():
@@ -423,16 +423,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     void = lambda t: F.lit(None).cast(t)
     one = counts.select("home", F.lit("count").alias("kind"), "bin", "lids", "counts", void("binary").alias("tables"), void("int").alias("at"), void("binary").alias("owned"), void("binary").alias("totals"))
     two = seated.where("home is not null").select("home", F.lit("pair").alias("kind"), void("int").alias("bin"), void("binary").alias("lids"), "counts", "tables", "at", "owned", "totals")
-    passed = texts.cogroup(one.unionByName(two).groupBy("home")).applyInArrow(_send_tables(wide, limit), "sender bigint, bin int, tables binary")
+    passed = texts.cogroup(one.unionByName(two).groupBy("home")).applyInArrow(grouped(_send_tables(wide, limit)), "sender bigint, bin int, tables binary")
     parent = words.select(F.col("bin").alias("own"), "block", "lids", "places").groupBy("own").cogroup(passed.groupBy("bin"))
-    parent = materialise(parent.applyInArrow(_seat_parent, "home bigint, lids binary, tables binary, total bigint"), "parent")
+    parent = materialise(parent.applyInArrow(grouped(_seat_parent), "home bigint, lids binary, tables binary, total bigint"), "parent")
     customers = int(parent.agg(F.sum("total")).first()[0] or 0) / SAMPLES
     three = parent.select("home", F.lit("parent").alias("kind"), void("int").alias("bin"), "lids", void("binary").alias("counts"), "tables", void("int").alias("at"), void("binary").alias("owned"), void("binary").alias("totals"))
     d = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else DISCOUNT
     n = {"tokens": tokens, "types": types, "customers": customers, "discount": d}
     key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     out = f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    final = texts.cogroup(one.unionByName(two).unionByName(three).groupBy("home")).applyInArrow(_sum_up(key_type, wide, limit, n, hot), out)
+    final = texts.cogroup(one.unionByName(two).unionByName(three).groupBy("home")).applyInArrow(grouped(_sum_up(key_type, wide, limit, n, hot)), out)
     return final.withColumnRenamed("key", key)
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, bucketed, map_arrow, materialise, pack, unpack
+from .common import blocks_of, bucketed, grouped, map_arrow, materialise, pack, unpack
 from .words import U, chunks, doc_words, window_hash
 
 WINDOW = 20
@@ -43,7 +43,7 @@ GRAM = 8
 BATCHES = 2
 MAX_RUNS = 2
 WORDS_PER_BIN = 1 << 20
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 12 << 20
 SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
 NULL_KEY = -(1 << 63)
 
@@ -212,13 +212,13 @@ class FingerprintIndex:
 
     def ingest(self, anchors: DataFrame) -> DataFrame:
         """Add a batch; returns (bin, shared) rows: hashes that now occur more than once."""
-        run = materialise(anchors.groupBy("bin").applyInArrow(_sort_batch, "bin int, hashes binary, shared binary"), "run")
+        run = materialise(anchors.groupBy("bin").applyInArrow(grouped(_sort_batch), "bin int, hashes binary, shared binary"), "run")
         found = [run.select("bin", "shared")]
         if self.runs:
             old = self.runs[0]
             for more in self.runs[1:]:
                 old = old.unionByName(more)
-            joined = run.select("bin", "hashes").groupBy("bin").cogroup(old.select(F.col("bin").alias("at"), "hashes").groupBy("at")).applyInArrow(_merge_join, "bin int, shared binary")
+            joined = run.select("bin", "hashes").groupBy("bin").cogroup(old.select(F.col("bin").alias("at"), "hashes").groupBy("at")).applyInArrow(grouped(_merge_join), "bin int, shared binary")
             found.append(materialise(joined, "hits"))
         self.runs.append(run.select("bin", "hashes"))
         self.shared += found
@@ -230,7 +230,7 @@ class FingerprintIndex:
         old = self.runs[0]
         for more in self.runs[1:]:
             old = old.unionByName(more)
-        self.runs = [materialise(old.groupBy("bin").applyInArrow(_compact, "bin int, hashes binary"), "compacted")]
+        self.runs = [materialise(old.groupBy("bin").applyInArrow(grouped(_compact), "bin int, hashes binary"), "compacted")]
 
     def shared_hashes(self) -> DataFrame:
         out = self.shared[0]
@@ -375,14 +375,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     for more in every[1:]:
         asked = asked.unionByName(more)
     shared = index.shared_hashes().select(F.col("bin").alias("at"), "shared")
-    flags = materialise(asked.select("block", "bin", "hashes").groupBy("bin").cogroup(shared.groupBy("at")).applyInArrow(_flag_anchors, "home bigint, bin int, bits binary"), "flags")
+    flags = materialise(asked.select("block", "bin", "hashes").groupBy("bin").cogroup(shared.groupBy("at")).applyInArrow(grouped(_flag_anchors), "home bigint, bin int, bits binary"), "flags")
     sent = blocks.table.groupBy("block").cogroup(flags.groupBy("home")).applyInArrow(
-        _send_windows(bins, window, gram), "block bigint, bin int, win binary, win2 binary, doc binary, keys binary, place binary, start binary"
+        grouped(_send_windows(bins, window, gram)), "block bigint, bin int, win binary, win2 binary, doc binary, keys binary, place binary, start binary"
     )
-    later = materialise(sent.groupBy("bin").applyInArrow(_earliest, "home bigint, bin int, bits binary, kind string"), "later")
+    later = materialise(sent.groupBy("bin").applyInArrow(grouped(_earliest), "home bigint, bin int, bits binary, kind string"), "later")
     replies = flags.withColumn("kind", F.lit("anchor")).unionByName(later)
     out = blocks.table.groupBy("block").cogroup(replies.groupBy("home")).applyInArrow(
-        _finish(bins, window, gram), "key bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
+        grouped(_finish(bins, window, gram)), "key bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
     )
     return out.withColumnRenamed("key", key)
 
