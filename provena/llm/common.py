@@ -7,9 +7,11 @@ private folder is chosen only where that setting is absent, as in tests.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import inspect
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="provena-")
+        own = tempfile.mkdtemp(prefix="provena-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
