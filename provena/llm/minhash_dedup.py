@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import bucketed, map_arrow, materialise
@@ -45,7 +45,7 @@ BANDS, ROWS = 24, 4
 MIN_AGREE = 60
 CHUNK = 1024
 #: Partners that a document outside its bucket's largest component tries in successive rounds; None: all that are left.
-PARTNERS = (1, 6, None)
+PARTNERS = (4, None)
 FILTER_BITS = 20
 #: Minima in the sketches that the last round compares before it confirms pairs.
 SKETCH = 1024
@@ -264,31 +264,33 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     The labels are exact: rounds go on until neither step changes an edge, when
     every edge leads to the smallest node of its component.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-
-    def stamp(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    seen = stamp(now)
+    def write(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+        """The table of edges (u, v), and its count and hash sum, seen while it is written."""
+        seen = Observation()
+        hashed = F.xxhash64("u", "v")
+        marked = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(hashed, F.lit(1 << 31))).alias("low"), F.bit_xor(hashed).alias("xor"))
+        out = materialise(marked, tag)
+        return out, tuple(seen.get.get(k) for k in ("n", "low", "xor"))
+
+    now, stamp = write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        if not seen[0]:
+        if not stamp[0]:
             break
         # Large-star: every larger neighbour of a node goes to the smallest of its neighbours and itself.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # a table, so that hubs can be split below
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "large-star")
         # Small-star: a node and its smaller neighbours go to the smallest of them.
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u <> v").distinct(), "small-star")
-        stamped = stamp(now)
-        if stamped == seen:
+        now, after = write(small.where("u <> v").distinct(), "small-star")
+        if after == stamp:
             break
-        seen = stamped
+        stamp = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))  # settled: one edge a node
 
 
 def near_duplicates(
@@ -316,17 +318,9 @@ def near_duplicates(
     members = materialise(banded.join(buckets, "bucket"), "members")
     confirm = Confirmer(source, reps, members.select("id").distinct(), k, lower, numerator, denominator, min_agree)
 
-    # One pair a member: with the smallest first member of its buckets.
-    pairs = members.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    found = materialise(components(confirm(pairs, "first")), "components")
-    # Then the first members of its other buckets, unless they are in one component by now.
-    side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    stars = materialise(stars.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "stars")
-    tried = pairs.unionByName(stars)
-    more = confirm(stars, "stars")
-    if not more.isEmpty():
-        found = merged(found, more, "stars")
+    # Every member with the first members of its buckets.
+    tried = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    found = materialise(components(confirm(tried, "stars")), "components")
     # Then buckets that still hold several components, chunk against chunk: likeliest partners first, at last all.
     for most in PARTNERS:
         labelled = members.join(found, "id", "left").select("id", "bucket", F.coalesce("component", "id").alias("component"))
