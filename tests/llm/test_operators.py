@@ -504,3 +504,17 @@ def test_restoring():
     assert restore("s.t.u.p.i.d and stuuupid") == "stupid and stupid"
     assert restore("the i d i o t") == "the idiot"
     assert restore("The plain text, stays.") == "the plain text, stays."
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "ab" * 100_000 + "1", "a1" * 50_000, "a." * 50_000, "x" * 50_000 + "_" + "y" * 50_000, "$" * 100_000 + "a", "i d " * 25_000])
+def test_restoring_is_linear(text):
+    import time
+
+    from provena.llm import secret_scan
+    from provena.llm import toxicity as t
+
+    restore = t.Restorer(t.CharModel(t.trigram_counts(Counter({"idiot": 4, "you": 6}))))
+    began = time.time()
+    restore(text)
+    secret_scan.scan_text("token = " + text)
+    assert time.time() - began < 20
