@@ -182,17 +182,22 @@ class Confirmer:
         self.name = bucketed(map_arrow(own.select("id", "text"), _sets(k, lower), "id bigint, shingles binary"), "id", "none")
         self.reps, self.limit, self.min_agree = reps, (numerator, denominator), min_agree
 
-    def __call__(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """Links (a, b) among the pairs (a, b)."""
+    def __call__(self, pairs: DataFrame, tag: str, compared: bool = False) -> DataFrame:
+        """Links (a, b) among the pairs (a, b); ``compared``: sizes and minima have been compared before."""
+        if compared:
+            return self.on_sets(pairs, tag)
         of = lambda side, other: self.reps.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
         n, d = self.limit
         near = pairs.join(of("a", "b"), "a").join(of("b", "a"), "b").where(d * F.least("n_a", "n_b") >= n * F.greatest("n_a", "n_b"))
         near = materialise(map_arrow(near.select("a", "b", "s_a", "s_b"), _agree(self.min_agree), "a bigint, b bigint"), f"{tag}-pairs")
+        return self.on_sets(near, tag)
+
+    def on_sets(self, pairs: DataFrame, tag: str) -> DataFrame:
         sets = pairs.sparkSession.table(self.name)
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        both = near.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return materialise(map_arrow(both, _confirm(n, d), "a bigint, b bigint"), f"{tag}-links")
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        return materialise(map_arrow(both, _confirm(*self.limit), "a bigint, b bigint"), f"{tag}-links")
 
 
 def _agree(min_agree: int):
@@ -340,7 +345,7 @@ def near_duplicates(
         extra = meet.groupBy("bucket", "i", "j").applyInArrow(_cross_pairs(bands * rows, min_agree, numerator, denominator, most), "a bigint, b bigint").distinct()
         extra = materialise(extra.join(tried, ["a", "b"], "left_anti"), "extra")
         tried = tried.unionByName(extra)
-        more = confirm(extra, "rest")
+        more = confirm(extra, "rest", compared=True)
         if not more.isEmpty():
             found = merged(found, more, "rest")
     label = classes.join(found, classes["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component"))
