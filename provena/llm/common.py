@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 WS_CLASS = r"[\x20\x09-\x0D]"
 #: The characters of that class, for translate().
 WS_CHARS = " \t\n\x0b\x0c\r"
-#: Deletes them from a str with str.translate.
+#: Lower-cases A-Z with str.translate.
 _LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 
 
@@ -104,36 +104,6 @@ def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return clear.unionByName(maybe.join(gone, key, "left_anti").select(*df.columns))
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by materialise() once nothing reads it any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    jvm, parent = spark._jvm, files[0].rsplit("/", 1)[0]
-    path = jvm.org.apache.hadoop.fs.Path(parent)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def bound_batches(spark: SparkSession, records: int = 1024, size: str = "4m") -> None:
-    """Keep Arrow batches small enough for long texts; explicit user settings win."""
-    for key, default, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", {"10000"}, str(records)),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", None, size),
-    ):
-        try:
-            now = spark.conf.get(key)
-        except Exception:
-            continue
-        if default is None or now in default:
-            spark.conf.set(key, value)
-
-
-def lower_az(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_LOWER_AZ)
-
-
 def trim() -> None:
     """Give freed memory back: workers are reused, and what one stage freed counts against the next."""
     pa.default_memory_pool().release_unused()
@@ -183,7 +153,3 @@ def blocks_of(batches: Iterator[pa.RecordBatch], rows: int, text_column: str = "
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
-
-
-def crc_mod(key: str, m: int):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % m
