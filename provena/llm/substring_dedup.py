@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks_of, bucketed, grouped, map_arrow, materialise, pack, unpack
-from .words import U, chunks, doc_words, window_hash
+from .words import U, chunks, doc_words, mix, window_hash
 
 WINDOW = 20
 GRAM = 8
@@ -90,7 +90,7 @@ class Block:
                 best = leftmost_minimum(g, window - gram + 1)[:n][ok]
                 at = at[ok]
                 new = np.concatenate(([True], best[1:] != best[:-1])) if len(best) else np.zeros(0, bool)
-                anchors.append(g[best[new]])
+                anchors.append(mix(g[best[new]]))  # minima are small numbers; mixed, they fill all bins alike
                 owner.append(np.cumsum(new) - 1 + n_anchor)
                 n_anchor += int(new.sum())
                 if full:
