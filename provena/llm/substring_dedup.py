@@ -43,7 +43,7 @@ GRAM = 8
 BATCHES = 2
 MAX_RUNS = 2
 WORDS_PER_BIN = 1 << 20
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 5 << 20
 SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
 NULL_KEY = -(1 << 63)
 

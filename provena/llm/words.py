@@ -68,7 +68,7 @@ def doc_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.n
     return h, starts, ends, np.diff(at)
 
 
-def chunks(texts: list, limit: int = 2 << 20):
+def chunks(texts: list, limit: int = 1 << 20):
     """Index ranges of consecutive texts of about ``limit`` bytes together."""
     start = size = 0
     for i, t in enumerate(texts):
