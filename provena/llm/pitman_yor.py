@@ -21,8 +21,10 @@ How it runs:
   the parent is seated.  Blocks add up their texts.
 * Everything gathered stays distributed.  A frequent pair costs one entry a
   block.  The restaurant of a context with more than a 4096th of all tokens is
-  dealt over several bins by word; each bin scales its own tables up while
-  seating, and the exact total of the at most 8192 such parts is collected.
+  dealt over bins of its own by word.  A sweep needs nothing of the sweep before
+  but the restaurant's number of tables, so the parts are seated sweep by sweep
+  and the exact number, one for each of the at most 4096 such contexts, is
+  collected after every sweep and given to the next.
 
 Edge cases: null and empty texts have one token, the end; with no training rows
 every word is unknown, with probability 1; repeated rows count as often as they
@@ -190,7 +192,10 @@ def gather(replies: list[dict], column: str, kind, n: int) -> np.ndarray:
 
 
 class Pairs:
-    """The distinct (context, word) pairs of a block, sorted by bin and hash, and the pair at every token."""
+    """The distinct (context, word) pairs of a block, sorted by bin and hash, and the pair at every token.
+
+    Bins are numbered by twos: the even ones hold whole contexts, the odd ones parts of the contexts that are dealt over bins.
+    """
 
     def __init__(self, row: dict, counts: np.ndarray, bins: int, limit: int):
         words = row["words"]
@@ -202,13 +207,13 @@ class Pairs:
         v, w = code // n, code % n
         self.parts = 1 + counts // limit  # of every word as a context
         home = ((h[v] >> U(32)) * U(bins) >> U(32)).astype(np.int64)
-        self.bin = (home + ((h[w] & LOW).astype(np.int64) % self.parts[v])) % bins
+        self.bin = (home + ((h[w] & LOW).astype(np.int64) % self.parts[v])) % bins * 2 + (self.parts[v] > 1)
         key = ((h[v] & LOW) << U(32)) | (h[w] & LOW)
         order = np.lexsort((key, self.bin))
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.key, self.bin, self.v, self.w, self.at = key[order], self.bin[order], v[order], w[order], place[inverse]
-        self.cuts = np.searchsorted(self.bin, np.arange(bins + 1))
+        self.cuts = np.searchsorted(self.bin, np.arange(2 * bins + 1))
         self.hash, self.n, self.counts = h, n, counts
         lengths = np.asarray(row["lengths"], np.int64)
         learn = np.repeat(np.asarray(row["train"], bool), lengths)
@@ -228,7 +233,7 @@ def unpack_keys(b: bytes) -> np.ndarray:
 
 
 def _send_pairs(bins: int, limit: int, tokens: int):
-    """Every bin of contexts gets a block's pairs: hash, training count, logarithmic class of the parent's probability, parts of the context."""
+    """Every bin of contexts gets a block's pairs: hash, training count, logarithmic class of the parent's probability, names of contexts that are dealt over bins."""
 
     def run(block: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
@@ -237,51 +242,64 @@ def _send_pairs(bins: int, limit: int, tokens: int):
             p = Pairs(row, counts, bins, limit)
             # Sixteenths of an octave are exact enough for the parent's share of a table.
             share = np.round(-16 * np.log2((counts + 0.5) / (tokens + 1.0))).clip(0, 2000).astype(np.uint16)
-            for i in range(bins):
+            for i in range(2 * bins):
                 a, b = p.cuts[i], p.cuts[i + 1]
                 if a < b:
-                    hot = np.unique(p.v[a:b][p.parts[p.v[a:b]] > 1])
-                    rows.append((row["block"], i, pack_keys(p.key[a:b]), pack(p.train[a:b].astype(np.uint32)), pack(share[p.w[a:b]]), pack(np.stack([p.hash[hot], p.parts[hot].astype(U)]))))
+                    hot = pack(p.hash[np.unique(p.v[a:b])]) if i % 2 else None
+                    rows.append((row["block"], i, pack_keys(p.key[a:b]), pack(p.train[a:b].astype(np.uint32)), pack(share[p.w[a:b]]), hot))
         kinds = [("block", pa.int64()), ("bin", pa.int32()), ("keys", pa.binary()), ("train", pa.binary()), ("share", pa.binary()), ("hot", pa.binary())]
         return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     return run
 
 
-_PAIRS = "home bigint, at int, counts binary, tables binary, owned binary, totals binary, hot binary"
+_PAIRS = "home bigint, at int, counts binary, tables binary, owned binary, totals binary, places binary"
+#: The dishes of contexts that are dealt over bins: one row a bin.
+_DISHES = "at int, keys binary, train binary, share binary, hot binary"
+
 
+def seat_contexts(key: np.ndarray, c: np.ndarray, share: np.ndarray, known: dict[int, int], rng: np.random.Generator, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of tables over samples, number of the context, its customers, its tables over samples) of sorted pairs.
 
-def seat_contexts(key: np.ndarray, c: np.ndarray, share: np.ndarray, parts: dict[int, int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of tables over samples, number of the context, its customers, its tables over samples) of sorted pairs."""
+    ``known`` has the tables over all bins of contexts of which only a part is here, for a single sweep.
+    """
     context = key >> U(32)
     new = np.concatenate(([True], context[1:] != context[:-1])) if len(key) else np.zeros(0, bool)
     number = np.cumsum(new) - 1
-    scale = np.array([parts.get(int(x), 1) for x in context[new]], float) if parts else np.ones(int(new.sum()))
-    customers = np.bincount(number, c, len(scale))
+    n = int(new.sum())
+    customers = np.bincount(number, c, n)
     t = np.minimum(c, 1)
     many = np.flatnonzero(c > 1)  # others have as many tables as customers
     total = np.zeros(len(key), np.int64)
-    for i in range(BURN_IN + SAMPLES):
-        tables = np.bincount(number, t, len(scale)) * scale
-        alpha = (STRENGTH + DISCOUNT * tables[number[many]]) * np.exp2(-share[many] / 16.0)
+    for i in range(burn_in + samples):
+        tables = np.array([known[int(x)] for x in context[new]], float) if known else np.bincount(number, t, n)
+        alpha = (STRENGTH + DISCOUNT * tables[number[many]]) * np.exp2(share[many] / -16.0)
         t[many] = seat(c[many], alpha, DISCOUNT, rng)
-        if i >= BURN_IN:
+        if i >= burn_in:
             total += t
-    return total, number, customers.astype(np.int64), np.bincount(number, total, len(scale)).astype(np.int64)
+    return total, number, customers.astype(np.int64), np.bincount(number, total, n).astype(np.int64)
+
+
+def _merged(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of every block; all keys, the place of every block's pairs in them, training counts of those pairs and of the keys, shares)."""
+    keys = [unpack_keys(r["keys"]) for r in rows]
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    train = np.concatenate([unpack(r["train"], np.uint32) for r in rows]).astype(np.int64)
+    share = np.zeros(len(key), np.uint16)
+    share[inverse] = np.concatenate([unpack(r["share"], np.uint16) for r in rows])
+    return keys, key, inverse, train, np.bincount(inverse, train, len(key)).astype(np.int64), share
 
 
 def _seat_bin(seed: int):
+    """Seats a bin's whole contexts; of parts of contexts (odd bins) it only sums up the dishes (one row without a block)."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys = [unpack_keys(r["keys"]) for r in rows]
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        train = np.concatenate([unpack(r["train"], np.uint32) for r in rows]).astype(np.int64)
-        c = np.bincount(inverse, train, len(key)).astype(np.int64)
-        share = np.zeros(len(key))
-        share[inverse] = np.concatenate([unpack(r["share"], np.uint16) for r in rows])
-        hot = np.concatenate([unpack(r["hot"], U).reshape(2, -1) for r in rows], axis=1)
-        parts = {int(h & LOW): int(n) for h, n in hot.T}
-        total, number, customers, tables = seat_contexts(key, c, share, parts, np.random.default_rng([seed, rows[0]["bin"]]))
+        where = rows[0]["bin"]
+        keys, key, inverse, train, c, share = _merged(rows)
+        part = where % 2 == 1
+        if not part:
+            total, number, customers, tables = seat_contexts(key, c, share, {}, np.random.default_rng([seed, where]))
         # A pair's tables are passed on to the parent by one block: the first that learns from it.
         learns = np.flatnonzero(train > 0)
         _, first = np.unique(inverse[learns], return_index=True)
@@ -290,31 +308,80 @@ def _seat_bin(seed: int):
         out, at = [], 0
         for r, own in zip(rows, keys, strict=True):
             i = inverse[at : at + len(own)]
-            mine = owner[at : at + len(own)]
+            mine = pack(np.packbits(owner[at : at + len(own)]))
             at += len(own)
-            lead = np.concatenate(([True], own[1:] >> U(32) != own[:-1] >> U(32)))
-            n = number[i][lead]
-            out.append((r["block"], r["bin"], pack(c[i].astype(np.uint32)), pack(total[i].astype(np.uint32)), pack(np.packbits(mine)), pack(np.stack([customers[n], tables[n]])), None))
-        if parts:
-            place = {int(x): k for k, x in enumerate((key >> U(32))[np.concatenate(([True], np.diff(number) > 0))])}
-            names = np.unique(hot[0])
-            held = [place[int(h & LOW)] for h in names]
-            out.append((None, rows[0]["bin"], None, None, None, None, pack(np.stack([names.view(np.int64), tables[held]]))))
-        kinds = [("home", pa.int64()), ("at", pa.int32()), ("counts", pa.binary()), ("tables", pa.binary()), ("owned", pa.binary()), ("totals", pa.binary()), ("hot", pa.binary())]
+            counts = pack(c[i].astype(np.uint32))
+            if part:
+                out.append((r["block"], where, counts, None, mine, None, pack(np.diff(i, prepend=0).astype(np.uint32)), None, None, None, None))
+            else:
+                n = number[i][np.concatenate(([True], own[1:] >> U(32) != own[:-1] >> U(32)))]
+                out.append((r["block"], where, counts, pack(total[i].astype(np.uint32)), mine, pack(np.stack([customers[n], tables[n]])), None, None, None, None, None))
+        if part:
+            names = np.unique(np.concatenate([unpack(r["hot"], U) for r in rows]))
+            out.append((None, where, None, None, None, None, None, pack_keys(key), pack(c.astype(np.uint32)), pack(share), pack(names)))
+        kinds = [("home", pa.int64()), ("at", pa.int32()), *((k, pa.binary()) for k in ("counts", "tables", "owned", "totals", "places", "keys", "train", "share", "hot"))]
         return pa.table([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     return run
 
 
+def seat_part(row: dict, sweep: int, before: dict[int, int], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tables, names of the contexts, their tables here) of a bin's dishes after a sweep, given the contexts' tables over all bins before it.  The same in every call."""
+    key, c = unpack_keys(row["keys"]), unpack(row["train"], np.uint32).astype(np.int64)
+    names = {int(x) & int(LOW): int(x) for x in unpack(row["hot"], U)}
+    known = {low: before[name] for low, name in names.items()}
+    t, _, _, tables = seat_contexts(key, c, unpack(row["share"], np.uint16), known, np.random.default_rng([seed, row["at"], sweep]), 0, 1)
+    return t, np.array([names[int(x)] for x in np.unique(key >> U(32))], U), tables
+
+
+def _sweep(sweep: int, before: dict[int, int], seed: int):
+    """The contexts' tables after a sweep, bin by bin; before the first one every dish has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if sweep < 0:
+                    key, c = unpack_keys(row["keys"]), unpack(row["train"], np.uint32)
+                    low, number = np.unique(key >> U(32), return_inverse=True)
+                    by_low = {int(x) & int(LOW): int(x) for x in unpack(row["hot"], U)}
+                    names, tables = np.array([by_low[int(x)] for x in low], U), np.bincount(number, c > 0, len(low)).astype(np.int64)
+                else:
+                    _, names, tables = seat_part(row, sweep, before, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(tables)], ["name", "tables"])
+
+    return run
+
+
+def _answer_parts(history: list[dict[int, int]], seed: int):
+    """For every block the tables, summed over samples, of its pairs in a bin of parts."""
+
+    def run(table: pa.Table, dishes: pa.Table) -> pa.Table:
+        row = dishes.to_pylist()[0]
+        total = sum(seat_part(row, i, history[i], seed)[0] for i in range(BURN_IN, BURN_IN + SAMPLES))
+        asks = table.to_pylist()
+        places = [np.cumsum(unpack(r["places"], np.uint32), dtype=np.int64) for r in asks]
+        return pa.table(
+            [pa.array([r["home"] for r in asks], pa.int64()), pa.array([r["at"] for r in asks], pa.int32()), pa.array([pack(total[i].astype(np.uint32)) for i in places], pa.binary())],
+            ["home", "at", "tables"],
+        )
+
+    return run
+
+
 def _spread(p: Pairs, replies: list[dict]) -> dict[str, np.ndarray]:
     """The context bins' answers to a block, by pair."""
     n = len(p.key)
     out = {"counts": np.zeros(n), "tables": np.zeros(n), "customers": np.zeros(n), "all": np.zeros(n), "owned": np.zeros(n, bool)}
     for r in replies:
         a, b = p.cuts[r["at"]], p.cuts[r["at"] + 1]
+        if r["tables"] is not None:
+            out["tables"][a:b] = unpack(r["tables"], np.uint32) / SAMPLES
+        if r["kind"] == "part":
+            continue
         out["counts"][a:b] = unpack(r["counts"], np.uint32)
-        out["tables"][a:b] = unpack(r["tables"], np.uint32) / SAMPLES
         out["owned"][a:b] = np.unpackbits(unpack(r["owned"], np.uint8), count=b - a).astype(bool)
+        if r["totals"] is None:  # of a context that is dealt over bins
+            continue
         own = p.key[a:b] >> U(32)
         number = np.cumsum(np.concatenate(([True], own[1:] != own[:-1]))) - 1
         totals = unpack(r["totals"], np.int64).reshape(2, -1)
@@ -337,7 +404,7 @@ def _send_tables(bins: int, limit: int):
         for row in block.to_pylist():
             got = _kinds(replies)
             p = Pairs(row, gather(got["count"], "counts", np.int64, len(row["words"])), bins, limit)
-            s = _spread(p, got.get("pair", []))
+            s = _spread(p, got.get("pair", []) + got.get("part", []))
             tables = np.bincount(p.w, np.where(s["owned"], s["tables"] * SAMPLES, 0), p.n).astype(np.int64)
             for r in got["count"]:
                 rows.append((row["block"], r["bin"], pack(tables[np.cumsum(unpack(r["lids"], np.uint32), dtype=np.int64)])))
@@ -370,10 +437,10 @@ def _sum_up(key_type: pa.DataType, bins: int, limit: int, n: dict, hot: dict[int
         for row in block.to_pylist():
             c = gather(got["count"], "counts", np.int64, len(row["words"]))
             p = Pairs(row, c, bins, limit)
-            s = _spread(p, got.get("pair", []))
+            s = _spread(p, got.get("pair", []) + got.get("part", []))
             for v in np.flatnonzero(p.parts > 1).tolist():
                 own = p.v == v
-                s["customers"][own], s["all"][own] = c[v], hot[int(p.hash[v : v + 1].view(np.int64)[0])] / SAMPLES
+                s["customers"][own], s["all"][own] = c[v], hot[int(p.hash[v])] / SAMPLES
             parent = gather(got["parent"], "tables", np.int64, len(row["words"])) / SAMPLES
             unknown = (STRENGTH + d * types) / (STRENGTH + customers)
             base = np.where(c > 0, np.maximum(parent - d, 1e-9) / (STRENGTH + customers), unknown)
@@ -414,15 +481,24 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     limit = max(least_hot, tokens // HOT_SHARE)
     texts = blocks.drop("counts", "n").groupBy("block")
     sent = texts.cogroup(counts.groupBy("home")).applyInArrow(grouped(_send_pairs(wide, limit, tokens)), "block bigint, bin int, keys binary, train binary, share binary, hot binary")
-    seated = materialise(sent.groupBy("bin").applyInArrow(grouped(_seat_bin(seed)), _PAIRS), "seated")
-    hot: dict[int, float] = {}
-    for r in seated.where("home is null").select("hot").collect():  # parts of contexts with a 4096th of the tokens or more
-        for name, tables in unpack(r["hot"], np.int64).reshape(2, -1).T.tolist():
-            hot[name] = hot.get(name, 0.0) + tables
+    seated = materialise(sent.groupBy("bin").applyInArrow(grouped(_seat_bin(seed)), f"{_PAIRS}, {_DISHES.split(', ', 1)[1]}"), "seated")
+    # Contexts with a 4096th of the tokens or more: their tables over all bins, from sweep to sweep.
+    dishes = materialise(seated.where("home is null").select("at", "keys", "train", "share", "hot"), "dishes")
+    history: list[dict[int, int]] = []
+    for i in range(-1, BURN_IN + SAMPLES):
+        tables = map_arrow(dishes, _sweep(i, history[-1] if history else {}, seed), "name bigint, tables bigint")
+        history.append({r["name"] & (2**64 - 1): r["tables"] for r in tables.groupBy("name").agg(F.sum("tables").alias("tables")).collect()})
+        if not history[-1]:
+            break
+    hot = {name: sum(tables[name] for tables in history[BURN_IN + 1 :]) for name in history[0]}
     # The parent.
     void = lambda t: F.lit(None).cast(t)
     one = counts.select("home", F.lit("count").alias("kind"), "bin", "lids", "counts", void("binary").alias("tables"), void("int").alias("at"), void("binary").alias("owned"), void("binary").alias("totals"))
     two = seated.where("home is not null").select("home", F.lit("pair").alias("kind"), void("int").alias("bin"), void("binary").alias("lids"), "counts", "tables", "at", "owned", "totals")
+    if hot:
+        asks = seated.where("home is not null and places is not null").select("home", "at", "places")
+        parts = materialise(asks.groupBy("at").cogroup(dishes.groupBy("at")).applyInArrow(grouped(_answer_parts(history, seed)), "home bigint, at int, tables binary"), "parts")
+        two = two.unionByName(parts.select("home", F.lit("part").alias("kind"), void("int").alias("bin"), void("binary").alias("lids"), void("binary").alias("counts"), "tables", "at", void("binary").alias("owned"), void("binary").alias("totals")))
     passed = texts.cogroup(one.unionByName(two).groupBy("home")).applyInArrow(grouped(_send_tables(wide, limit)), "sender bigint, bin int, tables binary")
     parent = words.select(F.col("bin").alias("own"), "block", "lids", "places").groupBy("own").cogroup(passed.groupBy("bin"))
     parent = materialise(parent.applyInArrow(grouped(_seat_parent), "home bigint, lids binary, tables binary, total bigint"), "parent")

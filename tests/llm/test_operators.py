@@ -415,6 +415,18 @@ def test_pitman_yor_counts_and_scores(spark, empty):
     assert p.score(empty).count() == 0
 
 
+def test_pitman_yor_split_contexts_score_as_whole_ones(spark):
+    """A context that is dealt over bins, with Zipf-like followers, is seated with the tables of all its parts."""
+    from provena.llm import pitman_yor as p
+
+    rng = random.Random(5)
+    words, weights = [f"w{i}" for i in range(3000)], [1 / (i + 1) for i in range(3000)]
+    docs = frame(spark, [(i, " ".join("the " + w for w in rng.choices(words, weights, k=40))) for i in range(600)])
+    whole, split = ({r["doc_id"]: r["score"] for r in p.score(docs, pairs_per_bin=1500, least_hot=n).collect()} for n in (1 << 18, 200))
+    assert sum(split.values()) == pytest.approx(sum(whole.values()), rel=5e-3)
+    assert max(abs(split[i] / whole[i] - 1) for i in whole) < 0.02
+
+
 def test_seated_contexts_are_distributions():
     """Dishes' shares and the parent's share of every context add up to all its customers."""
     import numpy as np
