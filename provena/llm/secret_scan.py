@@ -12,8 +12,8 @@ A span is ``(kind, start, end)`` in code points, end exclusive; base spans cover
 the whole match, the lexer's ``literal`` spans the literal alone.
 
 Edge cases: null and empty texts have no spans; repeated rows and null keys
-pass through row by row; further columns are ignored.  Work per text is linear
-in its length.
+pass through row by row; further columns are ignored.  Literals have any length.
+Work per text is linear in its length.
 """
 
 from __future__ import annotations
@@ -45,15 +45,19 @@ PLACEHOLDERS = {"changeme", "example", "placeholder", "undefined", "required", "
 #: A name, an assignment sign and a quoted literal, a bare literal or another name.
 PAIR = re.compile(
     r"""(?a)(?P<flag>--?)?["']?(?P<name>[A-Za-z_$][\w$.-]{0,80})["']?(?:\x20*(?:=>|:=|[:=])\x20*|(?P<gap>\x20+)|>)"""
-    r"""(?:"(?P<dq>[^"\n\\]{1,400})"|'(?P<sq>[^'\n\\]{1,400})'|(?P<bare>[A-Za-z0-9+/_.=$@!%*~^-]{1,400}))"""
+    r"""(?:"(?P<dq>[^"\n\\]++)"|'(?P<sq>[^'\n\\]++)'|(?P<bare>[A-Za-z0-9+/_.=$@!%*~^-]))"""
 )
+#: A whole bare literal; PAIR has its first character only, as every name within one shares its end.
+BARE = re.compile(r"[A-Za-z0-9+/_.=$@!%*~^-]+")
+#: Names have at most so many characters.
+NAME_CHARS = 81
 HINT = re.compile(r"(?ai)pass|pwd|secret|token|key|credential|auth|bearer|signature")
 SIGN = re.compile(r"[=:>]|--")
 
 
-def entropy(text: str) -> float:
-    n = len(text)
-    return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
+def entropy(counts: Counter) -> float:
+    n = counts.total()
+    return -math.fsum(c / n * math.log2(c / n) for c in counts.values() if c)
 
 
 def name_weight(name: str) -> float:
@@ -66,7 +70,7 @@ def literal_weight(literal: str) -> float:
     if len(literal) < 8 or re.search(r"\s", literal) or literal.lower() in PLACEHOLDERS or re.fullmatch(r"\$\{?\w+\}?|<.*>|\*+|x+|[\d.,:/-]+|true|false|null|none", literal, re.I):
         return 0.0
     classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.2 * classes + 0.12 * entropy(literal))
+    return min(1.0, 0.2 * classes + 0.12 * entropy(Counter(literal)))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -76,18 +80,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) of every assignment-like line, in order."""
+class Suffixes:
+    """Weights of ever shorter ends of one bare literal, as in ``a=b=c=...``, from counts of their characters."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start, self.end = text, start, end
+        self.counts = Counter(text[start:end])
+
+    def weight(self, start: int) -> float:
+        """As literal_weight(), of an end that is longer than any name and has an assignment sign in it."""
+        self.counts.subtract(self.text[self.start : start])
+        self.start = start
+        held = [c for c, n in self.counts.items() if n]
+        classes = any("a" <= c <= "z" for c in held) + any("A" <= c <= "Z" for c in held) + any("0" <= c <= "9" for c in held) + any(not c.isalnum() for c in held)
+        return min(1.0, 0.2 * classes + 0.12 * entropy(self.counts))
+
+
+def pairs(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(name, start and end of the value, quoted) of every assignment-like line, in order."""
     at = 0
     for line in text.split("\n"):
         if SIGN.search(line):
-            pos = 0
+            pos = run = 0
             while m := PAIR.search(line, pos):
                 pos = m.end("name") + 1  # a value may itself be the next name: a = b = "c"
                 if m["gap"] and not m["flag"]:
                     continue  # words of prose beside each other
                 kind = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-                yield m["name"], m[kind], at + m.start(kind), at + m.end(kind), kind != "bare"
+                end = m.end(kind)
+                if kind == "bare":
+                    if end > run:
+                        run = BARE.match(line, m.start(kind)).end()
+                    end = run
+                yield m["name"], at + m.start(kind), at + end, kind != "bare"
                 if kind != "bare":
                     pos = m.end()
         at += len(line) + 1
@@ -97,15 +122,28 @@ def lexed_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[str, int,
     """``(literal, start, end, name, score)`` of literals that reach a sensitive name."""
     if not HINT.search(text):
         return []
-    constants: dict[str, tuple[str, int, int]] = {}
+    constants: dict[str, tuple[int, int]] = {}
+    weights: dict[tuple[int, int], float] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, value, start, end, quoted in pairs(text):
-        known = None if quoted else constants.get(value.rstrip(";,"))
-        literal = known or (value if quoted else value.rstrip(";,"), start, end if quoted else start + len(value.rstrip(";,")))
-        constants[name] = literal
-        score = name_weight(name) * literal_weight(literal[0])
-        if score > best.get(literal[1:], (0.0, ""))[0]:
-            best[literal[1:]] = (score, name)
+    outer, ends = (0, 0), None  # the last bare literal that is not part of another
+    for name, start, end, quoted in pairs(text):
+        span = (start, end)
+        if not quoted:
+            if end - start <= NAME_CHARS:
+                span = constants.get(text[start:end], span)
+            elif end != outer[1]:
+                outer, ends = span, None
+            elif text.find("=", start, end) >= 0:
+                ends = ends or Suffixes(text, *outer)
+                weights[span] = ends.weight(start)
+        constants[name] = span
+        if (weight := name_weight(name)) < min_score:
+            continue  # no literal's weight is above 1
+        if span not in weights:
+            weights[span] = literal_weight(text[slice(*span)])
+        score = weight * weights[span]
+        if score > best.get(span, (0.0, ""))[0]:
+            best[span] = (score, name)
     return [("literal", a, b, name, score) for (a, b), (score, name) in best.items() if score >= min_score and b > a]
 
 

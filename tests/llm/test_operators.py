@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -333,6 +334,25 @@ def test_secret_scan(spark, empty):
     assert s.find_secrets(empty).count() == 0
 
 
+def test_secret_scan_literals_of_any_length():
+    from provena.llm import secret_scan as s
+
+    rng = random.Random(6)
+    for n in (400, 401, 5000):
+        secret = "".join(rng.choice("abcXYZ019/+") for _ in range(n))
+        for text in (f'client_credential = "{secret}"', f"private_key: '{secret}'", f"auth_bearer={secret}", f'A = "{secret}"\nB = A\naccesskey = B\n'):
+            at = text.index(secret)
+            assert [x[:3] for x in s.lexed_spans(text)] == [("literal", at, at + n)], (n, text[:30])
+        assert s.lexed_spans(f'pwd = "{secret}') == []  # no closing quote
+    # Every end of a chain is weighed as if it stood alone, in time linear in the chain.
+    chain = "password=" * 300 + "Zx9kQ2mL7pTT77"
+    got = {a: score for _, a, b, _, score in s.lexed_spans(chain) if b == len(chain)}
+    assert len(got) == 300 and all(score == s.literal_weight(chain[a:]) for a, score in got.items())
+    began = time.process_time()
+    s.scan_text("password=" * 40000 + "\n" + 'pwd="x ' + "y" * 400000 + "\n" + "a=" * 100000)
+    assert time.process_time() - began < 20
+
+
 # --- 10: WARC ---------------------------------------------------------------------------------------
 
 
