@@ -132,7 +132,7 @@ def candidate_pairs(spark, d):
 
 @query
 def aspect_bucket_pairs(spark, d):
-    r = adapters.hashes(spark, d).where("vec_id % 10 = 0").select("id", "vec_id", "aspect_ratio")
+    r = adapters.hashes(spark, d).select("id", "vec_id", "aspect_ratio")
     b = hamming.bucket_of(F.col("aspect_ratio"), hamming.bucket_width(TOLERANCE))
     x = r.select(F.col("id").alias("xi"), F.col("vec_id").alias("xv"), F.col("aspect_ratio").alias("xa"), b.alias("bucket"))
     y = r.select(F.col("id").alias("yi"), F.col("vec_id").alias("yv"), F.col("aspect_ratio").alias("ya"), F.explode(F.array(b - 1, b, b + 1)).alias("bucket"))

@@ -58,6 +58,17 @@ def test_hamming_join_is_the_cross_join(spark, threshold):
         assert {m[0] for m, _ in tree.search(r, threshold)} == {x[0] for x in rows if (x[1] ^ r[1]).bit_count() <= threshold}
 
 
+def test_aspect_bucket_pairs_are_those_of_the_whole_table(spark, monkeypatch):
+    from provena.plans import catalogue
+
+    rng = random.Random(9)
+    rows = [(f"i{i:03}", i, rng.choice([0.66, 0.75, 1.0, 1.33, 1.5]) + rng.uniform(-0.05, 0.05)) for i in range(90)]
+    monkeypatch.setattr(catalogue.adapters, "hashes", lambda *_: spark.createDataFrame(rows, "id string, vec_id bigint, aspect_ratio double"))
+    got = sorted((r["a"], r["b"], r["aspect_delta"]) for r in catalogue.aspect_bucket_pairs(spark, "").collect())
+    want = sorted((a, b, round(abs(x - y), 6)) for a, _, x in rows for b, _, y in rows if a < b and abs(x - y) <= catalogue.TOLERANCE)
+    assert len(want) > 100 and got == want
+
+
 def test_orientation_variants_find_turned_copies(spark):
     rows = [("a", 0, 0, 1.0, "s1"), ("b", 2**64 - 1, 2**64 - 1, 1.0, "s2")]
     turned = spark.createDataFrame([("b", 1, 0, 1, 0, 3)], "id string, variant int, d_hi bigint, d_lo bigint, p_hi bigint, p_lo bigint")
