@@ -538,6 +538,18 @@ def test_restoring():
     assert restore("The plain text, stays.") == "the plain text, stays."
 
 
+def test_restoring_long_spans_in_one_piece():
+    from provena.llm import toxicity as t
+
+    words = Counter({"idiot": 40, "you": 60, "stupid": 40, "are": 50, "the": 90, "moron": 30, "and": 50})
+    restore = t.Restorer(t.CharModel(t.trigram_counts(words)))
+    phrase = "you are the stupid moron and the idiot " * 12
+    spelled = " ".join(phrase.replace(" ", ""))
+    assert len(spelled) > 700 and restore(spelled).split() == phrase.split()
+    dotted = ".".join("stupididiotmoron" * 8)
+    assert restore(dotted).split() == restore(".".join("stupididiotmoron")).split() * 8
+
+
 @pytest.mark.parametrize("text", ["a" * 200_000, "ab" * 100_000 + "1", "a1" * 50_000, "a." * 50_000, "x" * 50_000 + "_" + "y" * 50_000, "$" * 100_000 + "a", "i d " * 25_000])
 def test_restoring_is_linear(text):
     import time
