@@ -11,6 +11,8 @@ import numpy as np
 
 U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
+#: Values that are hashed at a time: texts of any length need the same few megabytes.
+PIECE = (1 << 18) - 1024
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -25,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: int = _R) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n (cached, grown by doubling)."""
+    """base**i and base**-i modulo 2**64 for i below n (kept; n is at most a little above PIECE)."""
     table = _TABLES.get(base)
     if table is None or len(table[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
@@ -44,13 +46,40 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (total[ends] - total[starts]) * down[starts]
 
 
+def long_hash(values: np.ndarray, base: int = _R) -> int:
+    """The same hash of all values, piece by piece."""
+    out = 0
+    for at in range(0, len(values), PIECE):
+        part = values[at : at + PIECE].astype(U)
+        out += int(segment_hash(part, np.array([0]), np.array([len(part)]), base)[0]) * pow(base, at, 1 << 64)
+    return out & (2**64 - 1)
+
+
 def window_hash(values: np.ndarray, width: int, base: int = _R) -> np.ndarray:
-    """Mixed hash of every run of ``width`` values (len(values) - width + 1 of them)."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, U)
-    starts = np.arange(n)
-    return mix(segment_hash(values, starts, starts + width, base))
+    """Mixed hash of every run of ``width`` values (len(values) - width + 1 of them), piece by piece."""
+    n = max(0, len(values) - width + 1)
+    out = np.empty(n, U)
+    for at in range(0, n, PIECE):
+        m = min(PIECE, n - at)
+        starts = np.arange(m)
+        out[at : at + m] = mix(segment_hash(values[at : at + m + width - 1], starts, starts + width, base))
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of every word, piece by piece; words are disjoint and in order."""
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + PIECE, side="right")))
+        b = int(ends[j - 1])
+        if b - a <= PIECE:
+            out[i:j] = segment_hash(data[a:b].astype(U) + U(1), starts[i:j] - a, ends[i:j] - a)
+        else:  # one word that is longer than a piece
+            out[i] = (long_hash(data[a:b]) + long_hash(np.ones(b - a, np.uint8))) & (2**64 - 1)
+        i = j
+    return out
 
 
 def doc_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +90,7 @@ def doc_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.n
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    h = mix(segment_hash((data.astype(U) + U(1)), starts, ends) + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    h = mix(word_hashes(data, starts, ends) + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     at = np.searchsorted(starts, bounds)
