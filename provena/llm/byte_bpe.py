@@ -8,11 +8,13 @@
    a bin meets every occurrence of its words and encodes each distinct word once.
 3. The ids are joined back to the words of each block, meet their block again
    by block number, and the texts are reassembled by position.
-A word that is in a third of all texts costs one entry a block.
+A word that is in a third of all texts costs one entry a block; a block sends a
+message to each bin that has one of its words, so messages are never more than
+entries.
 
 Decoding joins token ids with the token-byte table, whose size is that of the
 vocabulary file (its rows are checked against MAX_VOCABULARY) and so can be
-broadcast.
+broadcast.  ``encode`` can pass the ids of each text straight on to it.
 
 Edge cases: null and empty texts have no tokens; a null key and repeated rows
 are carried through row by row; further columns of the input are ignored.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +55,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def _encoder(vocabulary: Broadcast):
-    """The BPE merger of a worker process, made once from the broadcast ranks."""
+    """The BPE merger of a worker process, made once from the broadcast ranks: what it gets is one pre-token, whole."""
     import tiktoken
 
-    ranks = vocabulary.value["ranks"]
     name = vocabulary.value["name"]
     if name not in _ENCODERS:
-        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=vocabulary.value["pattern"], mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[name]
+        _ENCODERS.clear()  # one vocabulary a worker
+        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=r"[\s\S]+", mergeable_ranks=vocabulary.value["ranks"], special_tokens={})
+    return _ENCODERS[name].encode_ordinary
 
 
 def vocabulary(spark: SparkSession, path: str, pattern: str) -> Broadcast:
@@ -117,13 +119,11 @@ def _deal_words(bins: int):
                 data = [w.encode() for w in words]
                 home = np.fromiter((xxhash.xxh64_intdigest(w) % bins for w in data), np.int64, len(data))
                 order = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[order], np.arange(bins + 1))
+                used, first = np.unique(home[order], return_index=True)
                 rows = []
-                for i in range(bins):
-                    own = order[cuts[i] : cuts[i + 1]]
-                    if len(own):
-                        held = [data[k] for k in own.tolist()]
-                        rows.append((block, i, pack(np.diff(own, prepend=0).astype(np.uint32)), pack(np.fromiter(map(len, held), np.uint32, len(held))), squeeze(b"".join(held))))
+                for i, own in zip(used.tolist(), np.split(order, first[1:]), strict=True) if len(used) else ():
+                    held = [data[k] for k in own.tolist()]
+                    rows.append((block, i, pack(np.diff(own, prepend=0).astype(np.uint32)), pack(np.fromiter(map(len, held), np.uint32, len(held))), squeeze(b"".join(held))))
                 kinds = [("block", pa.int64()), ("bin", pa.int32()), ("lids", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
@@ -134,7 +134,7 @@ def _encode_bin(vocab: Broadcast):
     """Each distinct word of a bin is encoded once; every block gets the ids of its words."""
 
     def run(table: pa.Table) -> pa.Table:
-        piece = _encoder(vocab)._core_bpe.encode_single_piece
+        piece = _encoder(vocab)
         known: dict[bytes, list[int]] = {}
         counts, ids = [], []
         for sizes, packed in zip(table.column("sizes").to_pylist(), table.column("bytes").to_pylist(), strict=True):
@@ -146,7 +146,7 @@ def _encode_bin(vocab: Broadcast):
                 start = end
                 found = known.get(word)
                 if found is None:
-                    found = known[word] = piece(word)
+                    found = known[word] = piece(word.decode())
                 own.append(found)
             counts.append(pack(np.fromiter(map(len, own), np.uint32, len(own))))
             ids.append(pack(np.fromiter(itertools.chain.from_iterable(own), np.uint32)))
@@ -162,7 +162,9 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _reassemble(key_type: pa.DataType):
+def _reassemble(emit: Callable[[list], dict[str, pa.Array]]):
+    """Texts put together by position; ``emit`` makes the columns beside the key from the ids of the texts of a block."""
+
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         lids = [np.cumsum(unpack(x, np.uint32), dtype=np.int64) for x in words.column("lids").to_pylist()]
         counts = [unpack(x, np.uint32) for x in words.column("counts").to_pylist()]
@@ -172,22 +174,54 @@ def _reassemble(key_type: pa.DataType):
         flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
         start, length = np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int64)
         start[lid], length[lid] = np.cumsum(count) - count, count
-        keys, ids = [], []
-        for row in block.to_pylist():
-            positions = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["positions"]), np.uint32)
+        del lids, counts, flats
+
+        def texts(row: int) -> Iterator[np.ndarray]:
+            positions = unpack(block.column("positions")[row].as_py(), np.uint32)
             at = 0
-            for n in row["lengths"]:
+            for n in block.column("lengths")[row].as_py():
                 own = positions[at : at + n]
                 at += n
-                ids.append(flat[_ragged(start[own], length[own])].tobytes())
-            keys.extend(row["keys"])
-        return pa.table([pa.array(keys, key_type), pa.array(ids, pa.binary())], ["key", "ids"])
+                yield flat[_ragged(start[own], length[own])]
+
+        keys = block.column("keys").combine_chunks().flatten()
+        made = emit([x for row in range(block.num_rows) for x in texts(row)])
+        return pa.table([keys, *made.values()], ["key", *made])
+
+    return run
+
+
+def _plain(texts: list[np.ndarray]) -> dict[str, pa.Array]:
+    return {"ids": pa.array([x.tobytes() for x in texts], pa.binary())}
+
+
+IDS = "ids binary"
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def _digests(vocab: Broadcast):
+    """Counts and digests of token ids and of the bytes that they decode to."""
+
+    def run(texts: list[np.ndarray]) -> dict[str, pa.Array]:
+        table = vocab.value["table"]
+        names = [b"%d" % i for i in range(len(table))]
+        n, a, b = [], [], []
+        for x in texts:
+            ids = x.tolist()
+            n.append(len(ids))
+            a.append(hashlib.sha256(b",".join(map(names.__getitem__, ids))).hexdigest())
+            b.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
 
     return run
 
 
-def encode(docs: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "text", words_per_bin: int = WORDS_PER_BIN) -> DataFrame:
-    """One row per input row: ``key`` and ``ids``, the token ids as packed little-endian uint32."""
+def encode(docs: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "text", words_per_bin: int = WORDS_PER_BIN, digests: bool = False) -> DataFrame:
+    """One row per input row: ``key`` and ``ids``, the token ids as packed little-endian uint32.
+
+    With ``digests`` the ids of each text are decoded where they are put
+    together: ``key, n_tokens, ids_sha256, decoded_sha256``, as digest() gives.
+    """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     spark = docs.sparkSession
@@ -197,9 +231,9 @@ def encode(docs: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "
     bins = max(12, -(-int(total) // words_per_bin))
     dealt = map_arrow(blocks.select("block", "words"), _deal_words(bins), "block bigint, bin int, lids binary, sizes binary, bytes binary")
     back = dealt.groupBy("bin").applyInArrow(grouped(_encode_bin(vocab)), "home bigint, lids binary, counts binary, ids binary")
-    key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     texts = blocks.select("block", "keys", "lengths", "positions").groupBy("block")
-    return texts.cogroup(back.groupBy("home")).applyInArrow(grouped(_reassemble(key_type)), f"key {kind}, ids binary").withColumnRenamed("key", key)
+    emit, columns = (_digests(vocab), DIGESTS) if digests else (_plain, IDS)
+    return texts.cogroup(back.groupBy("home")).applyInArrow(grouped(_reassemble(emit)), f"key {kind}, {columns}").withColumnRenamed("key", key)
 
 
 def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
@@ -222,17 +256,11 @@ def decode(encoded: DataFrame, vocab: Broadcast, key: str = "doc_id") -> DataFra
 def digest(encoded: DataFrame, vocab: Broadcast, key: str = "doc_id") -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of encoded rows."""
     kind = encoded.schema[key].dataType.simpleString()
+    made = _digests(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocab.value["table"]
-        texts = [b"%d" % i for i in range(len(table))]
         for batch in batches:
-            n, a, b = [], [], []
-            for x in batch.column(1).to_pylist():
-                ids = np.frombuffer(x or b"", np.uint32).tolist()
-                n.append(len(ids))
-                a.append(hashlib.sha256(b",".join(map(texts.__getitem__, ids))).hexdigest())
-                b.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(encoded.select(key, "ids"), run, f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            out = made([np.frombuffer(x or b"", np.uint32) for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out.values()], [key, *out])
+
+    return map_arrow(encoded.select(key, "ids"), run, f"{key} {kind}, {DIGESTS}")

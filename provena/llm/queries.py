@@ -36,7 +36,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocab = byte_bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return byte_bpe.digest(byte_bpe.encode(documents(spark, sf_dir), vocab), vocab)
+    return byte_bpe.encode(documents(spark, sf_dir), vocab, digests=True)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
