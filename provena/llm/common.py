@@ -2,7 +2,8 @@
 
 Everything that must outlive a task is written under the folder the session
 names in ``spark.checkpoint.dir`` (all executors and the driver share it); a
-private folder is chosen only where that setting is absent, as in tests.
+private folder is chosen only where that setting is absent and driver and
+executors are one process, as in tests.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="provena-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
@@ -72,6 +76,14 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def spare_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
+
+
 def mapped_column(df: DataFrame, source: str, name: str, kind: str, fn: Callable[[list], pa.Array]) -> DataFrame:
     """``df`` with one more column, made from the values of ``source`` batch by batch; all rows and columns stay."""
 
@@ -83,25 +95,30 @@ def mapped_column(df: DataFrame, source: str, name: str, kind: str, fn: Callable
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields] + [T.StructField(name, T._parse_datatype_string(kind), True)])
     bound_batches(df.sparkSession)
-    return df.select("*", F.col(source).alias("__source")).mapInArrow(run, schema)
+    return df.select("*", F.col(source).alias(spare_name(df, "__source"))).mapInArrow(run, schema)
 
 
 FILTER_BITS = 20
 
 
-def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is not among ``dropped``; rows with a null key stay.
+def row_mark(key: str, text: str) -> Column:
+    """64 bits of a row's key and whole text: rows repeated under one key are told apart by their texts."""
+    return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
+
+
+def without(df: DataFrame, dropped: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of ``df`` whose (key, ``row_mark``) is not among ``dropped`` (key, mark); rows with a null key stay.
 
-    A bitmap of 2**FILTER_BITS buckets of the dropped keys, a fixed size, is
+    A bitmap of 2**FILTER_BITS buckets of the dropped marks, a fixed size, is
     broadcast; only rows that it hits are shuffled for the exact anti-join.
     """
-    spot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << FILTER_BITS))
-    gone = materialise(dropped.select(F.col(key)).where(F.col(key).isNotNull()).distinct(), "dropped")
-    bitmap = gone.select(spot.alias("__spot")).distinct().withColumn("__hit", F.lit(True))
-    marked = df.withColumn("__spot", spot).join(F.broadcast(bitmap), "__spot", "left")
-    clear = marked.where(F.col("__hit").isNull() | F.col(key).isNull()).select(*df.columns)
-    maybe = marked.where(F.col("__hit") & F.col(key).isNotNull()).select(*df.columns)
-    return clear.unionByName(maybe.join(gone, key, "left_anti").select(*df.columns))
+    mark, spot, hit = (spare_name(df, n) for n in ("__mark", "__spot", "__hit"))
+    gone = materialise(dropped.select(F.col(key), F.col("mark").alias(mark)).where(F.col(key).isNotNull()).distinct(), "dropped")
+    bitmap = gone.select(F.pmod(F.col(mark), F.lit(1 << FILTER_BITS)).alias(spot)).distinct().withColumn(hit, F.lit(True))
+    marked = df.withColumn(mark, row_mark(key, text)).withColumn(spot, F.pmod(F.col(mark), F.lit(1 << FILTER_BITS))).join(F.broadcast(bitmap), spot, "left")
+    clear = marked.where(F.col(hit).isNull() | F.col(key).isNull()).select(*df.columns)
+    maybe = marked.where(F.col(hit) & F.col(key).isNotNull())
+    return clear.unionByName(maybe.join(gone, [key, mark], "left_anti").select(*df.columns))
 
 
 def bound_batches(spark: SparkSession, records: int = 1024, size: str = "4m") -> None:
@@ -143,7 +160,7 @@ def grouped(fn: Callable) -> Callable:
     return (lambda table: run(table)) if len(inspect.signature(fn).parameters) == 1 else (lambda left, right: run(left, right))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 * Signatures: ``bands * rows`` minima of universal (multiply-add) hashes over a
   document's distinct ``k``-word shingles.
 * Documents with equal shingle sets are one class (one aggregation); only class
-  representatives take part in banding.
+  representatives take part in banding, each under the number of its row, so
+  that rows with one key and different texts are told apart.
 * In every bucket of a band members are paired with the bucket's smallest
   member, so pairs grow with the members, not with their square; pairs that
   agree in enough minima are confirmed on the full sets of shingle hashes.
@@ -21,9 +22,11 @@ probability under 1e-8, and falls short in the last round's sketches, which have
 1024 minima, with probability 2e-8.
 
 Edge cases: null and empty texts (or texts without words) have an empty set and
-link with nothing; fewer than ``k`` words make one shingle; repeated rows under
-one key count once per key in components; rows with a null key are components
+link with nothing; fewer than ``k`` words make one shingle; rows repeated under
+one key link by their own texts, and a component is named by the smallest key
+in it, so such rows stay or go one by one; rows with a null key are components
 of their own; further columns are ignored; an empty table gives an empty result.
+Keys are of any type that has an order.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import bucketed, map_arrow, materialise
+from .common import bucketed, map_arrow, materialise, row_mark
 from .words import U, chunks, doc_words, mix, segment_hash, window_hash
 
 SHINGLE = 3
@@ -95,8 +98,16 @@ def minima_of(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
+def class_of(shingles: np.ndarray) -> bytes | None:
+    """128 bits of a set and its size: equal sets, and for all that can happen only those, have equal classes."""
+    if not len(shingles):
+        return None
+    one, two = mix(shingles * U(3) + U(1)), mix(shingles ^ U(0xA5A5A5A5A5A5A5A5))
+    return one.sum().tobytes() + (two.sum() ^ np.bitwise_xor.reduce(one)).tobytes() + len(shingles).to_bytes(4, "little")
+
+
 def _signatures(k: int, bands: int, rows: int, lower: bool):
-    """(key, n, class, signature, band hashes) of every document."""
+    """(key, mark, n, class, signature, band hashes) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(bands * rows)
@@ -104,21 +115,17 @@ def _signatures(k: int, bands: int, rows: int, lower: bool):
             sets = shingle_sets([t or b"" for t in batch.column(1).to_pylist()], k, lower)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             minima = minima_of(sets, a, b)
-            identity = np.zeros((len(sets), 2), U)
-            for i in np.flatnonzero(sizes).tolist():
-                one, two = mix(sets[i] * U(3) + U(1)), mix(sets[i] ^ U(0xA5A5A5A5A5A5A5A5))
-                identity[i] = one.sum(), two.sum() ^ np.bitwise_xor.reduce(one)
             pairs = minima.astype(U).reshape(len(sets), bands, rows)
             band = np.zeros((len(sets), bands), U)
             for r in range(rows):
                 band = mix(band * U(0x9E3779B97F4A7C15) + pairs[:, :, r] + U(r + 1))
             band = band ^ (np.arange(bands, dtype=U) * U(0xD1342543DE82EF95))
-            cls = [identity[i].tobytes() + int(sizes[i]).to_bytes(4, "little") if sizes[i] else None for i in range(len(sets))]
+            cls = [class_of(s) for s in sets]
             flat = pa.array(band.view(np.int64).ravel())
             offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(cls, pa.binary()), pa.array([m.tobytes() for m in minima.astype(np.uint8)], pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
-                ["id", "n", "class", "signature", "bands"],
+                [batch.column(0), batch.column(2), pa.array(sizes), pa.array(cls, pa.binary()), pa.array([m.tobytes() for m in minima.astype(np.uint8)], pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
+                ["doc", "mark", "n", "class", "signature", "bands"],
             )
 
     return run
@@ -128,7 +135,7 @@ def _sets(k: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([t or b"" for t in batch.column(1).to_pylist()], k, lower)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "class", "shingles"])
 
     return run
 
@@ -146,13 +153,15 @@ def _sketches(size: int):
 
 
 def _confirm(numerator: int, denominator: int):
-    """Exact comparison of two full sets."""
+    """Exact comparison of two full sets, which must be those of the classes asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {n: batch.column(n) for n in ("a", "b", "x", "y")}
+            cols = {n: batch.column(n) for n in ("c_a", "c_b", "k_a", "k_b", "x", "y")}
             keep = []
             for i in range(batch.num_rows):
+                if cols["c_a"][i] != cols["k_a"][i] or cols["c_b"][i] != cols["k_b"][i]:
+                    continue  # another set whose name has the same 64 bits
                 x, y = np.frombuffer(cols["x"][i].as_buffer(), U), np.frombuffer(cols["y"][i].as_buffer(), U)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 both = 0
@@ -163,51 +172,70 @@ def _confirm(numerator: int, denominator: int):
                 if union and denominator * both >= numerator * union:
                     keep.append(i)
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([cols["a"].take(take), cols["b"].take(take)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
 
     return run
 
 
+FULL = "a bigint, b bigint, at_a bigint, c_a binary, at_b bigint, c_b binary"
+
+
 class Confirmer:
     """Confirms candidate pairs: by minima first, then on full sets, made only for documents of shared buckets.
 
     Which documents those are is broadcast as a bitmap of 2**FILTER_BITS
     buckets of their keys, a fixed size; where it saturates, sets of further
-    documents are made and never used.  The sets stay in a table bucketed by key.
+    documents are made and never used.  The sets stay in a table bucketed by
+    ``at``, 64 bits of key and class; a row that occurs several times (``twins``)
+    has its set there once.
     """
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, ids: DataFrame, k: int, lower: bool, numerator: int, denominator: int, min_agree: int):
+    def __init__(self, docs: DataFrame, reps: DataFrame, nodes: DataFrame, twins: bool, k: int, lower: bool, numerator: int, denominator: int, min_agree: int):
         spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).alias("spot")
-        own = docs.where("id is not null").withColumn("spot", spot("id")).join(F.broadcast(ids.select(spot("id")).distinct()), "spot", "left_semi")
-        self.name = bucketed(map_arrow(own.select("id", "text"), _sets(k, lower), "id bigint, shingles binary"), "id", "none")
-        self.reps, self.limit, self.min_agree = reps, (numerator, denominator), min_agree
+        wanted = reps.select("id", "doc").join(nodes, "id", "left_semi").select(spot("doc")).distinct()
+        own = docs.where("doc is not null").withColumn("spot", spot("doc")).join(F.broadcast(wanted), "spot", "left_semi")
+        kind = docs.schema["doc"].dataType.simpleString()
+        made = map_arrow(own.select("doc", "text"), _sets(k, lower), f"doc {kind}, class binary, shingles binary").where("class is not null")
+        made = made.select(F.xxhash64("doc", "class").alias("at"), "class", "shingles")
+        self.name = bucketed(made.dropDuplicates(["at", "class"]) if twins else made, "at", "none")
+        self.reps = reps.select("id", "n", "signature", F.xxhash64("doc", "class").alias("at"), "class")
+        self.limit, self.min_agree = (numerator, denominator), min_agree
+
+    def _side(self, side: str, *columns: str) -> DataFrame:
+        short = {"id": side, "n": f"n_{side}", "signature": f"s_{side}", "at": f"at_{side}", "class": f"c_{side}"}
+        return self.reps.select(*[F.col(c).alias(short[c]) for c in ("id", *columns)])
 
     def __call__(self, pairs: DataFrame, tag: str, compared: bool = False) -> DataFrame:
         """Links (a, b) among the pairs (a, b); ``compared``: sizes and minima have been compared before."""
         if compared:
-            return self.on_sets(pairs, tag)
-        of = lambda side, other: self.reps.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
+            return self.on_sets(pairs.join(self._side("a", "at", "class"), "a").join(self._side("b", "at", "class"), "b"), tag)
         n, d = self.limit
-        near = pairs.join(of("a", "b"), "a").join(of("b", "a"), "b").where(d * F.least("n_a", "n_b") >= n * F.greatest("n_a", "n_b"))
-        near = materialise(map_arrow(near.select("a", "b", "s_a", "s_b"), _agree(self.min_agree), "a bigint, b bigint"), f"{tag}-pairs")
+        every = ("n", "signature", "at", "class")
+        near = pairs.join(self._side("a", *every), "a").join(self._side("b", *every), "b").where(d * F.least("n_a", "n_b") >= n * F.greatest("n_a", "n_b"))
+        near = materialise(map_arrow(near.select("a", "b", "at_a", "c_a", "at_b", "c_b", "s_a", "s_b"), _agree(self.min_agree), FULL), f"{tag}-pairs")
         return self.on_sets(near, tag)
 
     def on_sets(self, pairs: DataFrame, tag: str) -> DataFrame:
         sets = pairs.sparkSession.table(self.name)
-        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        left = sets.select(F.col("at").alias("at_a"), F.col("class").alias("k_a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("at").alias("at_b"), F.col("class").alias("k_b"), F.col("shingles").alias("y"))
+        both = pairs.join(left, "at_a").join(right, "at_b").select("a", "b", "c_a", "c_b", "k_a", "k_b", "x", "y")
         return materialise(map_arrow(both, _confirm(*self.limit), "a bigint, b bigint"), f"{tag}-links")
 
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(id, shingles) of nodes."""
+        sets = nodes.sparkSession.table(self.name).withColumnRenamed("class", "k")
+        return self.reps.join(nodes, "id", "left_semi").select("id", "at", "class").join(sets, "at").where(F.col("class").eqNullSafe(F.col("k"))).select("id", "shingles")
+
 
 def _agree(min_agree: int):
-    """Pairs whose signatures have enough equal minima (compared by their low bytes)."""
+    """Pairs whose signatures (the last two columns) have enough equal minima (compared by their low bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (-2, -1))
             take = pa.array(np.flatnonzero((x == y).sum(axis=1) >= min_agree))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.take(take) for c in batch.columns[:-2]], batch.schema.names[:-2])
 
     return run
 
@@ -309,19 +337,23 @@ def near_duplicates(
     rows: int = ROWS,
     min_agree: int = MIN_AGREE,
     lower: bool = True,
+    marks: bool = False,
 ) -> DataFrame:
-    """``key, n_shingles, component_id, kept`` of every row; links need denominator * intersection >= numerator * union."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    signed = materialise(map_arrow(source, _signatures(k, bands, rows, lower), "id bigint, n bigint, class binary, signature binary, bands array<bigint>"), "signatures")
-    known = signed.where("id is not null and class is not null")
-    classes = materialise(known.groupBy("class").agg(F.min("id").alias("rep")), "classes")
-    own = classes.select("class", F.col("rep").alias("id"))
-    reps = materialise(known.join(own, ["class", "id"]).select("id", "n", "signature", "bands").dropDuplicates(["id"]), "representatives")
+    """``key, n_shingles, component_id, kept`` (and ``mark`` as row_mark() makes it) of every row; links need denominator * intersection >= numerator * union."""
+    kind = docs.schema[key].dataType.simpleString()
+    source = docs.select(F.col(key).alias("doc"), F.col(text).cast("binary").alias("text"), (row_mark(key, text) if marks else F.lit(0).cast("long")).alias("mark"))
+    made = map_arrow(source, _signatures(k, bands, rows, lower), f"doc {kind}, mark bigint, n bigint, class binary, signature binary, bands array<bigint>")
+    signed = materialise(made.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    known = signed.where("doc is not null and class is not null")
+    # A class is represented by its first row under its smallest key; that row's number is the class's node.
+    classes = materialise(known.groupBy("class").agg(F.min("doc").alias("doc"), F.min_by("row", "doc").alias("id")), "classes")
+    seen = Observation()
+    twins = known.join(classes, ["class", "doc"]).observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(F.col("row") == F.col("id")).alias("own"))
+    reps = materialise(twins.where("row = id").select("id", "doc", "class", "n", "signature", "bands"), "representatives")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = materialise(banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
     members = materialise(banded.join(buckets, "bucket"), "members")
-    confirm = Confirmer(source, reps, members.select("id").distinct(), k, lower, numerator, denominator, min_agree)
+    confirm = Confirmer(source, reps, members.select("id").distinct(), (seen.get.get("all") or 0) > (seen.get.get("own") or 0), k, lower, numerator, denominator, min_agree)
 
     # Every member with the first members of its buckets.
     tried = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -337,8 +369,8 @@ def near_duplicates(
         rest = rest.join(reps.select("id", "n", "signature", "bands"), "id")
         kept = ["bucket", "id", "n", "component", "signature", "bands", "part"]
         if most is None:
-            sets = spark.table(confirm.name).join(rest.select("id").distinct(), "id", "left_semi")
-            rest = rest.join(materialise(map_arrow(sets.select("id", "shingles"), _sketches(SKETCH), "id bigint, sketch binary"), "sketches"), "id")
+            sets = confirm.sets_of(rest.select("id").distinct())
+            rest = rest.join(materialise(map_arrow(sets, _sketches(SKETCH), "id bigint, sketch binary"), "sketches"), "id")
             kept.append("sketch")
         rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         meet = rest.select(*kept, F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
@@ -348,10 +380,13 @@ def near_duplicates(
         more = confirm(extra, "rest", compared=True)
         if not more.isEmpty():
             found = merged(found, more, "rest")
-    label = classes.join(found, classes["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component"))
-    return signed.select("id", "n", "class").join(label, "class", "left").select(
-        F.col("id").alias(key),
+    # A component of nodes is named by the smallest key of its classes.
+    node = classes.join(found, "id", "left").select("class", "doc", F.coalesce("component", "id").alias("component"))
+    label = node.join(node.groupBy("component").agg(F.min("doc").alias("least")), "component").select("class", "least")
+    return signed.select("doc", "n", "class", "mark").join(label, "class", "left").select(
+        F.col("doc").alias(key),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+        F.when(F.col("doc").isNotNull(), F.coalesce("least", "doc")).alias("component_id"),
+        F.coalesce(F.col("doc") == F.coalesce("least", "doc"), F.lit(True)).alias("kept"),
+        *(["mark"] if marks else []),
     )
