@@ -3,10 +3,13 @@
 * Which record of equal payloads is the response is decided on a slim
   projection (id, SHA-1); payloads are shuffled once, for the sort.
 * Shards are ranges of the id whose bounds follow from exact byte counts, not
-  from samples, so the same rows always give the same shards.  A task writes
-  whole shards in id order, rolling to a new file once the compressed size
-  reaches ``max_file_bytes``; record ids, dates, headers, digests and gzip
-  members depend on the rows alone.
+  from samples, so the same rows always give the same shards: the slim
+  projection is sorted, and an id's shard is the number of bytes before it over
+  the size of a shard.  There are at most MAX_SHARDS (beyond that shards grow),
+  so their bounds are a list of bounded size.  A task writes one shard in id
+  order, rolling to a new file once the compressed size reaches
+  ``max_file_bytes``; record ids, dates, headers, digests and gzip members
+  depend on the rows alone.
 * A file is written under a temporary name and renamed when complete; the
   manifest (one row a file) is a table written after all files, and its
   ``_COMMITTED`` marker appears last.  Readers use only files a committed
@@ -15,21 +18,27 @@
 
 Edge cases: null html is an empty payload; a row with a null id is a response
 of its own; rows repeated under the id that is kept are all responses; null
-urls become an empty target; further columns are ignored; an empty table gives
-an empty archive.
+urls become an empty target; white space and control characters of a url are
+percent-encoded in its header, and come back so; payloads of any length are one
+record; further columns are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, map_arrow, materialise
@@ -37,15 +46,23 @@ from .common import fresh_dir, map_arrow, materialise
 #: Bytes of payload a shard holds about, and compressed bytes at which a file is rolled.
 SHARD_BYTES = 8 << 20
 MAX_FILE_BYTES = 4 << 20
-SPLITS = 1024
+MAX_SHARDS = 1 << 16
+#: Files that one task reads at most, where there are more tasks than shuffle partitions.
+FILES_PER_TASK = 16
 RECORD_DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID(int=0x5EED)
+_UNSAFE = re.compile(r"[\x00-\x20\x7f\x85\u2028\u2029]")
 
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def header_value(text: str) -> str:
+    """A value that cannot end its header line."""
+    return _UNSAFE.sub(lambda m: quote(m[0], safe=""), text)
+
+
 def record_urn(page: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page} {digest}')}>"
 
@@ -55,7 +72,7 @@ def make_record(page: str, url: str, payload: bytes, digest: str, refers_to: str
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(page, digest)}", f"WARC-Date: {RECORD_DATE}"]
-    lines += [f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"X-Page-Id: {page}"]
+    lines += [f"WARC-Target-URI: {header_value(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"X-Page-Id: {page}"]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_urn(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -64,11 +81,18 @@ def make_record(page: str, url: str, payload: bytes, digest: str, refers_to: str
     return deflate.compress(raw) + deflate.flush()
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    while data:
-        inflate = zlib.decompressobj(31)
-        yield inflate.decompress(data) + inflate.flush()
-        data = inflate.unused_data
+def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The gzip members of a file that comes in chunks."""
+    inflate, out = zlib.decompressobj(31), []
+    for data in chunks:
+        while data:
+            out.append(inflate.decompress(data))
+            data = inflate.unused_data
+            if inflate.eof:
+                yield b"".join(out)
+                inflate, out = zlib.decompressobj(31), []
+    if out and any(out):
+        raise ValueError("a file ends inside a record")
 
 
 def parse_record(raw: bytes) -> dict:
@@ -88,39 +112,38 @@ def parse_record(raw: bytes) -> dict:
 def shard_bounds(sizes: DataFrame, target: int) -> list[int]:
     """Lower bounds (ascending) of id ranges of about ``target`` bytes; ``sizes`` has ``_id`` and ``_bytes``.
 
-    Ids are counted in SPLITS equal ranges; ranges above the target are counted
-    again more finely, so the driver sees at most SPLITS rows a range.
+    Three jobs, whatever the size: the ids are sorted, with the bytes before
+    each in its part of the order; the parts are summed up; the least id of each
+    shard is collected.  Where Spark cuts the order into parts does not matter,
+    as only the bytes before an id count.
     """
-    low, high = sizes.agg(F.min("_id"), F.max("_id")).first()
-    if low is None:
+    spark = sizes.sparkSession
+    by_id = sizes.where("_id is not null").groupBy("_id").agg(F.sum("_bytes").alias("_bytes"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = materialise(by_id.repartitionByRange(parts, "_id").withColumn("part", F.spark_partition_id()), "ids")
+    totals = sorted(ordered.groupBy("part").agg(F.min("_id").alias("low"), F.sum("_bytes").alias("bytes")).collect(), key=lambda r: r["low"])  # a row a part
+    if not totals:
         return []
-    cells: list[tuple[int, int]] = []
-    open_ranges = [(int(low), int(high))]
-    while open_ranges:
-        a, b = open_ranges.pop()
-        width = -(-(b - a + 1) // SPLITS)
-        cell = F.floor((F.col("_id") - F.lit(a)) / F.lit(width)) if width > 1 else F.col("_id") - F.lit(a)
-        for row in sizes.where(F.col("_id").between(a, b)).groupBy(cell.alias("c")).agg(F.sum("_bytes").alias("b")).collect():
-            start = a + row["c"] * width
-            if row["b"] > 2 * target and width > 1:
-                open_ranges.append((start, min(b, start + width - 1)))
-            else:
-                cells.append((start, row["b"]))
-    bounds, held = [], target
-    for start, size in sorted(cells):
-        if held + size > target:
-            bounds.append(start)
-            held = 0
-        held += size
-    return bounds
-
-
-def shard_of(key: Column, bounds: list[int]) -> Column:
-    """Number of the last bound that is not above the id: a binary search over a literal array."""
-    if not bounds:
-        return F.lit(0)
-    out = F.array([F.lit(b).cast("long") for b in bounds])
-    return F.coalesce(F.size(F.filter(out, lambda b: b <= key)) - 1, F.lit(0))
+    before, total = [], 0
+    for r in totals:
+        before.append((r["part"], total))
+        total += r["bytes"]
+    target = max(target, -(-total // MAX_SHARDS))
+    offsets = F.broadcast(spark.createDataFrame(before, "part int, before bigint"))
+    running = F.sum("_bytes").over(Window.partitionBy("part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
+    shard = F.floor((F.col("before") + F.coalesce(running, F.lit(0))) / F.lit(target))
+    firsts = ordered.join(offsets, "part").select("_id", shard.alias("shard")).groupBy("shard").agg(F.min("_id").alias("low"))
+    return sorted(r["low"] for r in firsts.select("low").collect())  # at most MAX_SHARDS numbers
+
+
+def shard_of(key: Column, bounds: Broadcast) -> Column:
+    """Number of the last bound that is not above the id, by binary search; 0 for a null id."""
+
+    @F.pandas_udf("int")
+    def find(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(bounds.value, ids.to_numpy(np.int64), side="right") - 1, 0).astype(np.int32))
+
+    return find(F.coalesce(key, F.lit(-(1 << 63))))
 
 
 def _writer(base: str, max_file_bytes: int):
@@ -188,7 +211,8 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     tagged = rows.select("_id", "_sha", F.lit(1).alias("tag"), F.lit(None).cast("long").alias("keep"), "url", "payload").unionByName(
         decided.select("_id", "_sha", F.lit(0).alias("tag"), "keep", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     )
-    dealt = tagged.withColumn("shard", shard_of(F.col("_id"), bounds)).repartitionByRange(max(1, len(bounds)), "shard").sortWithinPartitions("shard", "_id", "_sha", "tag", "url")
+    known = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+    dealt = tagged.withColumn("shard", shard_of(F.col("_id"), known)).repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", "_id", "_sha", "tag", "url")
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(f"{root}/_temporary", recursive=True)
     manifest = map_arrow(dealt, _writer(path, max_file_bytes), "file string, shard int, number int, records bigint, bytes bigint, sha256 string")
@@ -210,8 +234,22 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
-def _read(with_payload: bool):
+class Checked:
+    """A file's bytes from a stream, with their digest so far."""
+
+    def __init__(self, source):
+        self.source, self.sha = source, hashlib.sha256()
+
+    def chunks(self, size: int = 1 << 20) -> Iterator[bytes]:
+        while data := self.source.read(size):
+            self.sha.update(data)
+            yield data
+
+
+def _read(base: str, with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(base)
+
         def batch_of(rows):
             cols = [
                 ("page_id", [int(h["X-Page-Id"]) if h["X-Page-Id"] else None for h, *_ in rows], pa.int64()),
@@ -226,31 +264,35 @@ def _read(with_payload: bool):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for _, v, t in cols], [n for n, *_ in cols])
 
         for batch in batches:
-            for content, sha in zip(batch.column("content"), batch.column("sha256").to_pylist(), strict=True):
-                data = content.as_py()
-                if hashlib.sha256(data).hexdigest() != sha:
-                    raise ValueError("a file differs from its manifest")
-                rows = []
-                for raw in members(data):
-                    r = parse_record(raw)
-                    rows.append((r["headers"], r["payload_bytes"], r["payload"]))
-                    if len(rows) >= 512:
+            for name, sha in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    source = Checked(f)
+                    rows, size = [], 0
+                    for raw in members(source.chunks()):
+                        r = parse_record(raw)
+                        rows.append((r["headers"], r["payload_bytes"], r["payload"] if with_payload else None))
+                        size += len(raw) * with_payload
+                        if len(rows) >= 512 or size >= 4 << 20:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+                    if rows:
                         yield batch_of(rows)
-                        rows = []
-                if rows:
-                    yield batch_of(rows)
+                if source.sha.hexdigest() != sha:
+                    raise ValueError(f"{name} differs from its manifest")
 
     return run
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """The records of the files that the committed manifest names."""
+    """The records of the files that the committed manifest names: tasks open them by name, and stream them."""
     manifest = read_manifest(spark, path).select("file", "sha256")
     schema = RECORD + (", payload binary" if with_payload else "")
-    if manifest.isEmpty():
+    files = manifest.count()
+    if not files:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content", F.element_at(F.split("path", "/"), -1).alias("file"))
-    return map_arrow(files.join(F.broadcast(manifest), "file"), _read(with_payload), schema)
+    tasks = min(files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files // FILES_PER_TASK)))
+    dealt = manifest.select("file", "sha256", F.pmod(F.xxhash64("file"), F.lit(tasks)).cast("int").alias("task")).repartitionById(tasks, F.col("task"))
+    return map_arrow(dealt.select("file", "sha256"), _read(path, with_payload), schema)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
