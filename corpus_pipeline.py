@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from provena.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, toxicity
-from provena.llm.common import materialise, without
+from provena.llm.common import materialise, row_mark, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts."""
-    found = exact_dedup.exact_dedup(docs.select("doc_id", "text"))
-    return without(docs, found.where("not kept").select("doc_id"), "doc_id")
+    found = exact_dedup.exact_dedup(docs.select("doc_id", "text"), carry={"mark": row_mark("_id", "_text")})
+    return without(docs, found.where("not kept").select("doc_id", "mark"), "doc_id", "text")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similarity 0.8 on shingles of five words."""
-    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"), k=5, numerator=80, denominator=100, bands=32, min_agree=74)
-    return without(docs, found.where("not kept").select("doc_id"), "doc_id")
+    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"), k=5, numerator=80, denominator=100, bands=32, min_agree=74, marks=True)
+    return without(docs, found.where("not kept").select("doc_id", "mark"), "doc_id", "text")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocab = byte_bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return byte_bpe.digest(byte_bpe.encode(docs.select("doc_id", "text"), vocab), vocab)
+    return byte_bpe.encode(docs.select("doc_id", "text"), vocab, digests=True)
 
 
 STAGES = [
