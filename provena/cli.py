@@ -8,6 +8,7 @@ import json
 import logging
 import os
 import sys
+from datetime import UTC, datetime
 
 # Exit codes.
 OK, FAILED, MANUAL_REVIEW, PARTIAL, INVALID_CONFIG, COLLISION = range(6)
@@ -47,6 +48,21 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+class JsonLines(logging.Formatter):
+    """One JSON object a message."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        return json.dumps({"time": datetime.fromtimestamp(record.created, UTC).isoformat(), "level": record.levelname.lower(), "message": record.getMessage()})
+
+
+def set_up_log(args) -> None:
+    level = logging.DEBUG if args.verbose else logging.ERROR if args.quiet else logging.INFO
+    handler = logging.StreamHandler()
+    handler.setFormatter(JsonLines() if args.json else logging.Formatter("%(message)s"))
+    log.handlers[:], log.propagate = [handler], False
+    log.setLevel(level)
+
+
 def resolve(args):
     """An explicit configuration file, else the one saved in the workspace, else the arguments alone."""
     from provena.plans import config
@@ -76,7 +92,7 @@ def show(args, result: dict) -> None:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.ERROR if args.quiet else logging.INFO, format="%(message)s")
+    set_up_log(args)
     from provena.plans.config import ConfigError
 
     if args.command in ("references", "verify"):
@@ -91,6 +107,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("provena").getOrCreate()
+    from provena.operators.tables import WorkspaceError
     from provena.plans import audit, consolidation, report, review
 
     try:
@@ -111,7 +128,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except consolidation.ConsolidationError as e:
         log.error("%s", e)
         return COLLISION if "collide" in str(e) else FAILED
-    except (review.ReviewError, FileNotFoundError, report.InvalidReport) as e:
+    except (review.ReviewError, FileNotFoundError, report.InvalidReport, WorkspaceError) as e:
         log.error("%s", e)
         return FAILED
     return OK

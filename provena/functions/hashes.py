@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +23,23 @@ def hamming_halves(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Co
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
+def fold(bits: Sequence[Column]) -> Column:
+    """Booleans, first one highest, as one BIGINT: a flat sum that compiles, without arrays or lambdas."""
+    out = F.lit(0).cast("long")
+    for i, bit in enumerate(bits):
+        out = out + F.when(bit, F.lit(1 << (len(bits) - 1 - i)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out
+
+
+def halves_to_hex(hi: Column, lo: Column) -> Column:
+    """Two 32-bit halves as 16 hex digits."""
+    return F.concat(*[F.lpad(F.lower(F.hex(x)), 8, "0") for x in (hi, lo)])
+
+
 def bits_to_hex(bits: Column) -> Column:
     """Array of 64 zero/one integers, first bit highest, as 16 hex digits."""
-    word = lambda at: F.lpad(F.lower(F.hex(F.aggregate(F.slice(bits, at, 32), F.lit(0).cast("long"), lambda acc, x: acc * 2 + x.cast("long")))), 8, "0")
-    return F.concat(word(1), word(33))
+    cell = [F.element_at(bits, i + 1) == 1 for i in range(64)]
+    return halves_to_hex(fold(cell[:32]), fold(cell[32:]))
 
 
 def band(hi: Column, lo: Column, start: int, width: int) -> Column:
@@ -39,13 +54,18 @@ def band(hi: Column, lo: Column, start: int, width: int) -> Column:
     return out
 
 
-def perceptual_bits(block: Column) -> Column:
-    """Low-frequency 8x8 block against its median: 1 where a value is above the lower middle one."""
-    middle = F.element_at(F.array_sort(block), 32)
-    return F.transform(block, lambda v: F.when(v > middle, 1).otherwise(0))
+def perceptual_halves(block: Column, middle: Column) -> list[Column]:
+    """Low-frequency 8x8 block against its median (``lower_middle``): 1 where a value is above it, as two halves."""
+    above = [F.element_at(block, i + 1) > middle for i in range(64)]
+    return [fold(above[:32]), fold(above[32:])]
+
+
+def lower_middle(block: Column) -> Column:
+    return F.element_at(F.array_sort(block), 32)
 
 
-def difference_bits(grid: Column, columns: int = 8) -> Column:
-    """1 where a cell is smaller than its right neighbour; the first column stands in after the last."""
-    right = lambda i: F.element_at(grid, (F.floor(i / columns) * columns + (i + 1) % columns + 1).cast("int"))
-    return F.transform(grid, lambda v, i: F.when(v < right(i), 1).otherwise(0))
+def difference_halves(grid: Column, columns: int = 8) -> list[Column]:
+    """1 where a cell is smaller than its right neighbour, as two halves; the first column stands in after the last."""
+    right = [i // columns * columns + (i + 1) % columns for i in range(64)]
+    smaller = [F.element_at(grid, i + 1) < F.element_at(grid, j + 1) for i, j in enumerate(right)]
+    return [fold(smaller[:32]), fold(smaller[32:])]

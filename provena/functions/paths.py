@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,14 +116,38 @@ def _key_udf(paths: pd.Series) -> pd.Series:
     return paths.map(collision_key_of)
 
 
+def plain_slug(component: Column) -> Column:
+    """Slug of an ASCII name, by expressions."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(component), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    return F.when(out == "", "image").otherwise(out)
+
+
 def slugify(component: Column) -> Column:
-    """ASCII names are handled by expressions, others by Unicode normalisation in an Arrow UDF."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(component), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    return F.when(component.rlike(r"^[\x00-\x7f]*$"), F.when(plain == "", "image").otherwise(plain)).otherwise(_slug_udf(component))
+    """Slug of any name, by Unicode normalisation in an Arrow UDF; ``by_plainness`` keeps ASCII names away from it."""
+    return _slug_udf(component)
+
+
+def plain_key(path: Column) -> Column:
+    return F.lower(posix(path))
 
 
 def collision_key(path: Column) -> Column:
-    return F.when(path.rlike(r"^[\x00-\x7f]*$"), F.lower(posix(path))).otherwise(_key_udf(path))
+    """What two paths share that one file system folder cannot hold both, in an Arrow UDF."""
+    return _key_udf(path)
+
+
+def by_plainness(df: DataFrame, test: Column, name: str, plain: Column, other: Column) -> DataFrame:
+    """``df`` with a column that is ``plain`` where ``test`` is ASCII (or null) and ``other`` elsewhere.
+
+    Two branches, because Spark evaluates a Python UDF for all rows of the plan
+    that it is in, also below a CASE.
+    """
+    ascii_only = F.coalesce(test.rlike(r"^[\x00-\x7f]*$"), F.lit(True))
+    return df.where(ascii_only).withColumn(name, plain).unionByName(df.where(~ascii_only).withColumn(name, other))
+
+
+def with_collision_key(df: DataFrame, path: str, name: str) -> DataFrame:
+    return by_plainness(df, F.col(path), name, plain_key(F.col(path)), collision_key(F.col(path)))
 
 
 def append_suffix(path: Column, suffix: Column) -> Column:

@@ -58,11 +58,11 @@ def exact_groups(images: DataFrame, preferences: Preferences = ()) -> DataFrame:
         F.when(won, F.col("_best_id")).alias("recommended_id"),
         F.when(won, "automatic").otherwise("manual-review").alias("status"),
         F.when(won, 1.0).when(signal, 0.5).otherwise(0.0).alias("confidence"),
-        F.concat(F.col("members").cast("string"), F.lit(" files share identical content (SHA-256 "), F.substring("sha256", 1, 12), F.lit("…)")).alias("reason"),
-        F.when(won, F.concat(F.lit('path preference favours "'), F.col("_best_path"), F.lit('"'))).alias("preference_reason"),
+        F.concat(F.col("members").cast("string"), F.lit(" files with SHA-256 "), F.substring("sha256", 1, 12), F.lit("…")).alias("reason"),
+        F.when(won, F.concat(F.lit("preferred path: "), F.col("_best_path"))).alias("preference_reason"),
         F.when(won, F.lit(None))
-        .when(signal, "multiple paths tie for the highest configured path preference")
-        .otherwise("no path preference configured; which copy to treat as the original is unresolved")
+        .when(signal, "several paths are preferred alike")
+        .otherwise("no path is preferred, so no copy is chosen")
         .alias("warning"),
     )
 
@@ -77,7 +77,7 @@ def exact_edges(images: DataFrame) -> DataFrame:
     """Star edges from the representative to every other member, with confidence 1."""
     keys = duplicate_keys(images).select("sha256", F.col("_rep.id").alias("a"))
     joined = images.join(keys, "sha256").where(F.col("id") != F.col("a"))
-    return joined.select(group_id(F.col("sha256")).alias("group_id"), "a", F.col("id").alias("b"), F.lit("exact-duplicate").alias("relationship"), F.lit(1.0).alias("confidence"), F.lit("identical SHA-256").alias("reason"))
+    return joined.select(group_id(F.col("sha256")).alias("group_id"), "a", F.col("id").alias("b"), F.lit("exact-duplicate").alias("relationship"), F.lit(1.0).alias("confidence"), F.lit("same SHA-256").alias("reason"))
 
 
 def hard_links(images: DataFrame) -> DataFrame:

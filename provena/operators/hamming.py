@@ -7,6 +7,11 @@ Two hashes within distance T agree on at least one of T + 1 bands.  Up to
 MAX_BANDED_DISTANCE bands are selective enough to join on (aspect bucket, band,
 value); beyond it a band has two or three bits and would only repeat the same
 pairs, so the join is on the aspect bucket with the distance as a residual.
+
+Rows that share a join key are dealt into tiles of about TILE rows, and every
+tile of one side meets every tile of the other under a key of its own: a bucket
+that holds all rows is as many tasks as it needs, and nothing is broadcast but
+what Spark itself finds small enough.
 """
 
 from __future__ import annotations
@@ -16,7 +21,10 @@ from pyspark.sql import functions as F
 
 from provena.functions.hashes import band, hamming_halves
 
+from .tables import cut
+
 MAX_BANDED_DISTANCE = 15
+TILE = 4096
 
 
 def bucket_of(ratio: Column, width: float) -> Column:
@@ -38,23 +46,41 @@ def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select([F.col(c).alias(p + c) for c in df.columns])
 
 
-def hamming_join(queries: DataFrame, pool: DataFrame, threshold: int, tolerance: float | None) -> DataFrame:
+def tiled(q: DataFrame, m: DataFrame, keys: list[str], q_id: str = "id", m_id: str = "id", rows: int = TILE) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with tile numbers, and the keys to join on: as before, or with the tiles where a key has more than ``rows`` rows."""
+    counted = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(n))
+    tiles = counted(q, "_nq").join(counted(m, "_nm"), keys).where("_nq > 1 or _nm > 1")
+    tiles = cut(tiles, "tiles")
+    if tiles.isEmpty():
+        return q, m, keys
+    own = lambda df, id_, n, mine, other, k: (
+        df.join(tiles, keys, "left")
+        .withColumn(mine, F.coalesce(F.pmod(F.xxhash64(id_), F.col(n)).cast("int"), F.lit(0)))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(k), F.lit(1)) - 1)))
+        .drop("_nq", "_nm")
+    )
+    return own(q, q_id, "_nq", "_i", "_j", "_nm"), own(m, m_id, "_nm", "_j", "_i", "_nq"), [*keys, "_i", "_j"]
+
+
+def hamming_join(queries: DataFrame, pool: DataFrame, threshold: int, tolerance: float | None, rows: int = TILE) -> DataFrame:
     """(query, match) rows with both records' columns prefixed ``q_`` and ``m_``, and both distances.
 
     With a tolerance, matches are searched in the query's aspect bucket and its
     two neighbours, which is lossless because a bucket is wider than the tolerance.
     """
     q, m = queries, pool
-    keys = []
     if tolerance is not None:
         width = bucket_width(tolerance)
         b = bucket_of(F.col("aspect_ratio"), width)
         q = q.withColumn("_bucket", b)
         m = m.withColumn("_bucket", F.explode(F.array(b - 1, b, b + 1)))
-        keys.append("_bucket")
+    else:
+        q, m = q.withColumn("_bucket", F.lit(0).cast("long")), m.withColumn("_bucket", F.lit(0).cast("long"))
+    keys = ["_bucket"]
     if threshold <= MAX_BANDED_DISTANCE:
         q, m = _bands(q, threshold), _bands(m, threshold)
         keys += ["_no", "_value"]
+    q, m, keys = tiled(q, m, keys, rows=rows)
     q, m = _prefixed(q, "q_"), _prefixed(m, "m_")
     d = hamming_halves(F.col("q_d_hi"), F.col("q_d_lo"), F.col("m_d_hi"), F.col("m_d_lo"))
     p = hamming_halves(F.col("q_p_hi"), F.col("q_p_lo"), F.col("m_p_hi"), F.col("m_p_lo"))
@@ -68,6 +94,21 @@ def hamming_join(queries: DataFrame, pool: DataFrame, threshold: int, tolerance:
     return out
 
 
+def aspect_partners(records: DataFrame, tolerance: float) -> DataFrame:
+    """(id, aspect_class, partners): how many other records are within the tolerance of each record's aspect ratio.
+
+    Records of one ratio are one class; classes meet in their bucket and its
+    neighbours, so that no pair of records is ever made.
+    """
+    classes = records.groupBy("aspect_ratio").agg(F.count(F.lit(1)).alias("n"))
+    b = bucket_of(F.col("aspect_ratio"), bucket_width(tolerance))
+    x = classes.select(F.col("aspect_ratio").alias("aspect_class"), b.alias("_bucket"))
+    y = classes.select(F.col("aspect_ratio").alias("_other"), "n", F.explode(F.array(b - 1, b, b + 1)).alias("_bucket"))
+    near = x.join(y, "_bucket").where(F.abs(F.col("aspect_class") - F.col("_other")) <= tolerance)
+    total = near.groupBy("aspect_class").agg((F.sum("n") - 1).alias("partners"))
+    return records.select("id", F.col("aspect_ratio").alias("aspect_class")).join(total, "aspect_class").select("id", "aspect_class", "partners")
+
+
 def _pairs(found: DataFrame, *orders: Column) -> DataFrame:
     """One row a pair, smaller id first, with the distances of the first hit in the given order."""
     pick = F.struct("d_distance", "p_distance", "aspect_delta")
@@ -98,7 +139,7 @@ def candidate_pairs(hashed: DataFrame, threshold: int = 10, tolerance: float = 0
 
 
 def crop_pairs(hashed: DataFrame, threshold: int = 28) -> DataFrame:
-    """Pairs for crop detection: difference hashes alone, any aspect ratio; quadratic by its nature."""
+    """Pairs for crop detection: difference hashes alone, any aspect ratio; quadratic by its nature, so done tile by tile."""
     own = hashed.where("d_hi is not null")
     found = hamming_join(own, own, threshold, None).where("q_id < m_id")
     return found.select(F.col("q_id").alias("a"), F.col("m_id").alias("b"), "d_distance")

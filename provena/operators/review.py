@@ -23,19 +23,19 @@ def validate(decisions: DataFrame, snapshot: DataFrame, live: DataFrame) -> Data
     out = decisions.withColumn("_n", times).join(snap, "group_id", "left").join(now, "group_id", "left")
     text = F.concat
     reason = (
-        F.when(c("_n") > 1, text(c("_n").cast("string"), F.lit(" conflicting decisions were given for this group; only one decision per group is allowed per import")))
-        .when(c("_known").isNull(), "group ID does not exist in the audit report")
-        .when(c("selected_id").isNotNull() & (c("selected_id") != "") & ~F.array_contains("_ref", c("selected_id")), text(F.lit('selected image "'), c("selected_id"), F.lit('" is not a member of this group')))
-        .when((c("action") == "approve-recommendation") & ~c("selected_id").eqNullSafe(c("_rec")), "\"approve-recommendation\" must select the group's recommended original")
-        .when(c("_alive").isNull(), "group no longer exists in the current workspace")
-        .when(c("_ref") != c("_now"), text(F.lit("group membership has changed since the audit report was generated (was "), F.size("_ref").cast("string"), F.lit(" member(s), now "), F.size("_now").cast("string"), F.lit(")")))
+        F.when(c("_n") > 1, text(c("_n").cast("string"), F.lit(" decisions name this group, one is allowed")))
+        .when(c("_known").isNull(), "unknown group")
+        .when(c("selected_id").isNotNull() & (c("selected_id") != "") & ~F.array_contains("_ref", c("selected_id")), text(c("selected_id"), F.lit(" is in another group or in none")))
+        .when((c("action") == "approve-recommendation") & ~c("selected_id").eqNullSafe(c("_rec")), "approval of an image that was not recommended")
+        .when(c("_alive").isNull(), "stale: the group is gone")
+        .when(c("_ref") != c("_now"), text(F.lit("stale: other members, "), F.size("_ref").cast("string"), F.lit(" then and "), F.size("_now").cast("string"), F.lit(" now")))
     )
-    stale = c("reason").startswith("group no longer") | c("reason").startswith("group membership")
+    stale = c("reason").startswith("stale: ")
     return out.withColumn("reason", reason).withColumn("verdict", F.when(c("reason").isNull(), "valid").when(stale, "stale").otherwise("invalid")).drop("_n", "_ref", "_rec", "_known", "_now", "_alive")
 
 
 def review_reason(action, note):
-    return F.concat(F.lit("Reviewed by human: "), action, F.when(note.isNotNull() & (note != ""), F.concat(F.lit(" — "), note)).otherwise(""))
+    return F.concat(F.lit("reviewer's decision: "), action, F.when(note.isNotNull() & (note != ""), F.concat(F.lit(" ("), note, F.lit(")"))).otherwise(""))
 
 
 def apply(groups: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -61,3 +61,13 @@ def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     fresh = fresh.withColumn("_set", F.when(F.col("_old").isNull(), 1).otherwise(0)).withColumn("_old", F.coalesce("_old", "position"))
     out = kept.unionByName(fresh, allowMissingColumns=True)
     return out.withColumn("position", F.col("_set") * F.lit(1 << 40) + F.col("_old")).drop("_set", "_old")
+
+
+def violations(groups: DataFrame) -> DataFrame:
+    """(group_id, problem) of stored groups that break a rule; the first rule broken counts."""
+    problem = (
+        F.when(F.size("members") < 2, "fewer than two members")
+        .when(F.col("recommended_id").isNotNull() & ~F.array_contains("members", F.col("recommended_id")), "winner is no member")
+        .when((F.col("status") == "automatic") & F.col("score").isNull(), "automatic without a score")
+    )
+    return groups.select("group_id", problem.alias("problem")).where("problem is not null")

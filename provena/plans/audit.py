@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from provena.functions.hashes import half
 from provena.functions.paths import preference_score
 from provena.operators import compare, duplicates, groups, hamming, scoring
-from provena.operators.tables import Workspace, changed, cut, upsert
+from provena.operators.tables import Workspace, changed, cut, filled, raised, upsert
 from provena.plans.config import Config
 from provena.sources import discovery
 
@@ -147,7 +147,8 @@ def _detail(row: dict) -> list[dict]:
 def hashed_of(images: DataFrame) -> DataFrame:
     """Records in the shape of the similarity joins; the order of records is that of their paths."""
     h = lambda c, i: half(F.col(c), i)
-    return images.select("id", "sha256", "aspect_ratio", F.col("relative_path").alias("order_key"), h("d_hash", 0).alias("d_hi"), h("d_hash", 1).alias("d_lo"), h("p_hash", 0).alias("p_hi"), h("p_hash", 1).alias("p_lo"))
+    own = images.select("id", "sha256", "aspect_ratio", F.col("relative_path").alias("order_key"), h("d_hash", 0).alias("d_hi"), h("d_hash", 1).alias("d_lo"), h("p_hash", 0).alias("p_hi"), h("p_hash", 1).alias("p_lo"))
+    return cut(own, "hashed")  # so that a join reads numbers, and parses no digits for every pair
 
 
 def sides(pairs: DataFrame, images: DataFrame) -> DataFrame:
@@ -178,13 +179,14 @@ def record_errors(ws: Workspace, failed: DataFrame, phase: str, operation: str)
 
 
 def hash_images(config: Config, ws: Workspace, images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(images with hashes, orientation variants): every distinct content is decoded once."""
+    """(images with hashes, orientation variants): every distinct content is decoded once, and never again by later audits."""
     one = images.groupBy("sha256").agg(F.min("real_path").alias("real_path")).withColumn("max_pixels", F.lit(config.limits.max_input_pixels))
-    made = cut(_rows(one, "sha256 string, real_path string, variant int, d string, p string, error string", _hash), "hashes")
-    record_errors(ws, made.where("error is not null"), "hashing", "compute perceptual hashes")
-    plain = made.where("variant = 0").select("sha256", F.col("d").alias("_d"), F.col("p").alias("_p"))
-    out = images.join(plain, "sha256", "left").withColumn("d_hash", F.coalesce("_d", "d_hash")).withColumn("p_hash", F.coalesce("_p", "p_hash")).drop("_d", "_p").select(*images.columns)
-    out = ws.replace("images", out)
+    known = ws.read("variants")
+    todo = one if known is None else one.join(known.select("sha256").distinct(), "sha256", "left_anti")
+    fresh = cut(_rows(todo, "sha256 string, real_path string, variant int, d string, p string, error string", _hash), "hashes")
+    record_errors(ws, fresh.where("error is not null"), "hashing", "compute perceptual hashes")
+    made = ws.append("variants", fresh.where("error is null").select("sha256", "variant", "d", "p"))
+    out = ws.replace("images", filled(images, made.where("variant = 0").select("sha256", F.col("d").alias("d_hash"), F.col("p").alias("p_hash")), "sha256", "d_hash", "p_hash"))
     h = lambda c, i: half(F.col(c), i)
     turned = made.where("variant > 0").join(out.select("id", "sha256"), "sha256").select("id", "variant", h("d", 0).alias("d_hi"), h("d", 1).alias("d_lo"), h("p", 0).alias("p_hi"), h("p", 1).alias("p_lo"))
     return out, turned
@@ -211,13 +213,12 @@ def crops_and_upscales(config: Config, compared: DataFrame, images: DataFrame) -
     if config.matching.detect_crops:
         extra = hamming.extra_crop_pairs(hamming.crop_pairs(hashed_of(images)), base).select("a", "b")
         none = F.array().cast("array<string>")
-        held = extra.select("a", "b", F.lit("unknown").alias("relationship"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("ssim_score"), F.lit("none").alias("transform_used"), none.alias("reasons"), none.alias("warnings"))
-        base = cut(base.unionByName(held), "with-crop-pairs")
+        base = cut(compare.with_placeholders(base, extra), "with-crop-pairs")
         asked = sides(base.where("relationship = 'unknown'").select("a", "b"), images).repartition("a", "b")
         found = cut(_rows(asked, "a string, b string, " + DETAILS + ", crop_confidence double", _crop), "crops")
         base = base.join(found, ["a", "b"], "left")
         is_crop = F.col("cropped").isNotNull()
-        said = F.concat(F.lit("crop retains "), F.format_string("%.0f", F.col("retained") * 100), F.lit("% of the full frame"))
+        said = F.concat(F.lit("crop to "), F.format_string("%.0f", F.col("retained") * 100), F.lit("%"))
         base = (
             base.withColumn("relationship", F.when(is_crop, "crop").otherwise(F.col("relationship")))
             .withColumn("confidence", F.when(is_crop, F.col("crop_confidence")).otherwise(F.col("confidence")))
@@ -253,16 +254,16 @@ def recommend_groups(config: Config, visual: DataFrame, compared: DataFrame, ima
         "group_id", F.col("position").cast("bigint").alias("position"), "image_id", "detail_score", (F.col("width").cast("bigint") * F.col("height")).alias("pixel_count"), F.coalesce("bit_depth", F.lit(8)).alias("bit_depth"), "has_alpha", "icc",
         count("exif", "iptc", "xmp").alias("metadata_count"), preference_score(F.col("relative_path"), config.path_preferences).alias("path_score"), F.col("retained").isNotNull().alias("is_crop"), "retained", F.coalesce("is_upscale", F.lit(False)).alias("is_upscale"),
     )
-    scored = cut(scoring.scores(signals, config.scoring), "scores")
+    scored = cut(scoring.scores(signals.join(images.select(F.col("id").alias("image_id"), F.col("relative_path").alias("path")), "image_id"), config.scoring), "scores")
     decided = cut(scoring.recommend(visual, scored, config.review), "decided")
-    told = scoring.explain(scored, decided)
+    told = scoring.explain(scored, decided, "path")
     out = visual.drop("confidence", "status").join(decided, "group_id").join(told.withColumnRenamed("reasons", "_r").withColumnRenamed("warnings", "_w"), "group_id", "left")
     names = images.select(F.col("id").alias("candidate_id"), F.col("relative_path").alias("_path"))
     out = out.join(names, "candidate_id", "left").join(scored.select("group_id", F.col("image_id").alias("candidate_id"), F.col("total").alias("_total")), ["group_id", "candidate_id"], "left")
     none = F.array().cast("array<string>")
-    maybe = F.concat(F.lit('possible candidate (not auto-selected): "'), F.col("_path"), F.lit('", score '), F.format_string("%.0f", "_total"), F.lit("/100"))
-    lost = F.concat(F.lit("not grouped, because not compared directly with the group's representative: "), F.array_join("excluded", ", "))
-    nobody = F.lit("no candidate was eligible for automatic selection (all members disqualified) — manual review required")
+    maybe = F.concat(F.lit("best member: "), F.col("_path"), F.lit(", score "), F.format_string("%.0f", "_total"), F.lit(" of 100"))
+    lost = F.concat(F.lit("left out, no direct match with the first member: "), F.array_join("excluded", ", "))
+    nobody = F.lit("every member is ruled out")
     reasons = F.when(F.col("status") == "automatic", F.coalesce("_r", none)).when((F.col("status") == "manual-review") & F.col("candidate_id").isNotNull(), F.array(maybe)).otherwise(none)
     warnings = F.array_compact(F.array(F.when(F.size("excluded") > 0, lost)))
     warnings = F.concat(warnings, F.when(F.col("status") == "ambiguous", none).when(F.col("candidate_id").isNull(), F.array(nobody)).otherwise(F.coalesce("_w", none)))
@@ -272,7 +273,7 @@ def recommend_groups(config: Config, visual: DataFrame, compared: DataFrame, ima
 def exact_as_groups(images: DataFrame, config: Config) -> DataFrame:
     g = duplicates.exact_groups(images, config.path_preferences)
     m = duplicates.exact_members(images).groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct(F.collate("relative_path", "UNICODE").alias("p"), F.col("image_id").alias("i")))).alias("_m"))
-    links = duplicates.hard_links(images).groupBy("group_id").agg(F.array_sort(F.collect_list(F.concat(F.col("members").cast("string"), F.lit(" members are hard links of the same inode")))).alias("_links"))
+    links = duplicates.hard_links(images).groupBy("group_id").agg(F.array_sort(F.collect_list(F.concat(F.col("members").cast("string"), F.lit(" members are one inode")))).alias("_links"))
     none = F.array().cast("array<string>")
     return g.join(m, "group_id").join(links, "group_id", "left").select(
         "group_id", F.lit("exact-duplicate").alias("kind"), F.transform("_m", lambda x: x["i"]).alias("members"), "recommended_id", F.lit(None).cast("double").alias("score"), "confidence", "status",
@@ -300,8 +301,7 @@ def run_audit(spark: SparkSession, config: Config, force: bool = False) -> dict:
         pairs = ws.replace("candidate_pairs", pairs)
         compared, upscales = crops_and_upscales(config, confirm_pairs(config, pairs, images), decodable)
         ws.replace("comparisons", compared)
-        flagged = images.join(upscales.withColumn("_up", F.lit(True)), "id", "left").withColumn("is_upscale", F.coalesce("is_upscale", F.lit(False)) | F.coalesce("_up", F.lit(False))).select(*images.columns)
-        images = ws.replace("images", flagged)
+        images = ws.replace("images", raised(images, upscales, "is_upscale"))
         visual = cut(groups.visual_groups(compared, config.review.manual_threshold), "visual")
         ws.replace_kind("visual", recommend_groups(config, visual, compared, images))
         counters |= {"candidate_pairs": pairs.count(), "confirmed": compared.where("relationship not in ('unknown', 'crop')").count(), "crops": compared.where("relationship = 'crop'").count(), "upscales": images.where("is_upscale").count()}

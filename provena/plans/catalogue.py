@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.functions.paths import preference_score, sanitise, slugify
+from provena.functions import hashes
+from provena.functions.paths import by_plainness, matches_any, plain_slug, preference_score, sanitise, slugify
 from provena.operators import compare, consolidate, duplicates, groups, hamming, review, scoring, tables
-from provena.plans.config import Review
-from provena.plans.oracle_sql import CROP_DISTANCE, PAIR_DISTANCE, PREFERENCES, TOLERANCE, all_sql
+from provena.plans.config import NAMINGS, Review
+from provena.plans.oracle_sql import CROP_DISTANCE, LOOSE_SIMILARITY, PAIR_DISTANCE, PREFERENCES, SIMILARITY, TOLERANCE, all_sql
 from provena.sources import adapters, discovery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,8 +124,10 @@ def _pairs(spark, d):
 
 
 @query
-def hamming_pairs_t24(spark, d):
-    return _pairs(spark, d).select("a", "b", "d_distance", "p_distance")
+def hamming_pairs_t10(spark, d):
+    """The default distance, which is joined by bands: every record beside a copy with up to eleven bits turned."""
+    own = adapters.hashed(spark, d)
+    return hamming.candidate_pairs(own.unionByName(adapters.near_copies(own)), 10, TOLERANCE).select("a", "b", "d_distance", "p_distance")
 
 
 @query
@@ -132,12 +137,7 @@ def candidate_pairs(spark, d):
 
 @query
 def aspect_bucket_pairs(spark, d):
-    r = adapters.hashes(spark, d).select("id", "vec_id", "aspect_ratio")
-    b = hamming.bucket_of(F.col("aspect_ratio"), hamming.bucket_width(TOLERANCE))
-    x = r.select(F.col("id").alias("xi"), F.col("vec_id").alias("xv"), F.col("aspect_ratio").alias("xa"), b.alias("bucket"))
-    y = r.select(F.col("id").alias("yi"), F.col("vec_id").alias("yv"), F.col("aspect_ratio").alias("ya"), F.explode(F.array(b - 1, b, b + 1)).alias("bucket"))
-    delta = F.abs(F.col("xa") - F.col("ya"))
-    return x.join(y, "bucket").where((F.col("xv") < F.col("yv")) & (delta <= TOLERANCE)).select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b"), F.round(delta, 6).alias("aspect_delta"))
+    return hamming.aspect_partners(adapters.records(spark, d), TOLERANCE).select("id", F.round("aspect_class", 6).alias("aspect_class"), "partners")
 
 
 @query
@@ -158,8 +158,8 @@ def crop_extra_pairs_anti(spark, d):
 # --- Confirmation and groups ----------------------------------------------------------
 
 
-def _compared(spark, d):
-    return compare.classify(adapters.pair_features(_pairs(spark, d).select("a", "b"), adapters.hashes(spark, d)))
+def _compared(spark, d, threshold=SIMILARITY):
+    return compare.classify(adapters.pair_features(_pairs(spark, d).select("a", "b"), adapters.records(spark, d)), threshold)
 
 
 @query
@@ -177,8 +177,8 @@ def relationship_counts(spark, d):
     return _compared(spark, d).groupBy("relationship").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-def _edges(spark, d):
-    return tables.cut(_compared(spark, d).select("a", "b", "relationship", "confidence"), "compared")
+def _edges(spark, d, threshold=SIMILARITY):
+    return tables.cut(_compared(spark, d, threshold).select("a", "b", "relationship", "confidence"), "compared")
 
 
 @query
@@ -197,7 +197,8 @@ def visual_groups(spark, d):
 
 @query
 def visual_group_exclusions(spark, d):
-    return groups.visual_members(_edges(spark, d)).where("not accepted").select("component", "image_id")
+    """At a lower threshold, where chains of similar images form."""
+    return groups.visual_members(_edges(spark, d, LOOSE_SIMILARITY)).where("not accepted").select("component", "image_id")
 
 
 # --- Scoring ---------------------------------------------------------------------------
@@ -207,7 +208,7 @@ def _scored(spark, d):
     """(groups, members, signals) with the groups cut, since several plans share them."""
     g = tables.cut(_visual(spark, d), "groups")
     members = g.select("group_id", F.explode("members").alias("image_id"))
-    return g, members, adapters.signals(members, adapters.hashes(spark, d))
+    return g, members, adapters.signals(members, adapters.records(spark, d))
 
 
 @query
@@ -260,14 +261,14 @@ def group_status_decision(spark, d):
 def report_summary(spark, d):
     g, _, r = _recommended(spark, d)
     n = lambda s: F.count_if(F.col("status") == s)
-    files = adapters.hashes(spark, d).agg(F.count(F.lit(1)).alias("files"))
+    files = adapters.records(spark, d).agg(F.count(F.lit(1)).alias("files"))
     return r.agg(F.count(F.lit(1)).alias("groups"), n("automatic").alias("automatic"), n("manual-review").alias("manual_review"), n("ambiguous").alias("ambiguous")).join(F.broadcast(files)).select("files", "groups", "automatic", "manual_review", "ambiguous")
 
 
 @query
 def report_assets(spark, d):
     _, members, _ = _scored(spark, d)
-    return adapters.hashes(spark, d).select(F.col("id").alias("image_id")).join(members, "image_id", "left_semi")
+    return adapters.records(spark, d).select(F.col("id").alias("image_id")).join(members, "image_id", "left_semi")
 
 
 # --- Review -------------------------------------------------------------------------------
@@ -276,7 +277,7 @@ def report_assets(spark, d):
 def _decisions(spark, d):
     """(snapshot groups, live groups, decisions) that exercise every verdict."""
     g, members, reco = _recommended(spark, d)
-    place = adapters.hashes(spark, d).select(F.col("id").alias("component"), F.col("vec_id").alias("p"))
+    place = adapters.records(spark, d).select(F.col("id").alias("component"), F.col("vec_id").alias("p"))
     snap = g.select("group_id", "members", "component").join(reco.select("group_id", "recommended_id", "status", "confidence", "score"), "group_id").join(place, "component").drop("component")
     snap = tables.cut(snap.withColumn("reasons", F.array().cast("array<string>")), "snapshot")
     p = F.col("p")
@@ -328,16 +329,20 @@ def unresolved_groups(spark, d):
 
 @query
 def group_validator_violations(spark, d):
-    snap = _decisions(spark, d)[0]
-    bad = (F.size("members") < 2) | (F.col("recommended_id").isNotNull() & ~F.array_contains("members", F.col("recommended_id"))) | ((F.col("status") == "automatic") & F.col("score").isNull())
-    return snap.where(bad).select("group_id")
+    """The snapshot with three kinds of damage: members lost, a winner from elsewhere, an automatic group without a score."""
+    p = F.col("p")
+    snap = _decisions(spark, d)[0].select(
+        "group_id", F.when(p % 4 == 0, F.slice("members", 1, 1)).otherwise(F.col("members")).alias("members"), F.when(p % 4 == 1, "img_x").otherwise(F.col("recommended_id")).alias("recommended_id"),
+        F.when(p % 4 == 2, "automatic").otherwise(F.col("status")).alias("status"), F.when(p % 4 != 2, F.col("score")).alias("score"),
+    )
+    return review.violations(snap)
 
 
 # --- Consolidation -----------------------------------------------------------------------
 
 
 def _vector_records(spark, d):
-    return adapters.hashes(spark, d).select("id", F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("relative_path"))
+    return adapters.records(spark, d).select("id", F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("relative_path"))
 
 
 @query
@@ -378,7 +383,8 @@ def append_hash_resolution(spark, d):
 def canonical_paths_sanitised(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type")
     raw = F.concat(F.lit("  "), F.col("p_name"), F.lit(": <"), F.col("p_type"), F.lit(">. "))
-    return p.select("p_partkey", F.concat(slugify(F.col("p_name")), F.lit(".png")).alias("sanitised_filename"), sanitise(raw).alias("component"))
+    p = by_plainness(p, F.col("p_name"), "slug", plain_slug(F.col("p_name")), slugify(F.col("p_name")))
+    return p.select("p_partkey", F.concat("slug", F.lit(".png")).alias("sanitised_filename"), sanitise(raw).alias("component"))
 
 
 @query
@@ -393,20 +399,16 @@ def latest_run(spark, d):
     return consolidate.latest_run(adapters.operations(spark, d))
 
 
-def _rollback(spark, d):
-    ops = adapters.operations(spark, d)
-    first = ops.agg(F.min("run_id")).first()[0]
-    return consolidate.rollback(ops, first)
-
-
 @query
 def rollback_eligible(spark, d):
-    return _rollback(spark, d).where("decision = 'remove'").select("operation_id", "destination")
+    ops = adapters.operations(spark, d)
+    return consolidate.rollback(ops, consolidate.latest_run(ops).first()["run_id"]).where("decision = 'remove'").select("operation_id", "destination")
 
 
 @query
 def rollback_skipped_reasons(spark, d):
-    return _rollback(spark, d).where("decision = 'skip'").select("operation_id", "reason")
+    ops = adapters.operations(spark, d)
+    return consolidate.rollback(ops, ops.agg(F.min("run_id")).first()[0]).where("decision = 'skip'").select("operation_id", "reason")
 
 
 @query
@@ -427,8 +429,8 @@ def audit_summary(spark, d):
 @query
 def scan_errors_ordered(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
-    bad = p.where(~F.col("html").rlike('(href|src|srcset)="[^"]+"'))
-    return bad.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("file_path"), F.lit("no links").alias("error")).orderBy("file_path", "error")
+    bad = p.where(~F.col("html").contains("</body>"))
+    return bad.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("file_path"), F.lit("cut short").alias("error")).orderBy("file_path", "error")
 
 
 @query
@@ -443,6 +445,164 @@ def reference_classes(spark, d):
     return adapters.references(spark, d).groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("refs"))
 
 
+# --- Single rules and stored tables -------------------------------------------------------
+
+
+def _neighbours(df, key, *columns):
+    """Rows beside the row with the next key, as a_ and b_ columns."""
+    side = lambda p, k: df.select(k.alias("_k"), *(F.col(c).alias(p + c) for c in columns))
+    return side("a_", F.col(key)).join(side("b_", F.col(key) - 1), "_k").drop("_k")
+
+
+@query
+def hash_distances(spark, d):
+    h = adapters.hashed(spark, d).withColumn("hash", hashes.halves_to_hex(F.col("d_hi"), F.col("d_lo")))
+    return _neighbours(h, "order_key", "id", "hash").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_hash").alias("hash"), hashes.hamming_hex(F.col("a_hash"), F.col("b_hash")).alias("distance"))
+
+
+@query
+def orientation_hashes(spark, d):
+    return adapters.variants(spark, d)
+
+
+@query
+def colour_deltas(spark, d):
+    e = adapters.records(spark, d).withColumn("means", F.transform(F.slice("embedding", 1, 3 + F.col("vec_id").cast("int") % 2), lambda x: x.cast("double")))
+    return _neighbours(e, "vec_id", "id", "means").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(compare.mean_colour_delta(F.col("a_means"), F.col("b_means")), 6).alias("delta"))
+
+
+def _measured(spark, d):
+    r = adapters.images(spark, d).withColumn("area", F.col("width") * F.col("height"))
+    n = F.col("a_doc_id")
+    found = _neighbours(r, "doc_id", "doc_id", "id", "area", "detail_score")
+    return found.withColumns({"ssim": (70 + n % 31) / 100, "correlation": (60 + n % 41) / 100, "relation": F.when(n % 5 == 0, "unknown").otherwise("resize")})
+
+
+@query
+def upscale_decisions(spark, d):
+    m = _measured(spark, d).where(compare.upscale_gate(F.col("relation"), F.col("a_area"), F.col("b_area")))
+    first = F.col("a_area") >= F.col("b_area")
+    pick = lambda c, x: F.when(x, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+    return m.select(pick("id", first).alias("large"), pick("id", ~first).alias("small"), compare.is_upscale(F.col("ssim"), pick("detail_score", first), pick("detail_score", ~first)).alias("upscale"))
+
+
+@query
+def crop_decisions(spark, d):
+    return _measured(spark, d).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), compare.is_crop(F.col("correlation"), F.col("ssim")).alias("crop"))
+
+
+@query
+def comparisons_with_placeholders(spark, d):
+    found = _edges(spark, d).select("a", "b", "relationship", "confidence")
+    extra = hamming.extra_crop_pairs(hamming.crop_pairs(adapters.hashed(spark, d), CROP_DISTANCE), found)
+    return rounded(compare.with_placeholders(found, extra), "confidence")
+
+
+@query
+def all_groups(spark, d):
+    exact = duplicates.exact_groups(adapters.images(spark, d)).select("group_id", F.lit("exact-duplicate").alias("kind"), F.col("members").cast("int").alias("members"))
+    return exact.unionByName(_visual(spark, d).select("group_id", "kind", F.size("members").alias("members")))
+
+
+@query
+def exact_group_reasons(spark, d):
+    return duplicates.exact_groups(adapters.images(spark, d), PREFERENCES).select("group_id", "reason", "warning")
+
+
+@query
+def recommendation_explanations(spark, d):
+    """The last reason is the score, which is a query of its own."""
+    g, _, signals = _scored(spark, d)
+    scored = tables.cut(scoring.scores(signals), "scores")
+    told = scoring.explain(scored, scoring.recommend(g, scored, REVIEW))
+    return told.select("group_id", F.array_join(F.slice("reasons", 1, F.size("reasons") - 1), "|").alias("reasons"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query
+def glob_filter(spark, d):
+    path = F.col("relative_path")
+    return adapters.images(spark, d).where(matches_any(path, ["src1/**", "*/en/*"]) & ~matches_any(path, ["**/1*.jpg"])).select("id", "relative_path")
+
+
+@query
+def canonical_names(spark, d):
+    """Every naming strategy, with a capture date that parses, one that does not, and none."""
+    k = F.col("doc_id")
+    r = adapters.images(spark, d).select(
+        "id", "relative_path", "sha256", "format", F.when(k % 4 == 0, F.array()).otherwise(F.array(F.concat(F.lit("g:"), (k % 10).cast("string")))).cast("array<string>").alias("group_ids"),
+        F.when(k % 3 == 0, "2025-03-04T05:06:07").when(k % 3 == 1, "2025:03:04 05:06:07").alias("capture_date"), F.when(k % 5 != 0, "2024-11-30T10:00:00.000Z").alias("modified_at"),
+    )
+    named = [consolidate.with_base_path(r, n, "{year}/{groupId}/{slug}-{shortHash}-{other}.{ext}").select("id", F.lit(n).alias("naming"), "base_path") for n in NAMINGS]
+    return functools.reduce(lambda a, b: a.unionByName(b), named)
+
+
+@query
+def manifest_without_failed(spark, d):
+    records, wanted = _wanted(spark, d)
+    chosen = records.select(F.col("id").alias("image_id"), F.lit("standalone").alias("method"), F.lit(1.0).alias("confidence"), F.col("group_ids").alias("selected_from"))
+    plan = tables.cut(consolidate.plan_paths(wanted), "plan")
+    failed = plan.join(records.where("width % 2 = 0").select(F.col("id").alias("image_id")), "image_id", "left_semi").select(F.col("canonical_path").alias("destination"))
+    return consolidate.manifest(plan, chosen, records, failed).select("canonical_path", "sha256")
+
+
+@query
+def hash_lookup(spark, d):
+    """Hashes found by content where there are any, the stored ones elsewhere."""
+    r = adapters.images(spark, d).select("id", "sha256", F.when(F.col("doc_id") % 3 == 0, "old").alias("d_hash"))
+    found = r.groupBy("sha256").agg(F.min("id").alias("d_hash")).where("d_hash < 'img_8'")
+    return tables.filled(r, found, "sha256", "d_hash").select("id", "d_hash")
+
+
+@query
+def sticky_upscale_flags(spark, d):
+    r = adapters.images(spark, d).select("id", "doc_id", "is_upscale")
+    return tables.raised(r, r.where("doc_id % 4 = 1").select("id"), "is_upscale").select("id", "is_upscale")
+
+
+def _workspace(spark):
+    return tables.Workspace(spark, f"{tables.shared_dir(spark)}/provena-workspace-{uuid.uuid4().hex}")
+
+
+@query
+def workspace_images(spark, d):
+    """Stored in three steps, listed by path."""
+    ws, r = _workspace(spark), adapters.images(spark, d).select("doc_id", "id", "relative_path", F.col("relative_path").alias("real_path"), "size_bytes")
+    ws.replace("images", r.where("doc_id % 3 = 0"))
+    ws.append("images", r.where("doc_id % 3 = 1"))
+    ws.append("images", r.where("doc_id % 3 = 2"))
+    return ws.read("images").orderBy("relative_path").select("id", "relative_path", "size_bytes")
+
+
+@query
+def workspace_record_by_path(spark, d):
+    ws, r = _workspace(spark), adapters.images(spark, d).select("id", "relative_path", F.col("relative_path").alias("real_path"))
+    ws.replace("images", r)
+    return ws.record(r.agg(F.min("relative_path")).first()[0]).select("id", "relative_path")
+
+
+@query
+def workspace_groups_by_kind(spark, d):
+    """Groups of one kind are replaced, those of the other stay."""
+    ws, r = _workspace(spark), adapters.images(spark, d).select(F.col("id").alias("group_id"), "doc_id")
+    ws.replace_kind("visual", r.where("doc_id % 3 = 0").select("group_id", F.lit("visual").alias("kind")))
+    ws.replace_kind("exact-duplicate", r.where("doc_id % 3 = 1").select("group_id", F.lit("exact-duplicate").alias("kind")))
+    ws.replace_kind("visual", r.where("doc_id % 3 = 2").select("group_id", F.lit("visual").alias("kind")))
+    return ws.read("groups").select("group_id", "kind")
+
+
+@query
+def operations_by_destination(spark, d):
+    ops = adapters.operations(spark, d)
+    return consolidate.operations_of(ops, destination=ops.agg(F.min("destination")).first()[0]).select("operation_id", "run_id", "destination", "timestamp")
+
+
+@query
+def operations_marked(spark, d):
+    ops = adapters.operations(spark, d).withColumn("rolled_back_at", F.lit(None).cast("string"))
+    gone = ops.where((F.col("run_id") == ops.agg(F.min("run_id")).first()[0]) & (F.col("status") == "verified")).select("operation_id", F.lit("now").alias("at"))
+    return consolidate.marked_rolled_back(ops, gone).select("operation_id", "status", "rolled_back_at")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicate_groups(spark, sf_dir)
 

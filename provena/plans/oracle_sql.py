@@ -5,6 +5,7 @@ from __future__ import annotations
 # Fixed values of the catalogue's queries.
 PREFERENCES = (("src1/**", 20.0), ("src2/**", -20.0), ("*/en/*", 5.0))
 PAIR_DISTANCE, CROP_DISTANCE, TOLERANCE = 24, 28, 0.015
+SIMILARITY, LOOSE_SIMILARITY = 0.96, 0.9
 
 IMG = """
 img AS (
@@ -36,6 +37,15 @@ h AS (
          list_reduce(db[1:32], lambda x, y: x * 2 + y) AS d_hi, list_reduce(db[33:64], lambda x, y: x * 2 + y) AS d_lo,
          list_reduce(pb[1:32], lambda x, y: x * 2 + y) AS p_hi, list_reduce(pb[33:64], lambda x, y: x * 2 + y) AS p_lo FROM bits)"""
 
+SPUN = """spin AS (
+  SELECT vec_id, 0 AS variant, e FROM rec
+  UNION ALL SELECT vec_id, 1, list_transform(range(0, 64), lambda i: e[64 - i]) FROM rec
+  UNION ALL SELECT vec_id, 2, list_transform(range(0, 64), lambda i: e[(i // 8) * 8 + (7 - i % 8) + 1]) FROM rec
+  UNION ALL SELECT vec_id, 3, list_transform(range(0, 64), lambda i: e[(7 - i // 8) * 8 + i % 8 + 1]) FROM rec),
+spun AS (
+  SELECT vec_id, variant, list_transform(range(1, 65), lambda i: CAST(e[i] < e[((i - 1) // 8) * 8 + i % 8 + 1] AS BIGINT)) AS db,
+         list_transform(range(1, 65), lambda i: CAST(e[i] > list_sort(e)[32] AS BIGINT)) AS pb FROM spin)"""
+
 DIST = "bit_count(xor(x.{0}_hi, y.{0}_hi)) + bit_count(xor(x.{0}_lo, y.{0}_lo))"
 
 PAIRS = REC + f""",
@@ -132,19 +142,19 @@ dec AS (
   UNION ALL SELECT group_id, NULL, 'defer', NULL, p + 1000000 FROM snap WHERE p % 10 = 0
   UNION ALL SELECT 'grp_missing_' || p, NULL, 'defer', NULL, p + 2000000 FROM snap WHERE p % 8 = 0),
 verdict AS (
-  SELECT *, CASE WHEN reason IS NULL THEN 'valid' WHEN reason LIKE 'group no longer%' OR reason LIKE 'group membership%' THEN 'stale' ELSE 'invalid' END AS verdict FROM (
-    SELECT d.*, CASE WHEN count(*) OVER (PARTITION BY d.group_id) > 1 THEN count(*) OVER (PARTITION BY d.group_id) || ' conflicting decisions were given for this group; only one decision per group is allowed per import'
-                     WHEN s.group_id IS NULL THEN 'group ID does not exist in the audit report'
-                     WHEN d.selected_id IS NOT NULL AND NOT list_contains(s.members, d.selected_id) THEN 'selected image "' || d.selected_id || '" is not a member of this group'
-                     WHEN d.action = 'approve-recommendation' AND d.selected_id IS DISTINCT FROM s.recommended_id THEN '"approve-recommendation" must select the group''s recommended original'
-                     WHEN l.group_id IS NULL THEN 'group no longer exists in the current workspace'
-                     WHEN s.members <> l.members THEN 'group membership has changed since the audit report was generated (was ' || len(s.members) || ' member(s), now ' || len(l.members) || ')' END AS reason
+  SELECT *, CASE WHEN reason IS NULL THEN 'valid' WHEN reason LIKE 'stale: %' THEN 'stale' ELSE 'invalid' END AS verdict FROM (
+    SELECT d.*, CASE WHEN count(*) OVER (PARTITION BY d.group_id) > 1 THEN count(*) OVER (PARTITION BY d.group_id) || ' decisions name this group, one is allowed'
+                     WHEN s.group_id IS NULL THEN 'unknown group'
+                     WHEN d.selected_id IS NOT NULL AND NOT list_contains(s.members, d.selected_id) THEN d.selected_id || ' is in another group or in none'
+                     WHEN d.action = 'approve-recommendation' AND d.selected_id IS DISTINCT FROM s.recommended_id THEN 'approval of an image that was not recommended'
+                     WHEN l.group_id IS NULL THEN 'stale: the group is gone'
+                     WHEN s.members <> l.members THEN 'stale: other members, ' || len(s.members) || ' then and ' || len(l.members) || ' now' END AS reason
     FROM dec d LEFT JOIN snap s ON s.group_id = d.group_id LEFT JOIN live l ON l.group_id = d.group_id)),
 applied AS (
   SELECT s.group_id, CASE WHEN v.action IN ('approve-recommendation', 'select-different', 'keep-multiple') THEN 'approved' WHEN v.action = 'not-related' THEN 'rejected' ELSE s.status END AS status,
          CASE WHEN v.action IS NULL OR v.action IN ('approve-recommendation', 'defer') THEN s.recommended_id WHEN v.action = 'select-different' THEN v.selected_id END AS recommended_id,
          CASE WHEN v.action IS NULL OR v.action IN ('approve-recommendation', 'defer') THEN s.score END AS score, s.confidence, s.p AS position,
-         CASE WHEN v.action IS NULL THEN '' ELSE 'Reviewed by human: ' || v.action || CASE WHEN v.note IS NOT NULL THEN ' — ' || v.note ELSE '' END END AS reasons
+         CASE WHEN v.action IS NULL THEN '' ELSE 'reviewer''s decision: ' || v.action || CASE WHEN v.note IS NOT NULL THEN ' (' || v.note || ')' ELSE '' END END AS reasons
   FROM snap s LEFT JOIN verdict v ON v.group_id = s.group_id AND v.verdict = 'valid')"""
 
 SELECTED = DECISIONS + """,
@@ -180,10 +190,18 @@ guard AS (
   FROM ops o WHERE o.run_id = (SELECT run_id FROM early)),
 roll AS (
   SELECT operation_id, run_id, destination, status, timestamp, CASE WHEN status <> 'verified' OR later IS NOT NULL THEN 'skip' ELSE 'remove' END AS decision,
-         CASE WHEN status <> 'verified' THEN 'operation status is "' || status || '", not a completed copy that needs removing'
-              WHEN later IS NOT NULL THEN 'a later consolidation run (' || later || ') also depends on this destination; roll that run back first if you need this file gone' END AS reason
+         CASE WHEN status <> 'verified' THEN 'nothing to remove, status ' || status
+              WHEN later IS NOT NULL THEN 'needed by the later run ' || later END AS reason
   FROM guard)"""
 
+MEASURED = IMG + """,
+measured AS (
+  SELECT x.id AS a, y.id AS b, x.doc_id AS n, x.width * x.height AS area_a, y.width * y.height AS area_b, x.detail_score AS detail_a, y.detail_score AS detail_b,
+         (70 + x.doc_id % 31) / 100::DOUBLE AS ssim, (60 + x.doc_id % 41) / 100::DOUBLE AS correlation
+  FROM img x JOIN img y ON y.doc_id = x.doc_id + 1)"""
+
+HALVES = ", ".join(f"list_reduce({b}b[{a}:{z}], lambda x, y: x * 2 + y) AS {b}_{n}" for b in "dp" for a, z, n in ((1, 32, "hi"), (33, 64, "lo")))
+
 SEEN = """
 known AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS real_path, n_chars AS size_bytes, CASE WHEN doc_id % 10 = 3 THEN '2026-01-02' ELSE '2026-01-01' END AS modified_at FROM documents WHERE doc_id % 4 <> 0),
 now_seen AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS real_path, n_chars AS size_bytes, '2026-01-01' AS modified_at FROM documents)"""
@@ -203,7 +221,7 @@ SELECT 'grp_' || substr(sha256, 1, 24) AS group_id, sha256, count(*) AS members,
        CASE WHEN any_value(top) = 0 THEN 0.0::DOUBLE WHEN count(*) FILTER (pref = top) = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence
 FROM dup GROUP BY sha256"""),
         "exact_duplicate_members": _sql(IMG, "SELECT 'grp_' || substr(sha256, 1, 24) AS group_id, id AS image_id, relative_path, id = rep AS representative FROM dup"),
-        "exact_duplicate_edges": _sql(IMG, "SELECT 'grp_' || substr(sha256, 1, 24) AS group_id, rep AS a, id AS b, 'exact-duplicate' AS relationship, 1.0::DOUBLE AS confidence, 'identical SHA-256' AS reason FROM dup WHERE id <> rep"),
+        "exact_duplicate_edges": _sql(IMG, "SELECT 'grp_' || substr(sha256, 1, 24) AS group_id, rep AS a, id AS b, 'exact-duplicate' AS relationship, 1.0::DOUBLE AS confidence, 'same SHA-256' AS reason FROM dup WHERE id <> rep"),
         "wasted_bytes_total": _sql(IMG, "SELECT count(DISTINCT sha256) AS groups, count(*) AS files, CAST(coalesce(sum(rep_bytes) FILTER (id <> rep), 0) AS BIGINT) AS wasted_bytes FROM dup"),
         "hard_link_clusters": _sql(IMG, "SELECT 'grp_' || substr(sha256, 1, 24) AS group_id, device, inode, count(*) AS members, min(id) AS first_id FROM dup GROUP BY sha256, device, inode HAVING count(*) > 1"),
         "path_preference_scores": _sql(IMG, "SELECT id, relative_path, pref AS score FROM img"),
@@ -220,18 +238,17 @@ FROM (SELECT doc_id, doc_id % 3 AS input_index, '/in' || doc_id % 3 || '/' || do
         "cache_reuse_anti_join": _sql(SEEN, "SELECT doc_id, real_path, size_bytes, modified_at FROM now_seen s WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.real_path = s.real_path AND k.size_bytes = s.size_bytes AND k.modified_at = s.modified_at)"),
         "record_upsert": _sql(SEEN, "SELECT doc_id, real_path, size_bytes, modified_at FROM now_seen WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, real_path, size_bytes, modified_at FROM known WHERE real_path NOT IN (SELECT real_path FROM now_seen WHERE doc_id % 5 = 0)"),
         "perceptual_hashes": _sql(REC, "SELECT id, aspect_ratio, d_hi, d_lo, p_hi, p_lo FROM h"),
-        "hamming_pairs_t24": _sql(PAIRS, "SELECT a, b, d_distance, p_distance FROM pairs"),
+        "hamming_pairs_t10": _sql(REC + f""",
+both_h AS (
+  SELECT id, sha256, vec_id AS k, aspect_ratio, d_hi, d_lo, p_hi, p_lo FROM h
+  UNION ALL SELECT 'near_' || id, sha256(id), vec_id + 1099511627776, aspect_ratio, d_hi, xor(d_lo, CAST((1 << CAST(vec_id % 12 AS INTEGER)) - 1 AS BIGINT)), p_hi, xor(p_lo, vec_id % 12 % 4) FROM h)""",
+            f"""SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CAST({DIST.format('d')} AS INTEGER) AS d_distance, CAST({DIST.format('p')} AS INTEGER) AS p_distance
+FROM both_h x JOIN both_h y ON x.k < y.k AND x.sha256 <> y.sha256 AND {DIST.format('d')} <= 10 AND {DIST.format('p')} <= 10 AND abs(x.aspect_ratio - y.aspect_ratio) <= {TOLERANCE}::DOUBLE"""),
         "candidate_pairs": _sql(PAIRS, f"SELECT a, b, d_distance, p_distance, {r6('aspect_delta')} FROM pairs"),
-        "aspect_bucket_pairs": _sql(REC, f"SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, round(abs(x.aspect_ratio - y.aspect_ratio), 6) AS aspect_delta FROM h x JOIN h y ON x.vec_id < y.vec_id AND x.vec_id % 10 = 0 AND y.vec_id % 10 = 0 AND abs(x.aspect_ratio - y.aspect_ratio) <= {TOLERANCE}::DOUBLE"),
+        "aspect_bucket_pairs": _sql(REC + """,
+kinds AS (SELECT aspect_ratio, count(*) AS n FROM rec GROUP BY 1)""", f"SELECT r.id, round(r.aspect_ratio, 6) AS aspect_class, CAST((SELECT sum(k.n) FROM kinds k WHERE abs(r.aspect_ratio - k.aspect_ratio) <= {TOLERANCE}::DOUBLE) - 1 AS BIGINT) AS partners FROM rec r"),
         "orientation_variant_pairs": _sql(REC + f""",
-spin AS (
-  SELECT vec_id, 0 AS variant, e FROM rec
-  UNION ALL SELECT vec_id, 1, list_transform(range(0, 64), lambda i: e[64 - i]) FROM rec
-  UNION ALL SELECT vec_id, 2, list_transform(range(0, 64), lambda i: e[(i // 8) * 8 + (7 - i % 8) + 1]) FROM rec
-  UNION ALL SELECT vec_id, 3, list_transform(range(0, 64), lambda i: e[(7 - i // 8) * 8 + i % 8 + 1]) FROM rec),
-spun AS (
-  SELECT vec_id, variant, list_transform(range(1, 65), lambda i: CAST(e[i] < e[((i - 1) // 8) * 8 + i % 8 + 1] AS BIGINT)) AS db,
-         list_transform(range(1, 65), lambda i: CAST(e[i] > list_sort(e)[32] AS BIGINT)) AS pb FROM spin),
+{SPUN},
 q AS (
   SELECT h.vec_id, h.id, h.sha256, h.aspect_ratio, s.variant, list_reduce(db[1:32], lambda x, y: x * 2 + y) AS d_hi, list_reduce(db[33:64], lambda x, y: x * 2 + y) AS d_lo,
          list_reduce(pb[1:32], lambda x, y: x * 2 + y) AS p_hi, list_reduce(pb[33:64], lambda x, y: x * 2 + y) AS p_lo,
@@ -247,7 +264,7 @@ hits AS (
         "relationship_counts": _sql(CMP, "SELECT relationship, count(*) AS pairs FROM cmp GROUP BY 1"),
         "connected_components": _sql(GROUPS, "SELECT node, component FROM comp"),
         "visual_groups": _sql(GROUPS, f"SELECT group_id, members, edges, {r6('confidence')}, CASE WHEN confidence < 0.7 THEN 'ambiguous' ELSE 'manual-review' END AS status FROM vg"),
-        "visual_group_exclusions": _sql(GROUPS, "SELECT component, image_id FROM vm WHERE NOT accepted"),
+        "visual_group_exclusions": _sql(GROUPS.replace(f"ssim < {SIMILARITY}", f"ssim < {LOOSE_SIMILARITY}"), "SELECT component, image_id FROM vm WHERE NOT accepted"),
         "member_signals": _sql(SCORES, "SELECT group_id, image_id, detail_score, pixel_count, bit_depth, has_alpha, icc, metadata_count, path_score, is_crop, round(retained, 6) AS retained, is_upscale FROM sig"),
         "scoring_context": _sql(SCORES, "SELECT group_id, image_id, max_detail, max_pixels, max_depth, max_metadata, any_complete, any_genuine, other_alpha FROM ctx"),
         "candidate_scores": _sql(SCORES, f"SELECT group_id, image_id, {r6('native_detail')}, {r6('effective_resolution')}, {r6('completeness')}, {r6('depth_score')}, {r6('metadata_score')}, {r6('total')}, disqualified FROM sc"),
@@ -266,7 +283,7 @@ hits AS (
         "standalone_originals": _sql(SELECTED, "SELECT id AS image_id FROM h WHERE id NOT IN (SELECT image_id FROM mem)"),
         "unresolved_groups": _sql(DECISIONS, "SELECT DISTINCT group_id FROM applied WHERE status IN ('manual-review', 'ambiguous')"),
         "canonical_paths_content_hash": _sql(PATHS, "SELECT image_id, base_path AS canonical_path, CASE WHEN k = 1 THEN 'planned' ELSE 'collision' END AS status FROM placed"),
-        "path_collisions": _sql(PATHS, """SELECT image_id, 'canonical path collides with another selected image in this run: "' || base_path || '"' AS collision_reason FROM placed WHERE k > 1"""),
+        "path_collisions": _sql(PATHS, """SELECT image_id, 'planned for another image: ' || base_path AS collision_reason FROM placed WHERE k > 1"""),
         "append_hash_resolution": _sql(PATHS, "SELECT image_id, CASE WHEN k = 1 THEN base_path ELSE substr(sha256, 1, 16) || '-' || substr(sha256, 1, least(8 + k - 2, 27)) || '.jpg' END AS canonical_path, CASE WHEN k <= 21 THEN 'planned' ELSE 'collision' END AS status FROM placed"),
         "canonical_paths_sanitised": """
 SELECT p_partkey, CASE WHEN slug = '' THEN 'image' ELSE slug END || '.png' AS sanitised_filename, CASE WHEN clean = '' THEN 'untitled' ELSE clean END AS component
@@ -274,14 +291,63 @@ FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+
              regexp_replace(regexp_replace(regexp_replace('  ' || p_name || ': <' || p_type || '>. ', '[\\x00-\\x1f<>:"/\\\\|?*]', '-', 'g'), '\\s+', ' ', 'g'), '^[. ]+|[. ]+$', '', 'g') AS clean FROM part)""",
         "manifest_rows": _sql(PATHS, "SELECT p.base_path AS canonical_path, p.sha256, i.width, i.height, i.format FROM placed p JOIN img i ON i.id = p.image_id WHERE k = 1"),
         "latest_run": _sql(OPS, "SELECT run_id, timestamp, operation_id FROM ops ORDER BY timestamp DESC, operation_id DESC LIMIT 1"),
-        "rollback_eligible": _sql(OPS, "SELECT operation_id, destination FROM roll WHERE decision = 'remove'"),
+        "rollback_eligible": _sql(OPS.replace("SELECT min(run_id) AS run_id FROM ops", "SELECT run_id FROM ops ORDER BY timestamp DESC, operation_id DESC LIMIT 1"), "SELECT operation_id, destination FROM roll WHERE decision = 'remove'"),
         "rollback_skipped_reasons": _sql(OPS, "SELECT operation_id, reason FROM roll WHERE decision = 'skip'"),
         "operations_by_status": _sql(OPS, "SELECT run_id, status, count(*) AS operations, count(DISTINCT destination) AS destinations FROM ops GROUP BY 1, 2"),
-        "scan_errors_ordered": "SELECT 'page/' || page_id AS file_path, 'no links' AS error FROM pages WHERE NOT regexp_matches(coalesce(html, ''), '(href|src|srcset)=\"[^\"]+\"') ORDER BY 1, 2",
+        "scan_errors_ordered": "SELECT 'page/' || page_id AS file_path, 'cut short' AS error FROM pages WHERE NOT contains(coalesce(html, ''), '</body>') ORDER BY 1, 2",
         "audit_summary": _sql(IMG, "SELECT format, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) FILTER (is_upscale) AS upscales, count(*) FILTER (has_alpha) AS with_alpha FROM img GROUP BY format"),
         "report_summary": _sql(SCORES, "SELECT (SELECT count(*) FROM h) AS files, count(*) AS groups, count(*) FILTER (status = 'automatic') AS automatic, count(*) FILTER (status = 'manual-review') AS manual_review, count(*) FILTER (status = 'ambiguous') AS ambiguous FROM reco"),
         "report_assets": _sql(GROUPS, "SELECT id AS image_id FROM h WHERE id IN (SELECT image_id FROM mem)"),
-        "group_validator_violations": _sql(DECISIONS, "SELECT group_id FROM snap WHERE len(members) < 2 OR (recommended_id IS NOT NULL AND NOT list_contains(members, recommended_id)) OR (status = 'automatic' AND score IS NULL)"),
+        "group_validator_violations": _sql(DECISIONS, """
+SELECT * FROM (
+  SELECT group_id, CASE WHEN len(members) < 2 THEN 'fewer than two members' WHEN recommended_id IS NOT NULL AND NOT list_contains(members, recommended_id) THEN 'winner is no member'
+                        WHEN status = 'automatic' AND score IS NULL THEN 'automatic without a score' END AS problem
+  FROM (SELECT group_id, CASE WHEN p % 4 = 0 THEN members[1:1] ELSE members END AS members, CASE WHEN p % 4 = 1 THEN 'img_x' ELSE recommended_id END AS recommended_id,
+               CASE WHEN p % 4 = 2 THEN 'automatic' ELSE status END AS status, CASE WHEN p % 4 <> 2 THEN score END AS score FROM snap)) WHERE problem IS NOT NULL"""),
         "reference_extraction": """SELECT page_id, CAST(position - 1 AS INTEGER) AS position, target FROM (SELECT page_id, unnest(regexp_extract_all(html, '(href|src|srcset)="([^"]+)"', 2)) AS target, generate_subscripts(regexp_extract_all(html, '(href|src|srcset)="([^"]+)"', 2), 1) AS position FROM pages)""",
         "reference_classes": """SELECT class, count(*) AS refs FROM (SELECT CASE WHEN t LIKE 'data:%' THEN 'data-url' WHEN regexp_matches(t, '^(https?:)?//') THEN 'external' WHEN t LIKE '#%' THEN 'fragment' WHEN t LIKE '/%' THEN 'absolute-path' ELSE 'relative-path' END AS class FROM (SELECT unnest(regexp_extract_all(html, '(href|src|srcset)="([^"]+)"', 2)) AS t FROM pages)) GROUP BY 1""",
+        "hash_distances": _sql(REC, f"SELECT x.id AS a, y.id AS b, lower(lpad(to_hex(x.d_hi), 8, '0') || lpad(to_hex(x.d_lo), 8, '0')) AS hash, CAST({DIST.format('d')} AS INTEGER) AS distance FROM h x JOIN h y ON y.vec_id = x.vec_id + 1"),
+        "orientation_hashes": _sql(f"{REC},\n{SPUN}", f"SELECT id, variant, {HALVES} FROM spun JOIN rec USING (vec_id) WHERE variant > 0"),
+        "colour_deltas": _sql(REC, """
+SELECT x.id AS a, y.id AS b, round((abs(x.e[1]::DOUBLE - y.e[1]::DOUBLE) + abs(x.e[2]::DOUBLE - y.e[2]::DOUBLE) + abs(x.e[3]::DOUBLE - y.e[3]::DOUBLE)) / 3, 6) AS delta FROM rec x JOIN rec y ON y.vec_id = x.vec_id + 1"""),
+        "upscale_decisions": _sql(MEASURED, """
+SELECT CASE WHEN a_first THEN a ELSE b END AS large, CASE WHEN a_first THEN b ELSE a END AS small,
+       ssim >= 0.9 AND CASE WHEN low > 0 THEN high / low WHEN high > 0 THEN 'inf'::DOUBLE ELSE 1.0::DOUBLE END < 1.15::DOUBLE AS upscale
+FROM (SELECT *, area_a >= area_b AS a_first, CASE WHEN area_a >= area_b THEN detail_a ELSE detail_b END AS high, CASE WHEN area_a >= area_b THEN detail_b ELSE detail_a END AS low FROM measured)
+WHERE n % 5 <> 0 AND greatest(area_a, area_b) >= 1.2::DOUBLE * least(area_a, area_b)"""),
+        "crop_decisions": _sql(MEASURED, "SELECT a, b, correlation >= 0.85 AND ssim >= 0.75 AS crop FROM measured"),
+        "comparisons_with_placeholders": _sql(CMP + "," + CROPS, f"SELECT a, b, relationship, {r6('confidence')} FROM cmp UNION ALL SELECT a, b, 'unknown', 0.0::DOUBLE FROM crops WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.a = crops.a AND p.b = crops.b)"),
+        "all_groups": _sql(GROUPS + "," + IMG, "SELECT 'grp_' || substr(sha256, 1, 24) AS group_id, 'exact-duplicate' AS kind, CAST(count(*) AS INTEGER) AS members FROM dup GROUP BY sha256 UNION ALL SELECT group_id, 'visual', CAST(len(member_list) AS INTEGER) FROM vg"),
+        "exact_group_reasons": _sql(IMG, """
+SELECT 'grp_' || substr(sha256, 1, 24) AS group_id, count(*) || ' files with SHA-256 ' || substr(sha256, 1, 12) || '…' AS reason,
+       CASE WHEN any_value(top) = 0 THEN 'no path is preferred, so no copy is chosen' WHEN count(*) FILTER (pref = top) > 1 THEN 'several paths are preferred alike' END AS warning
+FROM dup GROUP BY sha256"""),
+        "recommendation_explanations": _sql(SCORES, """
+SELECT s.group_id,
+       concat_ws('|', CASE WHEN s.native_detail >= 29.7::DOUBLE THEN 'most detail of the group' END, CASE WHEN NOT s.is_crop THEN 'whole picture' END, CASE WHEN s.icc THEN 'has an ICC profile' END, CASE WHEN s.path_score > 0 THEN 'path is preferred' END) AS reasons,
+       concat_ws('|', CASE WHEN s.is_crop THEN 'crop, shows ' || CAST(round(s.retained * 100) AS INTEGER) || '% of the picture' END, CASE WHEN s.path_score < 0 THEN 'path is unwanted' END, CASE WHEN s.is_upscale THEN 'enlarged without more detail' END,
+                 CASE WHEN NOT s.has_alpha AND s.other_alpha THEN 'opaque, unlike another member' END, CASE WHEN s.metadata_penalty > 0 THEN 'no metadata, unlike another member' END,
+                 (SELECT string_agg('ruled out: ' || o.image_id || ' (' || concat_ws('; ', CASE WHEN o.is_upscale AND o.any_genuine THEN 'enlarged, another member is not' END, CASE WHEN o.is_crop AND o.any_complete THEN 'cropped, another member is whole' END,
+                                                                                       CASE WHEN NOT o.has_alpha AND o.other_alpha THEN 'opaque, another member is transparent' END) || ')', '|' ORDER BY o.position)
+                  FROM sc o WHERE o.group_id = s.group_id AND o.disqualified AND o.image_id <> s.image_id)) AS warnings
+FROM sc s JOIN reco r ON r.group_id = s.group_id AND r.candidate_id = s.image_id"""),
+        "glob_filter": _sql(IMG, "SELECT id, relative_path FROM img WHERE (regexp_full_match(relative_path, 'src1(/.*)?') OR regexp_full_match(relative_path, '[^/]*/en/[^/]*')) AND NOT regexp_full_match(relative_path, '([^/]+/)*1[^/]*\\.jpg')"),
+        "canonical_names": _sql(IMG + """,
+named AS (
+  SELECT id, CAST(doc_id AS VARCHAR) AS s, sha256, CASE WHEN doc_id % 4 <> 0 THEN 'g:' || doc_id % 10 END AS g,
+         CASE WHEN doc_id % 3 = 0 THEN '2025-03-04' WHEN doc_id % 5 <> 0 THEN '2024-11-30' END AS day FROM img)""", """
+SELECT id, 'original-filename' AS naming, s || '.jpg' AS base_path FROM named
+UNION ALL SELECT id, 'sanitised-filename', s || '.jpg' FROM named
+UNION ALL SELECT id, 'content-hash', substr(sha256, 1, 16) || '.jpg' FROM named
+UNION ALL SELECT id, 'date-slug', CASE WHEN day IS NULL THEN 'unknown-date/' || s ELSE substr(day, 1, 4) || '/' || day || '-' || s END || '.jpg' FROM named
+UNION ALL SELECT id, 'group-id', CASE WHEN g IS NULL THEN 'standalone-' || id ELSE replace(g, ':', '-') END || '.jpg' FROM named
+UNION ALL SELECT id, 'template', coalesce(substr(day, 1, 4), 'unknown-date') || '/' || coalesce(replace(g, ':', '-'), 'standalone') || '/' || s || '-' || substr(sha256, 1, 8) || '-{other}.jpg' FROM named"""),
+        "manifest_without_failed": _sql(PATHS, "SELECT p.base_path AS canonical_path, p.sha256 FROM placed p WHERE k = 1 AND p.base_path NOT IN (SELECT q.base_path FROM placed q JOIN img i ON i.id = q.image_id WHERE i.width % 2 = 0)"),
+        "hash_lookup": _sql(IMG, "SELECT id, CASE WHEN min(id) OVER (PARTITION BY sha256) < 'img_8' THEN min(id) OVER (PARTITION BY sha256) WHEN doc_id % 3 = 0 THEN 'old' END AS d_hash FROM img"),
+        "sticky_upscale_flags": _sql(IMG, "SELECT id, is_upscale OR doc_id % 4 = 1 AS is_upscale FROM img"),
+        "workspace_images": _sql(IMG, "SELECT id, relative_path, size_bytes FROM img ORDER BY relative_path"),
+        "workspace_record_by_path": _sql(IMG, "SELECT id, relative_path FROM img WHERE relative_path = (SELECT min(relative_path) FROM img)"),
+        "workspace_groups_by_kind": _sql(IMG, "SELECT id AS group_id, CASE WHEN doc_id % 3 = 1 THEN 'exact-duplicate' ELSE 'visual' END AS kind FROM img WHERE doc_id % 3 > 0"),
+        "operations_by_destination": _sql(OPS, "SELECT operation_id, run_id, destination, timestamp FROM ops WHERE destination = (SELECT min(destination) FROM ops) ORDER BY timestamp, operation_id"),
+        "operations_marked": _sql(OPS, "SELECT operation_id, CASE WHEN run_id = (SELECT run_id FROM early) AND status = 'verified' THEN 'rolled-back' ELSE status END AS status, CASE WHEN run_id = (SELECT run_id FROM early) AND status = 'verified' THEN 'now' END AS rolled_back_at FROM ops"),
     }

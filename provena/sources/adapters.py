@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.functions.hashes import bits_to_hex, difference_bits, half, perceptual_bits
+from provena.functions.hashes import difference_halves, lower_middle, perceptual_halves
+from provena.operators.tables import cut
 
 FORMATS = {"en": "jpeg", "de": "png", "fr": "webp"}  # others: gif
 
@@ -46,10 +47,17 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed records from embeddings: the vector is an 8x8 low-frequency block."""
+def _halves(df: DataFrame, block: str) -> DataFrame:
+    """The halves of both hashes of an 8x8 block; the median is found once a row."""
+    own = df.withColumn("_middle", lower_middle(F.col(block)))
+    d, p = difference_halves(F.col(block)), perceptual_halves(F.col(block), F.col("_middle"))
+    return own.select("*", d[0].alias("d_hi"), d[1].alias("d_lo"), p[0].alias("p_hi"), p[1].alias("p_lo")).drop("_middle")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records from embeddings, without their hashes."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
-    base = e.select(
+    return e.select(
         "vec_id",
         "label",
         "embedding",
@@ -57,34 +65,33 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("vec_id").cast("string"), 256).alias("sha256"),
         (1.0 + F.col("label") * 0.01).alias("aspect_ratio"),
         F.col("vec_id").alias("order_key"),
-        bits_to_hex(difference_bits(F.col("embedding"))).alias("d_hash"),
-        bits_to_hex(perceptual_bits(F.col("embedding"))).alias("p_hash"),
     )
-    h = lambda c, i: half(F.col(c), i)
-    return base.select("*", h("d_hash", 0).alias("d_hi"), h("d_hash", 1).alias("d_lo"), h("p_hash", 0).alias("p_hi"), h("p_hash", 1).alias("p_lo"))
 
 
 HASHED = ("id", "sha256", "aspect_ratio", "order_key", "d_hi", "d_lo", "p_hi", "p_lo")
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashes(spark, sf_dir).select(*HASHED)
+    """Hashed records as a table: the vector is an 8x8 low-frequency block.  Joins read the stored hashes, and never make them again."""
+    return cut(_halves(records(spark, sf_dir), "embedding").select(*HASHED), "hashed")
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of the three other orientations: the block turned, mirrored and flipped."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    id_ = F.concat(F.lit("img_"), F.substring(F.sha1(F.col("vec_id").cast("string")), 1, 20))
-    at = lambda i: F.element_at("embedding", (i + 1).cast("int"))
-    spots = F.sequence(F.lit(0), F.lit(63))
-    turned = [
-        F.transform(spots, lambda i: at(F.lit(63) - i)),
-        F.transform(spots, lambda i: at(F.floor(i / 8) * 8 + (F.lit(7) - i % 8))),
-        F.transform(spots, lambda i: at((F.lit(7) - F.floor(i / 8)) * 8 + i % 8)),
-    ]
-    rows = e.select(id_.alias("id"), F.explode(F.array(*[F.struct(F.lit(k + 1).alias("variant"), t.alias("grid")) for k, t in enumerate(turned)])).alias("v"))
-    rows = rows.select("id", "v.variant", bits_to_hex(difference_bits(F.col("v.grid"))).alias("d"), bits_to_hex(perceptual_bits(F.col("v.grid"))).alias("p"))
-    return rows.select("id", "variant", half(F.col("d"), 0).alias("d_hi"), half(F.col("d"), 1).alias("d_lo"), half(F.col("p"), 0).alias("p_hi"), half(F.col("p"), 1).alias("p_lo"))
+    """Hashes of the three other orientations as a table: the block turned, mirrored and flipped."""
+    e = records(spark, sf_dir).select("id", "embedding")
+    turned = {1: [63 - i for i in range(64)], 2: [i // 8 * 8 + 7 - i % 8 for i in range(64)], 3: [(7 - i // 8) * 8 + i % 8 for i in range(64)]}
+    grids = [F.struct(F.lit(k).alias("variant"), F.array(*[F.element_at("embedding", i + 1) for i in order]).alias("grid")) for k, order in turned.items()]
+    rows = e.select("id", F.explode(F.array(*grids)).alias("v")).select("id", "v.variant", "v.grid")
+    return cut(_halves(rows, "grid").select("id", "variant", "d_hi", "d_lo", "p_hi", "p_lo"), "variants")
+
+
+def near_copies(hashed: DataFrame) -> DataFrame:
+    """A copy of every hashed record with zero to eleven of the lowest bits of the difference hash turned, and up to three of the other."""
+    n = F.col("order_key") % 12
+    return hashed.select(
+        F.concat(F.lit("near_"), "id").alias("id"), F.sha2("id", 256).alias("sha256"), "aspect_ratio", (F.col("order_key") + (1 << 40)).alias("order_key"), "d_hi",
+        F.col("d_lo").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1).alias("d_lo"), F.col("p_hi"), F.col("p_lo").bitwiseXOR(n % 4).alias("p_lo"),
+    )
 
 
 def pair_features(pairs: DataFrame, records: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import struct
 from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from provena.functions.paths import EXTENSION_FORMATS, glob_to_regex
 
@@ -50,8 +51,29 @@ def resolve_format(files: DataFrame, name: str, head: str) -> DataFrame:
 
 def first_real_path(files: DataFrame) -> DataFrame:
     """The first path of each real path, across all inputs, stays a candidate."""
-    order = Window.partitionBy("real_path").orderBy("input_index", F.collate("absolute_path", "UNICODE"))
-    return files.withColumn("_rn", F.row_number().over(order)).withColumn("status", F.when(F.col("_rn") == 1, "candidate").otherwise("duplicate-path")).drop("_rn")
+    order = F.struct(F.col("input_index"), F.collate("absolute_path", "UNICODE").alias("path"))
+    first = files.groupBy("real_path").agg(F.min_by(F.struct("input_index", "absolute_path"), order).alias("_first"))
+    own = (F.col("input_index") == F.col("_first.input_index")) & (F.col("absolute_path") == F.col("_first.absolute_path"))
+    return files.join(first, "real_path").withColumn("status", F.when(own, "candidate").otherwise("duplicate-path")).drop("_first")
+
+
+#: Fixed values of the system call: the current folder, the field asked for, where the answer has it.
+_AT_FDCWD, _STATX_BTIME, _BTIME_OFFSET = -100, 0x800, 80
+
+
+def birth_time(path: str, stat: os.stat_result) -> float:
+    """Seconds since the epoch at which a file was created; where the system does not know, the time of its last status change."""
+    if hasattr(stat, "st_birthtime"):
+        return stat.st_birthtime
+    buffer = ctypes.create_string_buffer(256)
+    try:
+        failed = ctypes.CDLL(None, use_errno=True).statx(_AT_FDCWD, os.fsencode(path), 0, _STATX_BTIME, buffer)
+    except (OSError, AttributeError):
+        failed = True
+    if failed or not struct.unpack_from("I", buffer, 0)[0] & _STATX_BTIME:
+        return stat.st_ctime
+    seconds, nanos = struct.unpack_from("qI", buffer, _BTIME_OFFSET)
+    return seconds + nanos / 1e9
 
 
 def _iso(seconds: float) -> str:
@@ -88,7 +110,7 @@ def walk(inputs: Sequence[str], include: Sequence[str], exclude: Sequence[str],
             if not follow_symlinks and real != absolute:
                 yield (*row, real, "symlink-skipped", "symbolic links are not followed", None, None, None, None, None, None)
                 continue
-            yield (*row, real, None, None, head, stat.st_size, _iso(stat.st_mtime), _iso(stat.st_ctime), stat.st_ino, stat.st_dev)
+            yield (*row, real, None, None, head, stat.st_size, _iso(stat.st_mtime), _iso(birth_time(real, stat)), stat.st_ino, stat.st_dev)
 
 
 def discover(spark: SparkSession, inputs: Sequence[str], include: Sequence[str], exclude: Sequence[str] = (), workspace: str | None = None, follow_symlinks: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 """Single operators on records made in code."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -58,15 +59,20 @@ def test_hamming_join_is_the_cross_join(spark, threshold):
         assert {m[0] for m, _ in tree.search(r, threshold)} == {x[0] for x in rows if (x[1] ^ r[1]).bit_count() <= threshold}
 
 
-def test_aspect_bucket_pairs_are_those_of_the_whole_table(spark, monkeypatch):
-    from provena.plans import catalogue
-
+def test_aspect_partners_of_the_whole_table(spark):
     rng = random.Random(9)
-    rows = [(f"i{i:03}", i, rng.choice([0.66, 0.75, 1.0, 1.33, 1.5]) + rng.uniform(-0.05, 0.05)) for i in range(90)]
-    monkeypatch.setattr(catalogue.adapters, "hashes", lambda *_: spark.createDataFrame(rows, "id string, vec_id bigint, aspect_ratio double"))
-    got = sorted((r["a"], r["b"], r["aspect_delta"]) for r in catalogue.aspect_bucket_pairs(spark, "").collect())
-    want = sorted((a, b, round(abs(x - y), 6)) for a, _, x in rows for b, _, y in rows if a < b and abs(x - y) <= catalogue.TOLERANCE)
-    assert len(want) > 100 and got == want
+    rows = [(f"i{i:03}", rng.choice([0.66, 0.75, 1.0, 1.33, 1.5]) + rng.choice((0.0, 0.01, 0.02, -0.07))) for i in range(90)]
+    got = {r["id"]: r["partners"] for r in hamming.aspect_partners(spark.createDataFrame(rows, "id string, aspect_ratio double"), 0.015).collect()}
+    assert got == {a: sum(a != b and abs(x - y) <= 0.015 for b, y in rows) for a, x in rows} and max(got.values()) > 5
+
+
+@pytest.mark.parametrize("threshold", [10, 24])
+def test_tiles_change_nothing(spark, threshold):
+    rng = random.Random(4)
+    rows = [(f"i{i}", rng.getrandbits(64) if i % 2 else 2**63 + rng.getrandbits(5), i % 3, rng.choice((1.0, 1.01, 1.5)), f"s{i}") for i in range(120)]
+    own = hashed(spark, rows)
+    found = [sorted((r["q_id"], r["m_id"], r["d_distance"]) for r in hamming.hamming_join(own, own, threshold, tolerance, rows=n).collect()) for n in (4096, 7) for tolerance in (0.015, None)]
+    assert found[0] == found[2] and found[1] == found[3] and len(found[0]) > 100
 
 
 def test_orientation_variants_find_turned_copies(spark):
@@ -199,7 +205,7 @@ def test_scores(spark):
     assert got["m1"]["total"] == pytest.approx(15 + 10 + 10 + 5 + 2.5 - 20 - 12 - 2)
     assert got["m2"]["total"] == pytest.approx(30 + 20 + 20 + 5 + 8 + 5 + 7 + 5 - 25)
     assert got["m0"]["disqualified_reasons"] == [scoring.TOO_SHORT_OF_ALPHA] and len(got["m1"]["disqualified_reasons"]) == 2 and len(got["m2"]["disqualified_reasons"]) == 1
-    assert got["m1"]["warnings"][0] == "retains only 50% of the full frame (detected crop)"
+    assert got["m1"]["warnings"][0] == "crop, shows 50% of the picture"
 
 
 def test_recommendation(spark):
@@ -212,7 +218,7 @@ def test_recommendation(spark):
     low = scoring.recommend(spark.createDataFrame([("g", 0.5)], "group_id string, confidence double"), s).first()
     assert low["status"] == "ambiguous"
     e = scoring.explain(s, scoring.recommend(g, s)).first()
-    assert scoring.BEST_DETAIL in e["reasons"] and e["reasons"][-1].startswith("quality score ")
+    assert scoring.BEST_DETAIL in e["reasons"] and e["reasons"][-1].startswith("score ")
 
 
 # --- Review and consolidation ----------------------------------------------------------------------
@@ -228,9 +234,9 @@ def test_validate_apply_merge(spark):
     )
     v = {r["group_id"]: (r["verdict"], r["reason"]) for r in review.validate(decisions, snap, live).collect()}
     assert {k: x[0] for k, x in v.items()} == {"ok": "valid", "gone": "stale", "moved": "stale", "dup": "invalid", "far": "invalid", "app": "invalid", "none": "invalid"}
-    assert v["moved"][1].endswith("(was 2 member(s), now 1)")
+    assert v["moved"][1].endswith("2 then and 1 now")
     out = {r["group_id"]: r for r in review.apply(snap, decisions.where("group_id = 'ok'")).collect()}
-    assert (out["ok"]["status"], out["ok"]["recommended_id"], out["ok"]["score"], out["ok"]["reasons"]) == ("approved", "b", None, ["r", "Reviewed by human: select-different — mine"])
+    assert (out["ok"]["status"], out["ok"]["recommended_id"], out["ok"]["score"], out["ok"]["reasons"]) == ("approved", "b", None, ["r", "reviewer's decision: select-different (mine)"])
     assert out["gone"]["status"] == "automatic" and out["gone"]["score"] == 9.0
     old = spark.createDataFrame([("a", "defer", 0), ("b", "defer", 1)], "group_id string, action string, position bigint")
     new = spark.createDataFrame([("c", "defer", 0), ("b", "not-related", 1)], "group_id string, action string, position bigint")
@@ -288,7 +294,7 @@ def test_rollback_guards(spark):
     )
     disk = spark.createDataFrame([("d1", "h"), ("d3", "h"), ("d4", "other")], "destination string, sha256 string")
     got = {r["operation_id"]: (r["decision"], r["reason"] or "") for r in consolidate.rollback(ops, "r1", disk).collect()}
-    assert got["1"][0] == "remove" and "failed" in got["2"][1] and "r2" in got["3"][1] and "has changed" in got["5"][1] and "no longer exists" in got["6"][1]
+    assert got["1"][0] == "remove" and "failed" in got["2"][1] and "r2" in got["3"][1] and "was changed" in got["5"][1] and "is missing" in got["6"][1]
     assert consolidate.latest_run(ops).first()["run_id"] == "r2"
 
 
@@ -310,6 +316,53 @@ def test_workspace(spark, tmp_path):
     assert w.read("scan_errors").count() == 2
 
 
+def test_appends_rewrite_nothing_and_old_versions_go(spark, tmp_path):
+    w = tables.Workspace(spark, f"file://{tmp_path}/ws")
+    w.MAX_FOLDERS = 3
+    for i in range(7):
+        w.append("scan_errors", spark.createDataFrame([(f"e{i}",)], "error string"))
+        assert w.read("scan_errors").count() == i + 1
+    assert len(list((tmp_path / "ws/scan_errors/versions").glob("v*"))) == w.KEEP
+    listed = {f for v in w._versions("scan_errors") for f in w._folders("scan_errors", v)}
+    assert {p.name for p in (tmp_path / "ws/scan_errors").iterdir()} == {"versions", *listed}
+    w.append("scan_errors", spark.createDataFrame([("x", 1)], "error string, line int"))
+    assert w.read("scan_errors").where("line is null").count() == 7
+    (tmp_path / "ws/schema_version").write_text("3")
+    (tmp_path / "ws/.schema_version.crc").unlink(missing_ok=True)
+    with pytest.raises(tables.WorkspaceError):
+        tables.Workspace(spark, f"file://{tmp_path}/ws")
+
+
+def test_journal_survives_a_crash(spark, tmp_path):
+    from provena.plans import consolidation as c
+
+    one, two = tmp_path / "one.png", tmp_path / "two.png"
+    one.write_bytes(b"1")
+    two.write_bytes(b"2")
+    journal = c.Journal(str(tmp_path / "ws"), "run_x")
+    for n, (source, done) in enumerate(((one, True), (two, True), (two, False))):
+        target = tmp_path / f"out/{n}.png"
+        entry = {"operation_id": f"op{n}", "run_id": "run_x", "source": str(source), "destination": str(target), "source_hash": c.sha256_file(str(source))}
+        journal.write(entry | {"status": c.STARTED, "timestamp": c.now()})
+        if done:
+            assert c.copy_verified(str(source), str(target), entry["source_hash"])[0] == "verified"
+        if n == 0:
+            journal.write(entry | {"destination_hash": entry["source_hash"], "status": "verified", "timestamp": c.now()})
+    journal.file.write('{"operation_id": "cut')
+    journal.close()
+    w = tables.Workspace(spark, f"file://{tmp_path}/ws")
+    assert c.recover(spark, w, str(tmp_path / "ws")) == 3 and c.recover(spark, w, str(tmp_path / "ws")) == 0
+    assert {r["operation_id"]: r["status"] for r in w.read("operations").collect()} == {"op0": "verified", "op1": "verified", "op2": "failed"}
+
+
+def test_birth_time_is_no_later_than_changes(tmp_path):
+    path = tmp_path / "x"
+    path.write_text("x")
+    born = discovery.birth_time(str(path), os.stat(path))
+    path.chmod(0o600)
+    assert 0 < born <= os.stat(path).st_ctime + 1e-3
+
+
 def test_discovery(spark, tmp_path):
     a, b = tmp_path / "a", tmp_path / "b"
     (a / "sub").mkdir(parents=True)
@@ -336,6 +389,7 @@ def test_config():
     for bad in (
         {}, {"inputs": ["x"], "nope": 1}, {"inputs": ["x"], "scoring": {"weights": {"native_detail": 31}}}, {"inputs": ["x"], "review": {"manual_threshold": 0.99}},
         {"inputs": ["x"], "consolidation": {"naming": "template"}}, {"inputs": ["x"], "consolidation": {"copy_instead_of_move": False}}, {"inputs": ["x"], "matching": {"ssim_threshold": 2}},
+        {"inputs": ["x"], "concurrency": {"metadata": 0}}, {"inputs": ["x"], "references": {"source_extensions": ["html"]}},
     ):
         with pytest.raises(config.ConfigError):
             config.load_config(**bad)
