@@ -447,23 +447,110 @@ def test_pitman_yor_split_contexts_score_as_whole_ones(spark):
     assert max(abs(split[i] / whole[i] - 1) for i in whole) < 0.02
 
 
-def test_seated_contexts_are_distributions():
-    """Dishes' shares and the parent's share of every context add up to all its customers."""
+def test_restaurants_are_distributions():
+    """Dishes' shares and the parent's share of every context add up to all its customers, and the parent's shares to one."""
     import numpy as np
 
     from provena.llm import pitman_yor as p
 
     rng = np.random.default_rng(2)
-    contexts = np.sort(rng.integers(0, 9, 200).astype(np.uint64))
-    key = (contexts << np.uint64(32)) | np.arange(200, dtype=np.uint64)
+    number = np.sort(rng.integers(0, 9, 200))
     c = rng.integers(0, 30, 200)
-    t, number, customers, tables = p.seat_contexts(key, c, np.full(200, 96.0), {}, rng)
-    assert (t <= c * p.SAMPLES).all() and (t >= np.minimum(c, 1) * p.SAMPLES).all()
-    for k in range(number.max() + 1):
+    t = p.sweep(c, number, np.bincount(number, np.minimum(c, 1)), np.full(200, 0.01), rng)
+    assert (t <= c).all() and (t >= np.minimum(c, 1)).all()
+    customers, tables = np.bincount(number, c), np.bincount(number, t)
+    for k in range(9):
         own = number == k
-        shares = (c[own] - p.DISCOUNT * t[own] / p.SAMPLES).sum()
-        assert customers[k] == c[own].sum()
-        assert shares + p.STRENGTH + p.DISCOUNT * tables[k] / p.SAMPLES == pytest.approx(p.STRENGTH + customers[k])
+        assert (c[own] - p.DISCOUNT * t[own]).sum() + p.STRENGTH + p.DISCOUNT * tables[k] == pytest.approx(p.STRENGTH + customers[k])
+    n = np.array([5, 1, 2, 40])
+    parent = p.Parent(int(n.sum()), len(n), 0.4)
+    assert parent(n).sum() + parent(np.array([0]))[0] == pytest.approx(1.0)
+
+
+def test_packing_of_numbers():
+    import numpy as np
+
+    from provena.llm import pitman_yor as p
+
+    for a in ([], [0], [255, 0, 3], [2**40, 1], [2**62, 5]):
+        assert p.unpack_numbers(p.pack_numbers(np.array(a, np.int64))).tolist() == a
+        assert p.unpack_ids(p.pack_ids(np.array(a[::-1], np.int64))).tolist() == a[::-1]
+
+
+def exact_scores(train, texts, discount, sweeps=120, burn=20, seed=1):
+    """The hierarchical model by a sampler that takes customers out and seats them again one by one."""
+    from provena.llm.pitman_yor import DISCOUNT as d
+    from provena.llm.pitman_yor import STRENGTH as s
+
+    rng = random.Random(seed)
+    tables, customers, opened, n = defaultdict(list), Counter(), Counter(), Counter()
+    pairs = [x for t in train for x in zip(["", *t], [*t, ""], strict=True)]
+    types = len({w for _, w in pairs})
+
+    def parent(w):
+        return ((n[w] - discount) if n[w] else s + discount * types) / (s + n.total())
+
+    def seat(v, w):
+        own = tables[v, w]
+        weights = [x - d for x in own] + [(s + d * opened[v]) * parent(w) if own else 1.0]
+        i = rng.choices(range(len(weights)), weights)[0]
+        if i == len(own):
+            own.append(0)
+            opened[v] += 1
+            n[w] += 1
+        own[i] += 1
+        customers[v] += 1
+
+    def leave(v, w):
+        own = tables[v, w]
+        i = rng.choices(range(len(own)), own)[0]
+        own[i] -= 1
+        customers[v] -= 1
+        if not own[i]:
+            own.pop(i)
+            opened[v] -= 1
+            n[w] -= 1
+
+    for x in pairs:
+        seat(*x)
+    want = {x for t in texts for x in zip(["", *t], [*t, ""], strict=True)}
+    total = Counter()
+    for k in range(sweeps):
+        for x in pairs:
+            leave(*x)
+            seat(*x)
+        if k >= burn:
+            for v, w in want:
+                own = tables.get((v, w), [])
+                total[v, w] += (sum(own) - d * len(own) + (s + d * opened[v]) * parent(w)) / (s + customers[v])
+    return [sum(math.log10(total[x] / (sweeps - burn)) for x in zip(["", *t], [*t, ""], strict=True)) for t in texts]
+
+
+def test_pitman_yor_scores_as_an_exact_sampler(spark):
+    from provena.llm import pitman_yor as p
+
+    rng = random.Random(3)
+    weights = [1 / (i + 1) for i in range(40)]
+
+    def text():
+        out = [rng.choices(range(40), weights)[0]]
+        while len(out) < 25:
+            out.append(rng.choices(range(40), weights)[0] if rng.random() < 0.6 else out[-1] * 7 % 40)
+        return [f"w{i}" for i in out]
+
+    rows = [(i, text()) for i in range(50)] + [(60, []), (61, ["unseen", "w1", "w0", "unseen"])]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train = [t for i, t in rows if not held(i)]
+    firsts = Counter(w for _, w in {x for t in train for x in zip(["", *t], [*t, ""], strict=True)})  # contexts of a word
+    kinds = Counter(firsts.values())
+    discount = min(0.95, max(0.05, kinds[1] / (kinds[1] + 2 * kinds[2])))
+    want = dict(zip([i for i, _ in rows], exact_scores(train, [t for _, t in rows], discount), strict=True))
+    docs = spark.createDataFrame([(i, " ".join(t).replace("w1 ", "W1\n"), 1) for i, t in rows] + [(None, None, 1)], "doc_id smallint, text string, block int")
+    got = {r["doc_id"]: r["score"] for r in p.score(docs, words_per_bin=15, pairs_per_bin=300).collect()}
+    for fold in (True, False):
+        ids = [i for i, _ in rows if held(i) == fold]
+        assert sum(got[i] for i in ids) == pytest.approx(sum(want[i] for i in ids), rel=0.02)
+    assert all(abs(got[i] / want[i] - 1) < 0.06 for i, t in rows if t)
 
 
 def test_seating_stays_between_one_and_all():
