@@ -59,12 +59,12 @@ def materialise(df: DataFrame, tag: str, *partition_cols: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, compression: str = "zstd") -> str:
+def bucketed(df: DataFrame, key: str, compression: str = "zstd", path: str | None = None) -> str:
     """Name of a table in the shared folder bucketed by ``key``: joins on the key leave its rows where they are."""
     spark = df.sparkSession
     name = f"provena_{uuid.uuid4().hex}"
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.format("parquet").option("compression", compression).option("path", fresh_dir(spark, "table")).bucketBy(buckets, key).saveAsTable(name)
+    df.write.format("parquet").option("compression", compression).option("path", path or fresh_dir(spark, "table")).bucketBy(buckets, key).saveAsTable(name)
     return name
 
 

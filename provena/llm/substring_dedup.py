@@ -7,11 +7,16 @@ always choose equal hashes, and only about one position in seven is chosen.
 * Index: sorted immutable runs of the hashes of all documents so far, cut into
   bins by hash.  A new batch becomes a run; it is merge-joined with the older
   runs, which yields the hashes that occur more than once; when more than
-  ``max_runs`` runs exist they are merged into one (compaction).
+  ``max_runs`` runs exist they are merged into one (compaction).  A folder holds
+  the runs, each session's blocks and their hashes, and a numbered manifest that
+  names them and appears whole; a session that fails leaves the manifest as it
+  was.  ``SubstringIndex`` opens the folder again, and adds further documents to
+  what it knows.
 * Verification: only windows whose chosen hash is shared are sent on, with a
   128-bit hash of all their words; per distinct window the earliest start
-  (smallest document, then smallest position) is found, every other occurrence
-  covers words to remove.
+  (earlier session, then smallest document, then smallest position) is found,
+  every other occurrence covers words to remove.  Of earlier sessions only
+  blocks with a shared hash are read.
 
 Texts stay where they are: they are written once, compressed, as a table
 bucketed by block, and the rounds join only bits to it.  Inside a block a
@@ -22,25 +27,29 @@ Edge cases: null and empty texts have no words; documents shorter than a window
 keep all words; exact copies lose all words of full windows; a null key sorts
 before all others; rows repeated under one key are ordered by their place in
 the table; further columns are ignored; an empty table gives an empty result.
+Keys are whole numbers, as they are ordered by them; others raise a TypeError.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, bucketed, grouped, map_arrow, materialise, pack, unpack
+from .common import blocks_of, bucketed, fresh_dir, grouped, map_arrow, materialise, pack, unpack
 from .words import U, chunks, doc_words, mix, window_hash
 
 WINDOW = 20
 GRAM = 8
-BATCHES = 2
+BATCHES = 4
 MAX_RUNS = 2
 WORDS_PER_BIN = 1 << 20
 BLOCK_CHARS = 5 << 20
@@ -110,28 +119,40 @@ def bin_of(h: np.ndarray, bins: int) -> np.ndarray:
     return ((h >> U(32)) * U(bins)) >> U(32)
 
 
+def by_bin(h: np.ndarray, bins: int) -> Iterator[tuple[int, slice]]:
+    """The bins of sorted hashes and where each has its own; never more of them than hashes."""
+    used, first = np.unique(bin_of(h, bins), return_index=True)
+    for where, a, b in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
+        yield where, slice(a, b)
+
+
 def split_text(row: dict) -> list[bytes]:
     data = zstandard.ZstdDecompressor().decompress(row["text"])
     ends = np.cumsum(np.asarray(row["sizes"], np.int64)) if row["sizes"] else []
     return [data[b - n : b] for b, n in zip(ends, row["sizes"], strict=True)]
 
 
-def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    deflate = zstandard.ZstdCompressor(level=6).compress
-    for number, held in enumerate(blocks_of(batches, 1 << 16, "text", BLOCK_CHARS)):
-        keys, texts = [], []
-        for batch in held:
-            keys += batch.column("key").to_pylist()
-            texts += [t or b"" for t in batch.column("text").to_pylist()]
-        words = sum(len(t) for t in texts) // 4  # an estimate that only sizes the bins
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([(part << 24) + number], pa.int64()), pa.array([words], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
-                pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([deflate(b"".join(texts))], pa.binary()),
-            ],
-            ["block", "words", "keys", "sizes", "text"],
-        )
+def _make_blocks(session: int):
+    """Blocks are numbered by session, task and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = (session << 48) + (TaskContext.get().partitionId() << 24)
+        deflate = zstandard.ZstdCompressor(level=6).compress
+        for number, held in enumerate(blocks_of(batches, 1 << 16, "text", BLOCK_CHARS)):
+            keys, texts = [], []
+            for batch in held:
+                keys += batch.column("key").to_pylist()
+                texts += [t or b"" for t in batch.column("text").to_pylist()]
+            words = sum(len(t) for t in texts) // 4  # an estimate that only sizes the bins
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([first + number], pa.int64()), pa.array([words], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
+                    pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([deflate(b"".join(texts))], pa.binary()),
+                ],
+                ["block", "words", "keys", "sizes", "text"],
+            )
+
+    return run
 
 
 class Blocks:
@@ -139,10 +160,13 @@ class Blocks:
 
     schema = "block bigint, words bigint, keys array<bigint>, sizes array<int>, text binary"
 
-    def __init__(self, docs: DataFrame, key: str, text: str):
+    def __init__(self, docs: DataFrame, key: str, text: str, path: str | None = None, session: int = 0):
         self.spark = docs.sparkSession
+        kind = docs.schema[key].dataType.simpleString()
+        if kind not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{key} is {kind}: documents are ordered by a whole number")
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-        self.name = bucketed(map_arrow(rows, _make_blocks, self.schema), "block", "none")
+        self.name = bucketed(map_arrow(rows, _make_blocks(session), self.schema), "block", "none", path)
 
     @property
     def table(self) -> DataFrame:
@@ -157,13 +181,12 @@ def anchors_of(blocks: DataFrame, bins: int, window: int, gram: int) -> DataFram
             for row in batch.to_pylist():
                 b = Block(split_text(row), window, gram, full=False)
                 h, n = np.unique(b.anchors, return_counts=True)
-                cuts = np.searchsorted(bin_of(h, bins), np.arange(bins + 1, dtype=U))
-                use = [i for i in range(bins) if cuts[i] < cuts[i + 1]]
+                use = list(by_bin(h, bins))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["block"]] * len(use), pa.int64()), pa.array(use, pa.int32()),
-                        pa.array([pack(np.packbits(n[cuts[i] : cuts[i + 1]] > 1)) for i in use], pa.binary()),
-                        pa.array([pack_sorted(h[cuts[i] : cuts[i + 1]]) for i in use], pa.binary()),
+                        pa.array([row["block"]] * len(use), pa.int64()), pa.array([i for i, _ in use], pa.int32()),
+                        pa.array([pack(np.packbits(n[own] > 1)) for _, own in use], pa.binary()),
+                        pa.array([pack_sorted(h[own]) for _, own in use], pa.binary()),
                     ],
                     ["block", "bin", "repeated", "hashes"],
                 )
@@ -203,63 +226,112 @@ def _compact(table: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of chosen hashes in the shared folder."""
+    """A folder of sorted immutable runs of chosen hashes, and of the sessions that they come from; its manifest says which count.
+
+    ``bins`` holds for the life of the folder: give a new one the number that
+    the corpus will need.
+    """
+
+    def __init__(self, spark: SparkSession, bins: int | None = None, max_runs: int = MAX_RUNS, path: str | None = None, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.max_runs, self.dead = spark, max_runs, []
+        self.path = path or fresh_dir(spark, "index")
+        self.store, self.root = fs.FileSystem.from_uri(self.path)
+        found = self._manifests()
+        if found:
+            with self.store.open_input_stream(f"{self.root}/{found[-1]}") as f:
+                self.state = json.loads(f.read())
+            if bins not in (None, self.state["bins"]) or (window, gram) != (self.state["window"], self.state["gram"]):
+                raise ValueError(f"{self.path} was made for other bins, windows or hashes")
+        else:
+            self.state = {"bins": bins, "window": window, "gram": gram, "runs": [], "sessions": []}
 
-    def __init__(self, spark: SparkSession, bins: int, max_runs: int = MAX_RUNS):
-        self.spark, self.bins, self.max_runs = spark, bins, max_runs
-        self.runs: list[DataFrame] = []
-        self.shared: list[DataFrame] = []
+    @property
+    def bins(self) -> int:
+        return self.state["bins"]
+
+    @property
+    def runs(self) -> list[str]:
+        return self.state["runs"]
+
+    def _manifests(self) -> list[str]:
+        if self.store.get_file_info(self.root).type == fs.FileType.NotFound:
+            return []
+        found = (f.base_name for f in self.store.get_file_info(fs.FileSelector(self.root)))
+        return sorted(f for f in found if f.startswith("manifest-") and f.endswith(".json"))
+
+    def commit(self) -> None:
+        """The next manifest; runs that were compacted are deleted after it."""
+        name = f"manifest-{len(self._manifests()) + 1:08d}.json"
+        self.store.create_dir(self.root, recursive=True)
+        with self.store.open_output_stream(f"{self.root}/{name}.tmp") as f:
+            f.write(json.dumps(self.state).encode())
+        self.store.move(f"{self.root}/{name}.tmp", f"{self.root}/{name}")
+        while self.dead:
+            self.store.delete_dir(f"{self.root}/{self.dead.pop()}")
+
+    def new(self, tag: str) -> str:
+        return f"{tag}-{uuid.uuid4().hex}"
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def write(self, df: DataFrame, tag: str) -> str:
+        name = self.new(tag)
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return name
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema("bin int, hashes binary").parquet(*(f"{self.path}/{r}" for r in self.runs))
 
     def ingest(self, anchors: DataFrame) -> DataFrame:
         """Add a batch; returns (bin, shared) rows: hashes that now occur more than once."""
-        run = materialise(anchors.groupBy("bin").applyInArrow(grouped(_sort_batch), "bin int, hashes binary, shared binary"), "run")
-        found = [run.select("bin", "shared")]
+        name = self.write(anchors.groupBy("bin").applyInArrow(grouped(_sort_batch), "bin int, hashes binary, shared binary"), "run")
+        run = self.table(name, "bin int, hashes binary, shared binary")
+        found = run.select("bin", "shared")
         if self.runs:
-            old = self.runs[0]
-            for more in self.runs[1:]:
-                old = old.unionByName(more)
-            joined = run.select("bin", "hashes").groupBy("bin").cogroup(old.select(F.col("bin").alias("at"), "hashes").groupBy("at")).applyInArrow(grouped(_merge_join), "bin int, shared binary")
-            found.append(materialise(joined, "hits"))
-        self.runs.append(run.select("bin", "hashes"))
-        self.shared += found
+            old = self._all().select(F.col("bin").alias("at"), "hashes").groupBy("at")
+            joined = run.select("bin", "hashes").groupBy("bin").cogroup(old).applyInArrow(grouped(_merge_join), "bin int, shared binary")
+            found = found.unionByName(materialise(joined, "hits"))
+        found = materialise(found, "shared")  # runs may go when the index is compacted
+        self.runs.append(name)
         if len(self.runs) > self.max_runs:
             self.compact()
-        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        self.commit()
+        return found
 
     def compact(self) -> None:
-        old = self.runs[0]
-        for more in self.runs[1:]:
-            old = old.unionByName(more)
-        self.runs = [materialise(old.groupBy("bin").applyInArrow(grouped(_compact), "bin int, hashes binary"), "compacted")]
-
-    def shared_hashes(self) -> DataFrame:
-        out = self.shared[0]
-        for more in self.shared[1:]:
-            out = out.unionByName(more)
-        return out
-
-
-def _flag_anchors(asked: pa.Table, shared: pa.Table) -> pa.Table:
-    """One bit for each hash a block has in this bin: shared or not."""
-    have = [unpack_sorted(s) for s in shared.column("shared").to_pylist()]
-    have = np.unique(np.concatenate(have)) if have else np.zeros(0, U)
-    blocks, bins, bits = [], [], []
-    for block, where, h in zip(asked.column("block").to_pylist(), asked.column("bin").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
-        h = unpack_sorted(h)
-        hit = have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h if len(have) else np.zeros(len(h), bool)
-        blocks.append(block)
-        bins.append(where)
-        bits.append(pack(np.packbits(hit)))
-    return pa.table([pa.array(blocks, pa.int64()), pa.array(bins, pa.int32()), pa.array(bits, pa.binary())], ["home", "bin", "bits"])
+        """One run of all hashes in place of all runs, which go with the next manifest."""
+        self.dead += self.runs
+        self.state["runs"] = [self.write(self._all().groupBy("bin").applyInArrow(grouped(_compact), "bin int, hashes binary"), "compacted")]
+
+
+def _flag_anchors(only_hits: bool):
+    """One bit for each hash a block has in this bin: shared or not; ``only_hits``: only for blocks that have a shared one."""
+
+    def run(asked: pa.Table, shared: pa.Table) -> pa.Table:
+        have = [unpack_sorted(s) for s in shared.column("shared").to_pylist()]
+        have = np.unique(np.concatenate(have)) if have else np.zeros(0, U)
+        blocks, bins, bits = [], [], []
+        for block, where, h in zip(asked.column("block").to_pylist(), asked.column("bin").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
+            h = unpack_sorted(h)
+            hit = have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h if len(have) else np.zeros(len(h), bool)
+            if only_hits and not hit.any():
+                continue
+            blocks.append(block)
+            bins.append(where)
+            bits.append(pack(np.packbits(hit)))
+        return pa.table([pa.array(blocks, pa.int64()), pa.array(bins, pa.int32()), pa.array(bits, pa.binary())], ["home", "bin", "bits"])
+
+    return run
 
 
 def _bits(replies: pa.Table, keys: np.ndarray, bins: int) -> np.ndarray:
-    """The replies to hashes ``keys`` (sorted by hash, so by bin) put together again."""
+    """The replies to hashes ``keys`` (sorted by hash, so by bin) put together again; bins without a reply have none."""
     out = np.zeros(len(keys), bool)
-    cuts = np.searchsorted(bin_of(keys, bins), np.arange(bins + 1, dtype=U))
+    spans = dict(by_bin(keys, bins))
     for where, bits in zip(replies.column("bin").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-        a, b = int(cuts[where]), int(cuts[where + 1])
-        out[a:b] = np.unpackbits(unpack(bits, np.uint8), count=b - a).astype(bool)
+        own = spans[where]
+        out[own] = np.unpackbits(unpack(bits, np.uint8), count=own.stop - own.start).astype(bool)
     return out
 
 
@@ -289,13 +361,11 @@ def _send_windows(bins: int, window: int, gram: int):
         for row in block.to_pylist():
             c = Candidates(row, replies, bins, window, gram)
             at, b = c.at[c.lead], c.block
-            cuts = np.searchsorted(bin_of(b.win[at], bins), np.arange(bins + 1, dtype=U))
-            for i in range(bins):
-                own = at[cuts[i] : cuts[i + 1]]
-                if len(own):
-                    doc = b.docs[own].astype(np.int64)
-                    used, inverse = np.unique(doc, return_inverse=True)
-                    rows.append((row["block"], i, pack_sorted(b.win[own]), b.win2[own].tobytes(), pack(inverse.astype(np.uint32)), pack(c.keys[used]), pack(used.astype(np.uint32)), pack(b.starts[own])))
+            for i, span in by_bin(b.win[at], bins):
+                own = at[span]
+                doc = b.docs[own].astype(np.int64)
+                used, inverse = np.unique(doc, return_inverse=True)
+                rows.append((row["block"], i, pack_sorted(b.win[own]), b.win2[own].tobytes(), pack(inverse.astype(np.uint32)), pack(c.keys[used]), pack(used.astype(np.uint32)), pack(b.starts[own])))
         names = [("block", pa.int64()), ("bin", pa.int32()), ("win", pa.binary()), ("win2", pa.binary()), ("doc", pa.binary()), ("keys", pa.binary()), ("place", pa.binary()), ("start", pa.binary())]
         return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(names)], [n for n, _ in names])
 
@@ -303,7 +373,10 @@ def _send_windows(bins: int, window: int, gram: int):
 
 
 def _earliest(table: pa.Table) -> pa.Table:
-    """Per distinct window of a bin, every sender but the earliest learns that its window starts earlier elsewhere."""
+    """Per distinct window of a bin, every sender but the earliest learns that its window starts earlier elsewhere.
+
+    Earlier sessions come first, then smaller keys; the number of a block begins with its session.
+    """
     rows = table.to_pylist()
     w, v, key, place, start, sender = [], [], [], [], [], []
     for i, r in enumerate(rows):
@@ -318,7 +391,7 @@ def _earliest(table: pa.Table) -> pa.Table:
     sizes = [len(x) for x in w]
     block = np.repeat(np.asarray([r["block"] for r in rows], np.int64), sizes)
     w, v, key, place, start = (np.concatenate(x) for x in (w, v, key, place, start))
-    order = np.lexsort((start, place, block, key, v, w))
+    order = np.lexsort((start, place, block, key, block >> 48, v, w))
     a, b = w[order], v[order]
     later = np.zeros(len(order), bool)
     later[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
@@ -359,32 +432,52 @@ def _finish(bins: int, window: int, gram: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, words_per_bin: int = WORDS_PER_BIN) -> DataFrame:
-    """``key, n_words, removed`` (word ranges, end exclusive) and ``kept`` (UTF-8 of the kept words) of every row."""
-    blocks = Blocks(docs, key, text)
-    total = blocks.table.agg(F.sum("words")).first()[0] or 0
-    bins = max(12, -(-int(total) // words_per_bin))
-    index = FingerprintIndex(docs.sparkSession, bins)
-    every = []
-    for k in range(batches):
-        own = blocks.table.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == k)
-        anchors = materialise(anchors_of(own, bins, window, gram), "anchors")
-        every.append(anchors)
-        index.ingest(anchors)
-    asked = every[0]
-    for more in every[1:]:
-        asked = asked.unionByName(more)
-    shared = index.shared_hashes().select(F.col("bin").alias("at"), "shared")
-    flags = materialise(asked.select("block", "bin", "hashes").groupBy("bin").cogroup(shared.groupBy("at")).applyInArrow(grouped(_flag_anchors), "home bigint, bin int, bits binary"), "flags")
-    sent = blocks.table.groupBy("block").cogroup(flags.groupBy("home")).applyInArrow(
-        grouped(_send_windows(bins, window, gram)), "block bigint, bin int, win binary, win2 binary, doc binary, keys binary, place binary, start binary"
-    )
-    later = materialise(sent.groupBy("bin").applyInArrow(grouped(_earliest), "home bigint, bin int, bits binary, kind string"), "later")
-    replies = flags.withColumn("kind", F.lit("anchor")).unionByName(later)
-    out = blocks.table.groupBy("block").cogroup(replies.groupBy("home")).applyInArrow(
-        grouped(_finish(bins, window, gram)), "key bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
-    )
-    return out.withColumnRenamed("key", key)
+SENT = "block bigint, bin int, win binary, win2 binary, doc binary, keys binary, place binary, start binary"
+ANCHORS = "block bigint, bin int, repeated binary, hashes binary"
+
+
+class SubstringIndex(FingerprintIndex):
+    """Documents of any number of sessions, of which each is cleared of what it or an earlier one has already."""
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, words_per_bin: int = WORDS_PER_BIN) -> DataFrame:
+        """``key, n_words, removed`` (word ranges, end exclusive) and ``kept`` (UTF-8 of the kept words) of every row."""
+        window, gram, old = self.state["window"], self.state["gram"], list(self.state["sessions"])
+        session = len(old)
+        place = self.new("blocks")
+        blocks = Blocks(docs, key, text, f"{self.path}/{place}", session)
+        if self.bins is None:
+            total = blocks.table.agg(F.sum("words")).first()[0] or 0
+            self.state["bins"] = max(12, -(-int(total) // words_per_bin))
+        bins = self.bins
+        anchors = self.write(anchors_of(blocks.table, bins, window, gram), "anchors")
+        asked = self.table(anchors, ANCHORS)
+        shared = None
+        for k in range(batches):
+            found = self.ingest(asked.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == k))
+            shared = found if shared is None else shared.unionByName(found)
+        self.state["sessions"].append({"blocks": place, "anchors": anchors})
+        self.commit()
+        by_hash = shared.select(F.col("bin").alias("at"), "shared").groupBy("at")
+        flagged = lambda table, only: materialise(table.select("block", "bin", "hashes").groupBy("bin").cogroup(by_hash).applyInArrow(grouped(_flag_anchors(only)), "home bigint, bin int, bits binary"), "flags")
+        send = lambda table, flags: table.groupBy("block").cogroup(flags.groupBy("home")).applyInArrow(grouped(_send_windows(bins, window, gram)), SENT)
+        flags = flagged(asked, False)
+        sent = send(blocks.table, flags)
+        for s in old:  # of earlier sessions, only blocks that have a shared hash
+            hits = flagged(self.table(s["anchors"], ANCHORS), True)
+            known = self.table(s["blocks"], Blocks.schema).join(hits.select(F.col("home").alias("block")).distinct(), "block", "left_semi")
+            sent = sent.unionByName(send(known, hits))
+        later = sent.groupBy("bin").applyInArrow(grouped(_earliest), "home bigint, bin int, bits binary, kind string")
+        later = materialise(later.where(F.shiftright("home", 48) == session), "later")
+        replies = flags.withColumn("kind", F.lit("anchor")).unionByName(later)
+        out = blocks.table.groupBy("block").cogroup(replies.groupBy("home")).applyInArrow(
+            grouped(_finish(bins, window, gram)), "key bigint, n_words bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
+        )
+        return out.withColumnRenamed("key", key)
+
+
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, words_per_bin: int = WORDS_PER_BIN, path: str | None = None) -> DataFrame:
+    """``key, n_words, removed, kept`` of every row, by the index in ``path``, or by a new one."""
+    return SubstringIndex(docs.sparkSession, path=path, window=window, gram=gram).add(docs, key, text, batches, words_per_bin)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
