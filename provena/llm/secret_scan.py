@@ -1,15 +1,21 @@
 """Secret scanning: base patterns and an assignment-aware lexer.
 
 The base patterns find assignments with a sensitive keyword, access keys and
-long hexadecimal runs.  The lexer reads lines of source and configuration
-syntax (``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``name => literal``, ``<name>literal</name>``, ``--name literal``) into
+long hexadecimal runs.  The lexer reads source and configuration syntax into
 name-literal pairs, propagates constants (``B = A`` gives B the literal of A,
-through any number of assignments in the order of the text), and scores each literal by how
-sensitive its target names are and by how random it looks.
+through any number of assignments in the order of the text), and scores each
+literal by how sensitive its target names are and by how random it looks.  It
+knows ``name = "literal"``, ``name: literal``, ``"name": "literal"``,
+``x["name"] = "literal"``, ``name => literal``, ``<name>literal</name>``,
+``--name literal``, ``key="name" value="literal"`` and ``name: N`` above
+``value: literal``; strings with prefixes and escapes; and strings put together
+by ``+``, ``.`` or ``&``, or side by side in parentheses, over any number of
+lines.  A literal in a comment counts (it is in the text all the same), but
+defines no constant.
 
 A span is ``(kind, start, end)`` in code points, end exclusive; base spans cover
-the whole match, the lexer's ``literal`` spans the literal alone.
+the whole match, the lexer's ``literal`` spans the literal alone; one that is put
+together has a span for each part, and they share its score.
 
 Edge cases: null and empty texts have no spans; repeated rows and null keys
 pass through row by row; further columns are ignored.  Literals have any length.
@@ -42,11 +48,22 @@ SENSITIVE = {
 }
 PLACEHOLDERS = {"changeme", "example", "placeholder", "undefined", "required", "redacted", "password", "disabled"}
 
-#: A name, an assignment sign and a quoted literal, a bare literal or another name.
+#: A name, an assignment sign, and the beginning of a quoted or bare value.
 PAIR = re.compile(
-    r"""(?a)(?P<flag>--?)?["']?(?P<name>[A-Za-z_$][\w$.-]{0,80})["']?(?:\x20*(?:=>|:=|[:=])\x20*|(?P<gap>\x20+)|>)"""
-    r"""(?:"(?P<dq>[^"\n\\]++)"|'(?P<sq>[^'\n\\]++)'|(?P<bare>[A-Za-z0-9+/_.=$@!%*~^-]))"""
+    r"""(?a)(?P<flag>--?)?["']?(?P<name>[A-Za-z_$][\w$.-]{0,80})["']?\]?(?:\x20*(?:=>|:=|[:=])\x20*|(?P<gap>\x20+)|>)"""
+    r"""(?P<open>\((?=[\s(]*[A-Za-z]{0,2}["']))?(?:(?P<quoted>\s{0,80}+(?:[rbfuRBFU@]{1,2}(?=["']))?+["'`])|(?P<bare>[A-Za-z0-9+/_.=$@!%*~^-]))"""
 )
+#: A whole string from its quote on; a backslash takes the sign after it along.
+STRING = re.compile(r"""(?s)"((?:[^"\n\\]++|\\.)*+)"|'((?:[^'\n\\]++|\\.)*+)'|`((?:[^`\n\\]++|\\.)*+)`""")
+#: What joins the next string to one: a sign, or in parentheses nothing at all.
+JOINED = re.compile(r"""(?s)[ \t]*+(?:[+.&][ \t]*+(?:\\?\n[ \t]*+)?|\\?\n[ \t]*+[+.&][ \t]*+)(?:[rbfuRBFU]{1,2}(?=["']))?+(?=["'`])""")
+JOINED_INSIDE = re.compile(r"""\s*+(?:[+.&]\s*+)?(?:[rbfuRBFU]{1,2}(?=["']))?+(?=["'`])""")
+ESCAPE = re.compile(r"(?s)\\(.)")
+#: A line up to its comment: strings, and signs that begin none.
+CODE = re.compile(r"""(?:[^"'#/]++|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|["']|(?<=\S)#|/(?!/)|(?<=[^\s])//)*+""")
+#: Names and literals as attributes of one element, or as two entries of one mapping.
+ATTRIBUTES = re.compile(r"""(?a)\b(?:key|name|id)=["'](?P<name>[\w$.:-]{1,80})["']\s{1,80}value=(?:"(?P<dq>[^"\n]*)"|'(?P<sq>[^'\n]*)')""")
+ENTRIES = re.compile(r"""(?a)\b(?:key|name):\x20{0,9}["']?(?P<name>[\w.-]{1,80})["']?\x20{0,9}\n[\x20\t]{0,80}value:\x20{0,9}(?:"(?P<dq>[^"\n]*)"|'(?P<sq>[^'\n]*)'|(?P<bare>[^\s"'#]+))""")
 #: A whole bare literal; PAIR has its first character only, as every name within one shares its end.
 BARE = re.compile(r"[A-Za-z0-9+/_.=$@!%*~^-]+")
 #: Names have at most so many characters.
@@ -96,55 +113,85 @@ class Suffixes:
         return min(1.0, 0.2 * classes + 0.12 * entropy(self.counts))
 
 
-def pairs(text: str) -> Iterator[tuple[str, int, int, bool]]:
-    """(name, start and end of the value, quoted) of every assignment-like line, in order."""
-    at = 0
+Spans = tuple[tuple[int, int], ...]
+
+
+def strings(text: str, at: int, inside: bool) -> tuple[Spans, int]:
+    """The parts of the string that begins at a quote, with what is joined to it, and where they end; none if it is not closed."""
+    parts, end = [], at
+    while m := STRING.match(text, at):
+        parts.append(m.span(m.lastindex))
+        end = m.end()
+        more = (JOINED_INSIDE if inside else JOINED).match(text, end)
+        if not more:
+            break
+        at = more.end()
+    return tuple(parts), end
+
+
+def pairs(text: str) -> Iterator[tuple[str, Spans, bool, bool]]:
+    """(name, parts of the value, quoted, outside of comments) of every assignment, in order."""
+    at = done = 0
     for line in text.split("\n"):
-        if SIGN.search(line):
-            pos = run = 0
-            while m := PAIR.search(line, pos):
+        stop = at + len(line)
+        if stop > done and SIGN.search(line):
+            code = at + CODE.match(line).end() if "#" in line or "//" in line else stop
+            pos, run = max(at, done), 0
+            while m := PAIR.search(text, pos, stop):
                 pos = m.end("name") + 1  # a value may itself be the next name: a = b = "c"
                 if m["gap"] and not m["flag"]:
                     continue  # words of prose beside each other
-                kind = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-                end = m.end(kind)
-                if kind == "bare":
-                    if end > run:
-                        run = BARE.match(line, m.start(kind)).end()
-                    end = run
-                yield m["name"], at + m.start(kind), at + end, kind != "bare"
-                if kind != "bare":
-                    pos = m.end()
-        at += len(line) + 1
+                if m["quoted"]:
+                    parts, end = strings(text, m.end("quoted") - 1, m["open"] is not None)
+                    if parts:
+                        yield m["name"], parts, True, m.start() < code
+                        pos = done = max(end, pos)
+                else:
+                    start = m.start("bare")
+                    if m.end("bare") > run:
+                        run = BARE.match(text, start, stop).end()
+                    yield m["name"], ((start, run),), False, m.start() < code
+        at = stop + 1
+    for rule, sign in ((ATTRIBUTES, "value="), (ENTRIES, "value:")):
+        if sign in text:
+            for m in rule.finditer(text):
+                yield m["name"], (m.span(m.lastgroup),), m.lastgroup != "bare", True
+
+
+def content(text: str, parts: Spans) -> str:
+    """The string that the parts make, without escapes."""
+    return "".join(ESCAPE.sub(r"\1", text[a:b]) if "\\" in text[a:b] else text[a:b] for a, b in parts)
 
 
 def lexed_spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[str, int, int, str, float]]:
     """``(literal, start, end, name, score)`` of literals that reach a sensitive name."""
     if not HINT.search(text):
         return []
-    constants: dict[str, tuple[int, int]] = {}
-    weights: dict[tuple[int, int], float] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
+    constants: dict[str, Spans] = {}
+    weights: dict[Spans, float] = {}
+    best: dict[Spans, tuple[float, str]] = {}
     outer, ends = (0, 0), None  # the last bare literal that is not part of another
-    for name, start, end, quoted in pairs(text):
-        span = (start, end)
+    for name, parts, quoted, defines in pairs(text):
         if not quoted:
+            start, end = parts[0]
             if end - start <= NAME_CHARS:
-                span = constants.get(text[start:end], span)
+                parts = constants.get(text[start:end], parts)
             elif end != outer[1]:
-                outer, ends = span, None
+                outer, ends = parts[0], None
             elif text.find("=", start, end) >= 0:
                 ends = ends or Suffixes(text, *outer)
-                weights[span] = ends.weight(start)
-        constants[name] = span
+                weights[parts] = ends.weight(start)
+        if defines:
+            constants[name] = parts
         if (weight := name_weight(name)) < min_score:
             continue  # no literal's weight is above 1
-        if span not in weights:
-            weights[span] = literal_weight(text[slice(*span)])
-        score = weight * weights[span]
-        if score > best.get(span, (0.0, ""))[0]:
-            best[span] = (score, name)
-    return [("literal", a, b, name, score) for (a, b), (score, name) in best.items() if score >= min_score and b > a]
+        if parts not in weights:
+            weights[parts] = literal_weight(content(text, parts) if quoted else "".join(text[a:b] for a, b in parts))
+        score = weight * weights[parts]
+        if score > best.get(parts, (0.0, ""))[0]:
+            best[parts] = (score, name)
+    found = {(a, b): (name, score) for parts, (score, name) in best.items() if score >= min_score for a, b in parts if b > a}
+    return [("literal", a, b, name, score) for (a, b), (name, score) in found.items()]
 
 
 def scan_text(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str, float]]]:

@@ -285,3 +285,52 @@ def test_shard_bounds_are_exact(spark):
         before += held[i]
     for parts in (1, 7):
         assert shard_bounds(spark.createDataFrame(rows, "_id bigint, _bytes bigint").repartition(parts), 5000) == sorted(want.values())
+
+
+# --- 6: the lexer ---------------------------------------------------------------------------------------
+
+
+SECRET = "Zx9!kQ2#mL7p"
+
+
+@pytest.mark.parametrize(
+    ("text", "parts"),
+    [
+        ('client_credential = ("Zx9!kQ" + "2#mL7p")', ["Zx9!kQ", "2#mL7p"]),
+        ('client_credential = ("Zx9!kQ"\n    b"2#mL7p")\n', ["Zx9!kQ", "2#mL7p"]),
+        ("$client_credential = 'Zx9!kQ' . '2#mL7p';", ["Zx9!kQ", "2#mL7p"]),
+        ('client_credential = "Zx9!kQ" \\\n  + "2#mL7p"', ["Zx9!kQ", "2#mL7p"]),
+        (r'accesskey := "Zx9\"kQ2\\mL7p"', [r"Zx9\"kQ2\\mL7p"]),
+        ('conf["private_key"] = r"Zx9!kQ2#mL7p"', [SECRET]),
+        ('<add key="DbCredential" value="Zx9!kQ2#mL7p"/>', [SECRET]),
+        ("- name: DB_CREDENTIAL\n  value: Zx9!kQ2-mL7p\n", ["Zx9!kQ2-mL7p"]),
+        ('# old_pwd = "Zx9!kQ2#mL7p"', [SECRET]),
+        ('KEY_A = "Zx9!kQ2#mL7p"\nlog.info("x")\nKEY_B = KEY_A\nsvc.accesskey = KEY_B', [SECRET]),
+        ('# KEY_A = "Zx9!kQ2#mL7p"\naccesskey = KEY_A', []),  # a comment defines nothing
+        ('url = "http://h/#a"  # pwd below\nZ = "Zx9!kQ2#mL7p"\npwd = Z', [SECRET]),
+        ('pwd = "Zx9!kQ2#mL7p', []),
+        ("it's a key: don't say 'token' here, it isn't one", []),
+        ('pwd = getpass("Zx9!kQ2#mL7p")', []),
+    ],
+)
+def test_secret_lexer(text, parts):
+    from provena.llm import secret_scan as s
+
+    got = [text[a:b] for _, a, b, _, _ in sorted(s.lexed_spans(text), key=lambda x: x[1])]
+    assert got == parts
+
+
+def test_secret_scan_of_repeated_rows_and_null_keys(spark):
+    from provena.llm import secret_scan as s
+
+    docs = spark.createDataFrame([(i, f'pwd = "{SECRET}"', 1) for i in (3, 3, None)] + [(4, None, 1)], "doc_id bigint, text string, found int")
+    assert sorted((r["doc_id"] or 0, r["spans"]) for r in s.digest(s.find_secrets(docs)).collect()) == [(0, "literal:7:19"), (3, "literal:7:19"), (3, "literal:7:19"), (4, "")]
+
+
+@pytest.mark.parametrize("text", ["'" * 200_000, 'pwd = ("' + "a" * 200_000, 'pwd = "a" + ' * 30_000, "pwd = (" * 40_000, 'pwd="\\' * 60_000, "name: a\n" * 60_000, 'key="a" ' * 50_000, "pwd = " + '"a"\n + ' * 50_000])
+def test_secret_lexer_is_linear(text):
+    from provena.llm import secret_scan
+
+    began = time.process_time()
+    secret_scan.scan_text(text)
+    assert time.process_time() - began < 10

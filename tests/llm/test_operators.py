@@ -194,18 +194,36 @@ def test_substring_dedup_empty(empty):
     assert s.substring_dedup(empty).count() == 0
 
 
-def test_index_compacts_and_finds_history(spark):
+def test_index_of_three_sessions(spark, tmp_path, rows):
+    """Three sessions, each with a handle of its own, against the same words removed with all documents in one order."""
     from provena.llm import substring_dedup as s
 
-    text = " ".join(f"w{i}" for i in range(30))
-    index = s.FingerprintIndex(spark, 12, max_runs=1)
-    hits = []
-    for batch in ([(1, text)], [(2, "p " + text)], [(3, text + " q")]):
-        blocks = s.Blocks(spark.createDataFrame(batch, "doc_id bigint, text string"), "doc_id", "text")
-        rows = index.ingest(s.anchors_of(blocks.table, 12, 20, 8)).collect()
-        hits.append(sum(len(s.unpack_sorted(r["shared"])) for r in rows))
-    assert hits[0] == 0 and hits[1] > 0 and hits[2] > 0
-    assert len(index.runs) == 1
+    path = f"file://{tmp_path}/index"
+    order, batches = sorted(rows), [[], [], []]
+    for n, (i, t) in enumerate(order):
+        batches[n % 3].append((i, t))
+    seen, want, n_runs = [], {}, []
+    for k, batch in enumerate(batches):
+        seen += [((k, i), t) for i, t in batch]
+        got = s.digest(s.SubstringIndex(spark, path=path).add(frame(spark, batch), batches=2, words_per_bin=500)).collect()
+        want = {i[1]: v for i, v in brute_substrings(seen, 20).items() if i[0] == k}
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+        n_runs.append(len(s.SubstringIndex(spark, path=path).runs))
+    assert n_runs == [2, 2, 2]  # a third run is compacted with the others
+    assert sum(p.name.startswith(("run-", "compacted-")) for p in (tmp_path / "index").iterdir()) == 2
+    with pytest.raises(ValueError, match="other"):
+        s.SubstringIndex(spark, path=path, window=9)
+
+
+def test_substring_dedup_of_repeated_and_null_keys(spark):
+    from provena.llm import substring_dedup as s
+
+    text = " ".join(f"w{i}" for i in range(25))
+    docs = spark.createDataFrame([(7, text, 1), (7, text, 1), (None, text + " x", 1), (9, text, 1), (8, None, 1)], "doc_id int, text string, block int").coalesce(1)
+    got = [(r["doc_id"], r["n_removed"]) for r in s.digest(s.substring_dedup(docs)).collect()]
+    assert sorted(got, key=str) == [(7, 25), (7, 25), (8, 0), (9, 25), (None, 0)]
+    with pytest.raises(TypeError):
+        s.substring_dedup(spark.createDataFrame([("a", text)], "doc_id string, text string"))
 
 
 def test_leftmost_minimum():
