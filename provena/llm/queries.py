@@ -123,6 +123,61 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(documents(spark, sf_dir))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_of AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM both_of JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+side AS (SELECT x AS u, y AS v FROM link UNION SELECT y, x FROM link),
+walk AS (SELECT u AS node, u AS seen FROM side UNION SELECT walk.node, side.v FROM walk JOIN side ON side.u = walk.seen),
+least_of AS (SELECT node, min(seen) AS component_id FROM walk GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(l.component_id, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of l ON l.node = d.doc_id
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(w, i, i + 19), ' ') ORDER BY doc_id, i) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM win WHERE k > 1) GROUP BY 1),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+removed AS (SELECT doc_id, unnest(ps) AS p FROM gone),
+kept AS (
+  SELECT word.doc_id, string_agg(word.x, ' ' ORDER BY word.p) AS text, count(*) AS n
+  FROM word LEFT JOIN removed r ON r.doc_id = word.doc_id AND r.p = word.p WHERE r.p IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op6`` that SQL can express: the base spans."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+# A pattern's matches are between the pieces that it splits the text into, so lengths give places.
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+rule AS (
+  SELECT * FROM (VALUES
+    ('assign', 0, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', 8),
+    ('access', 1, 'AKIA[A-Z0-9]+', '^', 16), ('hex', 2, '[0-9a-f]+', '^', 32)) r(kind, k, rule, head, least)),
+m AS (SELECT doc_id, kind, k, head, least, regexp_extract_all(t, rule) AS found, string_split_regex(t, rule) AS pieces FROM d, rule),
+placed AS (
+  SELECT doc_id, kind, k, found[i] AS x, length(regexp_replace(found[i], head, '')) >= least AS ok,
+         list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i-1], lambda p: length(p))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m WHERE len(found) > 0)),
+s AS (SELECT doc_id, kind, k, CAST(a AS BIGINT) AS a, CAST(a + length(x) AS BIGINT) AS b FROM placed WHERE ok)
+SELECT d.doc_id, count(*) FILTER (s.kind = 'assign') AS n_assign, count(*) FILTER (s.kind = 'access') AS n_access, count(*) FILTER (s.kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(s.kind || ':' || s.a || ':' || s.b, ',' ORDER BY s.a, s.k), '')) AS base_sha256
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
+
 QUERIES = {
     "op3_pitman_yor": op3_pitman_yor,
     "op1_quality": op1_quality,
@@ -134,6 +189,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "secret_base_spans": secret_base_spans,
 }
 
-ORACLES = {"op10_warc": OP10_SQL, "op2_decontaminate": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLES = {"op4_minhash": OP4_SQL, "op8_substring_dedup": OP8_SQL, "secret_base_spans": BASE_SQL, "op10_warc": OP10_SQL, "op2_decontaminate": OP2_SQL, "op5_exact_dedup": OP5_SQL}
