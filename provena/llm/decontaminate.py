@@ -42,6 +42,8 @@ MAX_PATTERN_CHARS = 1 << 20
 #: Windows of one piece of an item, where a benchmark is dealt into groups.
 PIECE_WINDOWS = 2048
 BLOCK_CHARS = 16 << 20
+#: Words are numbered by the characters from this one on, a million of them: more than MAX_PATTERN_CHARS hold words.
+FIRST_NUMBER = 0x10000
 
 Item = tuple[str | None, str | None]
 Hits = tuple[int, list[tuple[int, int]], set[str]]
@@ -55,21 +57,21 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Matcher:
-    """The numbers of the items' words, and the automaton over runs of them."""
+    """The numbers of the items' words, each as one character, and the automaton over runs of them."""
 
     def __init__(self, items: list[Item], window: int):
         import ahocorasick
 
-        self.index: dict[str, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.index: dict[str, str] = {}
+        owners: dict[str, set[str]] = {}
         get = self.index.setdefault
         for item, text in items:
-            words = [get(w, len(self.index) + 1) for w in words_of(text)]
+            words = [get(w, chr(FIRST_NUMBER + len(self.index))) for w in words_of(text)]
             for i in range(max(1, len(words) - window + 1)) if words else ():
-                own = owners.setdefault(tuple(words[i : i + window]), set())
+                own = owners.setdefault("".join(words[i : i + window]), set())
                 if item is not None:
                     own.add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton()
         shared: dict[tuple, tuple] = {}
         for run, ids in owners.items():
             value = (len(run), tuple(sorted(ids)))
@@ -84,7 +86,7 @@ class Matcher:
         if not words or self.empty:
             return len(words), [], set()
         get = self.index.get
-        found = list(self.automaton.iter(tuple([get(w, 0) for w in words])))  # 0 is in no pattern
+        found = list(self.automaton.iter("".join([get(w, " ") for w in words])))  # a space is in no pattern
         return len(words), merged([(end + 1 - n, end + 1) for end, (n, _) in found]), {i for _, (_, ids) in found for i in ids}
 
 
