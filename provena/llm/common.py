@@ -27,8 +27,6 @@ from pyspark.sql import types as T
 WS_CLASS = r"[\x20\x09-\x0D]"
 #: The characters of that class, for translate().
 WS_CHARS = " \t\n\x0b\x0c\r"
-#: Deletes them from a str with str.translate.
-_LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -136,8 +134,8 @@ def bound_batches(spark: SparkSession, records: int = 1024, size: str = "4m") ->
 
 
 def lower_az(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_LOWER_AZ)
+    """Lower-case A-Z only: bytes.lower() leaves the bytes of other characters alone."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def trim() -> None:

@@ -42,8 +42,11 @@ MAX_PATTERN_CHARS = 1 << 20
 #: Windows of one piece of an item, where a benchmark is dealt into groups.
 PIECE_WINDOWS = 2048
 BLOCK_CHARS = 16 << 20
-#: Words are numbered by the characters from this one on, a million of them: more than MAX_PATTERN_CHARS hold words.
-FIRST_NUMBER = 0x10000
+#: Characters of a word's number: three digits, each from characters of its own, so that a match starts with a word.
+#: A node of the automaton has at most a few hundred children that way, which it searches one by one.
+DIGITS = 3
+_LOW, _MIDDLE, _HIGH, _BASE = 0x100, 0x180, 0x200, 128
+_UNKNOWN = " " * DIGITS
 
 Item = tuple[str | None, str | None]
 Hits = tuple[int, list[tuple[int, int]], set[str]]
@@ -56,8 +59,14 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(lower_az(text)) if text else []
 
 
+def numeral(n: int) -> str:
+    """DIGITS characters for a word's number."""
+    high, rest = divmod(n, _BASE * _BASE)
+    return chr(_HIGH + high) + chr(_MIDDLE + rest // _BASE) + chr(_LOW + rest % _BASE)
+
+
 class Matcher:
-    """The numbers of the items' words, each as one character, and the automaton over runs of them."""
+    """The numbers of the items' words, DIGITS characters each, and the automaton over runs of them."""
 
     def __init__(self, items: list[Item], window: int):
         import ahocorasick
@@ -66,7 +75,7 @@ class Matcher:
         owners: dict[str, set[str]] = {}
         get = self.index.setdefault
         for item, text in items:
-            words = [get(w, chr(FIRST_NUMBER + len(self.index))) for w in words_of(text)]
+            words = [get(w, numeral(len(self.index))) for w in words_of(text)]
             for i in range(max(1, len(words) - window + 1)) if words else ():
                 own = owners.setdefault("".join(words[i : i + window]), set())
                 if item is not None:
@@ -74,7 +83,7 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         shared: dict[tuple, tuple] = {}
         for run, ids in owners.items():
-            value = (len(run), tuple(sorted(ids)))
+            value = (len(run) // DIGITS, tuple(sorted(ids)))
             self.automaton.add_word(run, shared.setdefault(value, value))
         if owners:
             self.automaton.make_automaton()
@@ -86,8 +95,8 @@ class Matcher:
         if not words or self.empty:
             return len(words), [], set()
         get = self.index.get
-        found = list(self.automaton.iter("".join([get(w, " ") for w in words])))  # a space is in no pattern
-        return len(words), merged([(end + 1 - n, end + 1) for end, (n, _) in found]), {i for _, (_, ids) in found for i in ids}
+        found = [(end // DIGITS + 1, n, ids) for end, (n, ids) in self.automaton.iter("".join([get(w, _UNKNOWN) for w in words]))]  # a space is in no pattern
+        return len(words), merged([(end - n, end) for end, n, _ in found]), {i for _, _, ids in found for i in ids}
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
