@@ -119,6 +119,11 @@ def _pairs(found: DataFrame, *orders: Column) -> DataFrame:
     )
 
 
+def _shared_ids(hashed: DataFrame) -> DataFrame:
+    """Ids of several records, as a table."""
+    return cut(hashed.groupBy("id").count().where("count > 1").select("id"), "shared-ids")
+
+
 def candidate_pairs(hashed: DataFrame, threshold: int = 10, tolerance: float = 0.015, variants: DataFrame | None = None) -> DataFrame:
     """Pairs whose both hashes and aspect ratios are close.
 
@@ -135,20 +140,61 @@ def candidate_pairs(hashed: DataFrame, threshold: int = 10, tolerance: float = 0
         queries = queries.unionByName(turned)
     queries = queries.withColumn("bucket", bucket_of(F.col("aspect_ratio"), width)).join(first, "bucket").drop("bucket")
     found = hamming_join(queries, own, threshold, tolerance).where(F.col("p_distance") <= threshold)
+    if variants is None and threshold > MAX_BANDED_DISTANCE and _shared_ids(own).isEmpty():
+        # Both directions say the same, and either comes once: nothing to group.
+        return found.where("q_id < m_id").select(F.col("q_id").alias("a"), F.col("m_id").alias("b"), "d_distance", "p_distance", "aspect_delta")
     return _pairs(found, F.col("q_bucket_order"), F.col("q_order_key"), F.col("q_variant"), F.col("m_order_key"))
 
 
-def crop_pairs(hashed: DataFrame, threshold: int = 28) -> DataFrame:
+def _crop_hits(hashed: DataFrame, threshold: int, rows: int) -> DataFrame:
+    """Every unordered pair once, with both records' columns; a tile meets itself and the tiles after it."""
+    own = hashed.where("d_hi is not null").withColumn("_bucket", F.lit(0).cast("long"))
+    q, m, keys = tiled(own, own, ["_bucket"], rows=rows)
+    q, m = ((df.where("_i <= _j") if "_i" in df.columns else df) for df in (q, m))
+    q, m = _prefixed(q, "q_"), _prefixed(m, "m_")
+    d = hamming_halves(F.col("q_d_hi"), F.col("q_d_lo"), F.col("m_d_hi"), F.col("m_d_lo"))
+    on = (F.col("q_sha256") != F.col("m_sha256")) & (d <= threshold)
+    for k in keys:
+        on = on & (F.col(f"q_{k}") == F.col(f"m_{k}"))
+    # Two records of one tile meet twice, those of two tiles once.
+    once = F.col("q_id") < F.col("m_id")
+    on = on & ((once | ((F.col("q__i") < F.col("m__j")) & (F.col("q_id") != F.col("m_id")))) if "_i" in keys else once)
+    return q.join(m, on).withColumn("d_distance", d)
+
+
+def _crop_rows(found: DataFrame) -> DataFrame:
+    return found.select(F.least("q_id", "m_id").alias("a"), F.greatest("q_id", "m_id").alias("b"), "d_distance")
+
+
+def crop_pairs(hashed: DataFrame, threshold: int = 28, rows: int = TILE) -> DataFrame:
     """Pairs for crop detection: difference hashes alone, any aspect ratio; quadratic by its nature, so done tile by tile."""
-    own = hashed.where("d_hi is not null")
-    found = hamming_join(own, own, threshold, None).where("q_id < m_id")
-    return found.select(F.col("q_id").alias("a"), F.col("m_id").alias("b"), "d_distance")
+    return _crop_rows(_crop_hits(hashed, threshold, rows))
 
 
 def extra_crop_pairs(crops: DataFrame, compared: DataFrame) -> DataFrame:
     return crops.join(compared.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def crop_pairs_beyond(hashed: DataFrame, threshold: int, near: int, tolerance: float, rows: int = TILE) -> DataFrame:
+    """``crop_pairs`` without the ``candidate_pairs(hashed, near, tolerance)``.
+
+    Whether a pair is a candidate is seen from its own two records where the
+    pair is made, so that the pairs, which grow with the square of the table,
+    are never shuffled.  Only pairs of ids that several records share are
+    looked up among the candidates, since another of those records may be near.
+    """
+    shared = _shared_ids(hashed)
+    p = hamming_halves(F.col("q_p_hi"), F.col("q_p_lo"), F.col("m_p_hi"), F.col("m_p_lo"))
+    candidate = (F.col("d_distance") <= near) & (p <= near) & (F.abs(F.col("q_aspect_ratio") - F.col("m_aspect_ratio")) <= tolerance)
+    beyond = ~F.coalesce(candidate, F.lit(False))
+    if shared.isEmpty():
+        return _crop_rows(_crop_hits(hashed, threshold, rows).where(beyond))
+    marked = hashed.join(shared.withColumn("_shared", F.lit(True)), "id", "left").withColumn("_shared", F.coalesce("_shared", F.lit(False)))
+    found = _crop_hits(marked, threshold, rows).where(beyond)
+    asked = F.col("q__shared") | F.col("m__shared")
+    return _crop_rows(found.where(~asked)).unionByName(extra_crop_pairs(_crop_rows(found.where(asked)), candidate_pairs(hashed, near, tolerance)))
+
+
 class BKTree:
     """Metric index for small in-memory sets: search by distance, equal items share a node."""
 

@@ -152,7 +152,7 @@ def crop_candidate_pairs_t28(spark, d):
 
 @query
 def crop_extra_pairs_anti(spark, d):
-    return hamming.extra_crop_pairs(crop_candidate_pairs_t28(spark, d), _pairs(spark, d))
+    return hamming.crop_pairs_beyond(adapters.hashed(spark, d), CROP_DISTANCE, PAIR_DISTANCE, TOLERANCE)
 
 
 # --- Confirmation and groups ----------------------------------------------------------
@@ -494,7 +494,7 @@ def crop_decisions(spark, d):
 @query
 def comparisons_with_placeholders(spark, d):
     found = _edges(spark, d).select("a", "b", "relationship", "confidence")
-    extra = hamming.extra_crop_pairs(hamming.crop_pairs(adapters.hashed(spark, d), CROP_DISTANCE), found)
+    extra = hamming.crop_pairs_beyond(adapters.hashed(spark, d), CROP_DISTANCE, PAIR_DISTANCE, TOLERANCE)
     return rounded(compare.with_placeholders(found, extra), "confidence")
 
 

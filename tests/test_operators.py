@@ -91,6 +91,24 @@ def test_crop_pairs_ignore_ratio_and_skip_compared(spark):
     assert {(r["a"], r["b"]) for r in hamming.extra_crop_pairs(crops, done).collect()} == {("b", "d")}
 
 
+def test_crop_pairs_beyond_the_candidates_are_not_shuffled(spark):
+    """As the anti-join has it, in one tile and in many, without a join on the pairs; ids that two records share are looked up."""
+    rng = random.Random(5)
+    rows = [(f"r{i:03d}", rng.getrandbits(16), rng.getrandbits(16), 1.0 + i % 4 * 0.01, f"s{i // 2}") for i in range(120)]
+    rows += [("odd", 5, 0, float("nan"), "t1"), ("far", 5, 0, 9.0, "t2")]
+    for table in (rows, [*rows, ("r003", 2**64 - 1, 0, 7.0, "u"), ("r007", rows[9][1], rows[9][2], 1.01, "v")]):
+        own = hashed(spark, table)
+        crops = hamming.crop_pairs(own, 9)
+        want = sorted(map(tuple, hamming.extra_crop_pairs(crops, hamming.candidate_pairs(own, 7, 0.015)).collect()))
+        assert 100 < len(want) < crops.count()
+        for tile in (hamming.TILE, 10):
+            assert sorted(map(tuple, hamming.crop_pairs(own, 9, tile).collect())) == sorted(map(tuple, crops.collect()))
+            got = hamming.crop_pairs_beyond(own, 9, 7, 0.015, tile)
+            assert sorted(map(tuple, got.collect())) == want
+            if table is rows:
+                assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # --- Exact duplicates --------------------------------------------------------------------
 
 
