@@ -1,12 +1,14 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 Each text becomes a vector of counts and ratios, every entry of which is spread
-over the quantile bins of the training rows.  Weights are learned from
-preference pairs (a row labelled 1 is preferred to a row labelled 0) by the
-logistic loss on the difference of the two vectors; there are as many pairs as
-MAX_PAIRS, drawn with replacement, or all of them where there are fewer.  The cut is a quantile of
-the training scores, the share of rows labelled 0; a score is moved so that
-this cut lands on THRESHOLD.
+over the quantile bins of the training rows: all labelled rows outside the
+held-out fold.  Weights are learned from all preference pairs (a row labelled 1
+is preferred to a row labelled 0) by the logistic loss on the difference of the
+two vectors.  A pair's loss depends on two scores alone, so a pass counts the
+scores of either class on a grid of CELLS cells (between two cells by share) and
+the pairs are those of the cells.  The cut is a quantile of the training scores,
+the share of rows labelled 0; a score is moved so that this cut lands on
+THRESHOLD.
 
 Edge cases: null and empty texts have a vector of their own and a score; with
 labels of one class only (or none) every score is the share of ones (0.5
@@ -19,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -28,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .labelled import MAX_TRAIN, adam, sigmoid, training_rows
+from .labelled import SCALE, Rows, minimise, order_statistics, quantiles, sigmoid, training_rows, whole
 
 THRESHOLD = 0.3
 BINS = 10
 N_FEATURES = 27
-MAX_PAIRS = 200_000
-SEED = 7
+CELLS = 4096
+SHRINK = 1e-5
 #: Two or more signs at the end of a token; a run of signs is read once, whatever follows it.
 _EDGE = re.compile(r"(?<![^\w\s])[^\w\s]{2,}+(?=\s|$)")
 
@@ -92,52 +94,81 @@ class Model:
         return sigmoid(self.scale * (self.raw(x) - self.cut) + math.log(THRESHOLD / (1 - THRESHOLD)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS) -> Model:
-    edges = np.quantile(x, np.arange(1, BINS) / BINS, axis=0).T if len(x) else np.zeros((N_FEATURES, BINS - 1))
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    model = Model(edges, np.zeros(edges.shape[0] * BINS), 0.0, 1.0)
-    if not len(good) or not len(bad):
-        model.base = float(y.mean()) if len(y) else 0.5
+def _least(rows: Rows, values: Callable[..., np.ndarray], above: float) -> float | None:
+    """The least value over ``above``; each of eight passes fixes eight bits of its rank's prefix."""
+    n, over = rows.sums(lambda *block: np.array([len(v := values(*block)), (v > above).sum()]), 2)
+    return float(order_statistics(rows, lambda *block: [values(*block)], [np.array([n - over])])[0][0]) if over else None
+
+
+def learn(rows: Rows) -> Model:
+    """The model of all rows, whose blocks are (y, vectors)."""
+    bad, good = map(int, rows.sums(lambda y, x: np.bincount(y, minlength=2), 2))
+    n = good + bad
+    shares = np.arange(1, BINS) / BINS
+    edges = np.array(quantiles(rows, lambda y, x: list(x.T), [n] * N_FEATURES, [shares] * N_FEATURES)) if n else np.zeros((N_FEATURES, BINS - 1))
+    size = N_FEATURES * BINS
+    model = Model(edges, np.zeros(size), 0.0, 1.0)
+    if not good or not bad:
+        model.base = good / n if n else 0.5
         return model
-    pairs = len(good) * len(bad)
-    if pairs <= max_pairs:
-        a, b = np.repeat(good, len(bad)), np.tile(bad, len(good))
-    else:
-        rng, pairs = np.random.default_rng(SEED), max_pairs
-        a, b = rng.choice(good, pairs), rng.choice(bad, pairs)
-    d = model.design(x)
-    size = len(model.weights)
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        s = w[d].sum(axis=1)
-        p = -sigmoid(s[b] - s[a]) / pairs  # of the loss by the difference of scores
-        own = np.bincount(a, p, len(x)) - np.bincount(b, p, len(x))
-        return np.bincount(d.ravel(), np.repeat(own, d.shape[1]), size) + 1e-5 * w
-
-    model.weights = adam(gradient, model.weights)
-    s = model.raw(x)
-    low, high = np.quantile(s[bad], 0.5), np.quantile(s[good], 0.5)
-    cut = float(np.quantile(s, len(bad) / len(s)))
+    design = model.design
+
+    def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
+        by = w.reshape(N_FEATURES, BINS)
+        low, high = by.min(axis=1).sum() - 1e-6, by.max(axis=1).sum() + 1e-6
+        step = (high - low) / (CELLS - 1)
+
+        def spots(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            d = design(x)
+            at = (w[d].sum(axis=1) - low) / step
+            cell = np.clip(at.astype(np.int64), 0, CELLS - 2)
+            return d, cell, at - cell
+
+        def counts(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+            _, cell, share = spots(x)
+            share, own = whole(share), y * CELLS + cell
+            return (np.bincount(own, SCALE - share, 2 * CELLS) + np.bincount(own + 1, share, 2 * CELLS)).astype(np.int64)
+
+        zeros, ones = rows.sums(counts, 2 * CELLS).reshape(2, CELLS) / SCALE
+        zeros, ones = zeros / bad, ones / good
+        gap = np.arange(1 - CELLS, CELLS) * step  # of a row labelled 0 over a row labelled 1
+        # Means over the other class, at every cell: of the loss, and of its slope by the difference.
+        loss = ones @ np.convolve(zeros, np.logaddexp(0, gap)[::-1], "valid")
+        slope = np.stack([np.convolve(ones, sigmoid(gap), "valid"), -np.convolve(zeros, sigmoid(gap)[::-1], "valid")])
+
+        def gradient(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+            d, cell, share = spots(x)
+            pull = whole(slope[y, cell] * (1 - share) + slope[y, cell + 1] * share)
+            return np.bincount((d + y[:, None] * size).ravel(), np.repeat(pull, N_FEATURES), 2 * size).astype(np.int64)
+
+        g0, g1 = rows.sums(gradient, 2 * size).reshape(2, size) / SCALE
+        return float(loss + SHRINK / 2 * (w @ w)), g0 / bad + g1 / good + SHRINK * w
+
+    model.weights = minimise(evaluate, model.weights)
+    raw = lambda y, x: model.raw(x)
+    half = np.array([0.5])
+    (cut,), (low,), (high,) = quantiles(rows, lambda y, x: [s := raw(y, x), s[y == 0], s[y == 1]], [n, bad, good], [np.array([bad / n]), half, half])
     # The cut is that quantile, moved to the middle of the gap above it, if there is one.
-    above = s[s > cut]
-    model.cut = (cut + float(above.min())) / 2 if len(above) else cut
+    above = _least(rows, raw, cut)
+    model.cut = float(cut if above is None else (cut + above) / 2)
     model.scale = 6.0 / max(1e-9, high - low)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, remainder: int = 0, key: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN, max_pairs: int = MAX_PAIRS) -> Model:
-    """Learns from at most ``max_train`` labelled rows outside the held-out fold and ``max_pairs`` preference pairs of them."""
-    rows = training_rows(docs, labels, label, modulus, remainder, key, text, max_train)
+def fit(x: np.ndarray, y: np.ndarray) -> Model:
+    """``learn`` from vectors that are at hand."""
+    return learn(Rows(None, [(np.asarray(y, np.int64), np.asarray(x, float))]))
+
+
+def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The block of a batch (text, y)."""
+    x = np.array([features(t) for t in batch.column(0).to_pylist()], float).reshape(-1, N_FEATURES)
+    return batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    found = map_arrow(rows.select("text", F.col("id").cast("string").alias("id"), "y"), run, "id string, y int, x array<double>").toPandas()
-    found = found.sort_values(["id"], kind="stable")  # max_train rows at most
-    x = np.array(found["x"].tolist(), float).reshape(len(found), N_FEATURES)
-    return fit(x, found["y"].to_numpy(), max_pairs)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, remainder: int = 0, key: str = "doc_id", text: str = "text", local_rows: int | None = None) -> Model:
+    """Learns from every labelled row outside the held-out fold and all preference pairs of them."""
+    return learn(Rows.of(training_rows(docs, labels, label, modulus, remainder, key, text), vectors, "quality", local_rows))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mapped_column
-from .labelled import MAX_TRAIN, adam, sigmoid, training_rows
+from .common import map_arrow, mapped_column, materialise
+from .labelled import SCALE, Rows, minimise, sigmoid, training_rows, whole
 
 THRESHOLD = 0.3
 MAX_FEATURES = 4096
 MIN_ROWS = 3
 MIN_EVIDENCE = 20.0
 CACHE = 150_000
+SHRINK = 1e-5
 
 # The letters of the character model ("#" ends a word, "?" is any other letter).
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ"
@@ -229,8 +230,9 @@ class Finder:
         return at, [math.log1p(scale * out[i]) for i in at]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, key: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> Model:
-    rows = training_rows(docs, labels, label, modulus, remainder, key, text, max_train)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, key: str = "doc_id", text: str = "text", local_rows: int | None = None) -> Model:
+    """Learns from every labelled row outside the held-out fold."""
+    rows = materialise(training_rows(docs, labels, label, modulus, remainder, key, text), "training")
     spark = docs.sparkSession
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,25 +277,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         return model
     own = spark.sparkContext.broadcast(index)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(shared.value, own.value)
-        for batch in batches:
-            x = [find(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([a for a, _ in x], pa.list_(pa.int32())), pa.array([v for _, v in x], pa.list_(pa.float64()))], ["id", "y", "x", "v"])
-
-    found = map_arrow(rows.select("text", F.col("id").cast("string").alias("id"), "y"), vectors, "id string, y int, x array<int>, v array<double>").toPandas().sort_values("id", kind="stable")
-    y = found["y"].to_numpy(float)
-    sizes = np.fromiter(map(len, found["x"]), np.int64, len(found))
-    col = np.concatenate([np.asarray(v, np.int64) for v in found["x"]]) if len(found) else np.zeros(0, np.int64)
-    value = np.concatenate([np.asarray(v, float) for v in found["v"]]) if len(found) else np.zeros(0)
-    row = np.repeat(np.arange(len(found)), sizes)
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        s = np.bincount(row, w[:-1][col] * value, len(y)) + w[-1]
-        r = (sigmoid(s) - y) / len(y)
-        return np.append(np.bincount(col, r[row] * value, len(index)) + 1e-5 * w[:-1], r.sum())
-
-    w = adam(gradient, np.append(np.zeros(len(index)), bias), steps=500, rate=0.1)
+    held: dict[str, Finder] = {}
+
+    def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        find = held.setdefault("find", Finder(shared.value, own.value))
+        x = [find(t) for t in batch.column(0).to_pylist()]
+        row = np.repeat(np.arange(len(x)), [len(a) for a, _ in x])
+        y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
+        return y, row.astype(np.int32), np.array([i for a, _ in x for i in a], np.int32), np.array([u for _, v in x for u in v], float)
+
+    found = Rows.of(rows.select("text", "y"), vectors, "toxicity", local_rows)
+    size = len(index)
+
+    def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(y: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray) -> np.ndarray:
+            s = np.bincount(row, w[col] * value, len(y)) + w[-1]
+            r = sigmoid(s) - y
+            lost = whole(np.logaddexp(0, s) - s * y).sum()
+            return np.concatenate([np.bincount(col, whole(r[row] * value), size), [whole(r).sum(), lost]]).astype(np.int64)
+
+        out = found.sums(run, size + 2) / SCALE / (one + zero)
+        g = out[:-1]
+        g[:-1] += SHRINK * w[:-1]
+        return float(out[-1] + SHRINK / 2 * (w[:-1] @ w[:-1])), g
+
+    w = minimise(evaluate, np.append(np.zeros(size), bias))
     model.weights, model.bias = w[:-1], float(w[-1])
     return model
 

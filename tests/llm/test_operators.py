@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -621,6 +622,51 @@ def test_classifiers_held_out(spark, empty):
     assert quality.score(empty, quality.train(docs, truth)).count() == 0
 
 
+def test_classifiers_learn_from_every_labelled_row(spark):
+    from provena.llm.labelled import held_out, training_rows
+
+    docs = spark.range(25_600).selectExpr("id doc_id", "if(id % 100 = 7, null, concat('w', id % 50)) text")
+    truth = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    got = training_rows(docs, truth, "quality", 5, 0)
+    n = docs.where(~held_out("doc_id", 5, 0)).count()
+    assert got.count() == n > 20_000 and got.where("y is null or text is null").count() == 0
+
+
+def test_classifiers_are_the_same_wherever_sums_are_made(spark):
+    from provena.llm import quality, toxicity
+
+    rows, labels = labelled(6, 120)
+    truth = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    for kind, parts in ((quality, ("edges", "weights", "cut", "scale")), (toxicity, ("index", "weights", "bias"))):
+        here, there = kind.train(frame(spark, rows), truth), kind.train(frame(spark, rows[::-1]).repartition(3), truth, local_rows=0)
+        assert all(np.array_equal(getattr(here, a), getattr(there, a)) for a in parts)
+
+
+def test_quantiles_and_all_pairs_of_the_quality_model():
+    from provena.llm import labelled as l
+    from provena.llm import quality
+
+    rng = np.random.default_rng(2)
+    a, b = np.round(rng.normal(size=301), 1), np.array([0.0, -0.0, 5e300, -1e-300, 7.0])
+    rows = l.Rows(None, [(a[:40], b[:2]), (a[40:], b[2:])])
+    shares = np.array([0.0, 0.1, 0.5, 0.77, 1.0])
+    for got, x in zip(l.quantiles(rows, lambda *block: list(block), [301, 5], [shares, shares]), (a, b), strict=True):
+        assert np.allclose(got, np.quantile(x, shares), rtol=1e-12, atol=0)
+    # No other weights do better on the loss over all pairs, here 2.1 million of them.
+    x = rng.normal(size=(3000, quality.N_FEATURES))
+    y = (x[:, 0] + 2 * rng.normal(size=3000) > -1).astype(int)
+    model = quality.fit(x, y)
+    d = model.design(x)
+
+    def loss(w):
+        s = w[d].sum(axis=1)
+        return np.logaddexp(0, s[y == 0][None] - s[y == 1][:, None]).mean() + quality.SHRINK / 2 * (w @ w)
+
+    best = loss(model.weights)
+    assert all(loss(model.weights + step) > best - 1e-6 for step in 0.02 * rng.normal(size=(8, len(model.weights))))
+    assert min(loss(model.weights * k) for k in (0.97, 1.03)) > best - 1e-6
+
+
 def test_classifiers_without_two_classes(spark):
     from provena.llm import quality, toxicity
 
