@@ -160,15 +160,29 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return learn(Rows(None, [(np.asarray(y, np.int64), np.asarray(x, float))]))
 
 
+def matrix(texts: list[str | None]) -> np.ndarray:
+    return np.array([features(t) for t in texts], float).reshape(-1, N_FEATURES)
+
+
+def with_vectors(rows: DataFrame) -> DataFrame:
+    """(id, text) with the bytes of its vector in place of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in matrix(batch.column(1).to_pylist())], pa.binary())], ["id", "text"])
+
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text binary")
+
+
 def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The block of a batch (text, y)."""
-    x = np.array([features(t) for t in batch.column(0).to_pylist()], float).reshape(-1, N_FEATURES)
+    """The block of a batch (bytes of a vector, y)."""
+    x = np.frombuffer(b"".join(batch.column(0).to_pylist()), float).reshape(-1, N_FEATURES)
     return batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), x
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, remainder: int = 0, key: str = "doc_id", text: str = "text", local_rows: int | None = None) -> Model:
-    """Learns from every labelled row outside the held-out fold and all preference pairs of them."""
-    return learn(Rows.of(training_rows(docs, labels, label, modulus, remainder, key, text), vectors, "quality", local_rows))
+    """Learns from every labelled row outside the held-out fold and all preference pairs of them; vectors cross the shuffle, no texts."""
+    return learn(Rows.of(training_rows(docs, labels, label, modulus, remainder, key, text, with_vectors), vectors, "quality", local_rows))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,7 +192,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["_key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(matrix(batch.column(1).to_pylist())))], ["_key", "score"])
 
     return map_arrow(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), run, f"_key {kind}, score double").withColumnRenamed("_key", key)

@@ -632,6 +632,64 @@ def test_classifiers_learn_from_every_labelled_row(spark):
     assert got.count() == n > 20_000 and got.where("y is null or text is null").count() == 0
 
 
+def shuffled(spark, run):
+    """Bytes that ``run`` writes to shuffles, with no table small enough to be broadcast unasked."""
+    context, key = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def total():
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before, start = spark.conf.get(key), total()
+    spark.conf.set(key, "-1")
+    try:
+        run()
+    finally:
+        spark.conf.set(key, before)
+    return total() - start
+
+
+def test_training_shuffles_vectors_and_labelled_rows_only(spark):
+    from pyspark.sql import functions as F
+
+    from provena.llm import quality
+    from provena.llm.labelled import training_rows
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000))) for i in range(200)], "doc_id bigint, text string")
+    size = 200 * 16_000
+    truth = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    assert shuffled(spark, lambda: quality.train(docs, truth)) < 0.1 * size
+    few = truth.where("doc_id < 20")
+    texts = lambda: training_rows(docs, few, "toxic", 4, 2).agg(F.sum(F.length("text"))).collect()
+    assert shuffled(spark, texts) < 0.2 * size
+
+
+def test_training_rows_are_found_by_any_key(spark):
+    from provena.llm import labelled as l
+
+    for kind in ("smallint", "int", "bigint", "string", "double"):
+        docs = spark.range(6000).selectExpr(f"cast(id as {kind}) doc_id", "concat('w', id) text").union(spark.createDataFrame([(None, "x")], "a string, b string"))
+        for other in (kind, "bigint"):
+            truth = spark.range(0, 6000, 5).selectExpr(f"cast(id as {other}) doc_id", "cast(id % 2 as int) quality")
+            truth = truth.union(truth.limit(50)).union(spark.createDataFrame([(None, 1), (None, None)], "a string, b int"))
+            out = truth.where(~l.held_out("doc_id", 5, 0)).where("doc_id is not null").selectExpr("cast(doc_id as bigint) id").distinct()
+            out = {r[0] for r in docs.where(~l.held_out("doc_id", 5, 0)).selectExpr("cast(doc_id as bigint) id").join(out, "id").collect()}
+            got = [(int(r["text"][1:]), r["y"]) for r in l.training_rows(docs, truth, "quality", 5, 0).collect()]
+            assert len(got) == len(set(got)) == len(out) > 500 and dict(got) == {i: i % 2 for i in out}
+
+
+def test_a_full_bitmap_loses_no_key(spark, monkeypatch):
+    from provena.llm import labelled as l
+
+    rows, keys = spark.range(20_000), spark.range(0, 20_000, 4)
+    assert 5000 <= l.likely(rows, keys).count() < 7000 and l.likely(rows, keys).join(keys, "id").count() == 5000
+    monkeypatch.setattr(l, "MARK_WORDS", 3)
+    assert l.likely(rows, keys).join(keys, "id").count() == 5000
+    assert l.likely(rows, keys.where("id < 0")).count() == 0
+
+
 def test_classifiers_are_the_same_wherever_sums_are_made(spark):
     from provena.llm import quality, toxicity
 
