@@ -57,6 +57,13 @@ def materialise(df: DataFrame, tag: str, *partition_cols: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the folder of a table that ``materialise`` has made and nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed(df: DataFrame, key: str, compression: str = "zstd", path: str | None = None) -> str:
     """Name of a table in the shared folder bucketed by ``key``: joins on the key leave its rows where they are."""
     spark = df.sparkSession
@@ -119,6 +126,26 @@ def without(df: DataFrame, dropped: DataFrame, key: str, text: str) -> DataFrame
     return clear.unionByName(maybe.join(gone, [key, mark], "left_anti").select(*df.columns))
 
 
+#: At most 2**MARK_WORDS words of 64 bits mark the keys of ``likely``.
+MARK_WORDS = 20
+
+
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be among those of ``keys``: all that are, and a few others, for an exact join behind it.
+
+    A bitmap of the keys' hashes is broadcast as words of 64 bits, eight bits
+    or more a key up to 2**MARK_WORDS words; beyond that more other rows pass.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    if kind != keys.schema[key].dataType.simpleString() or kind not in ("smallint", "int", "bigint", "string"):
+        return rows  # equal keys may have different hashes
+    words = 1 << min(MARK_WORDS, max(10, (keys.count() // 8).bit_length()))
+    spot, bit = F.pmod(F.xxhash64(key), F.lit(words)), F.pmod(F.shiftright(F.xxhash64(key), 32), F.lit(64)).cast("int")
+    marks = keys.select(spot.alias("_spot"), bit.alias("_bit")).groupBy("_spot").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    marked = rows.withColumn("_spot", spot).withColumn("_bit", bit).join(F.broadcast(marks), "_spot")
+    return marked.where("shiftright(_bits, _bit) & 1 = 1").select(*rows.columns)
+
+
 def bound_batches(spark: SparkSession, records: int = 1024, size: str = "4m") -> None:
     """Keep Arrow batches small enough for long texts; explicit user settings win."""
     for key, default, value in (

@@ -17,12 +17,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, pack, unpack
+from .common import discard, likely, map_arrow, materialise, pack, unpack
 
 #: Up to so many rows are summed on the driver, more by tasks; the sums are the same.
 LOCAL_ROWS = 10_000
-#: At most 2**MARK_WORDS words of 64 bits mark the labelled keys.
-MARK_WORDS = 20
 SCALE_BITS = 30
 SCALE = 1 << SCALE_BITS
 
@@ -32,22 +30,6 @@ def held_out(key: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``rows`` whose ``id`` may be among ``keys`` (id): all that are, and a few others.
-
-    A bitmap of the keys' hashes is broadcast as words of 64 bits, eight bits
-    or more a key up to 2**MARK_WORDS words; beyond that more other rows pass.
-    """
-    kind = rows.schema["id"].dataType.simpleString()
-    if kind != keys.schema["id"].dataType.simpleString() or kind not in ("smallint", "int", "bigint", "string"):
-        return rows  # equal keys may have different hashes
-    words = 1 << min(MARK_WORDS, max(10, (keys.count() // 8).bit_length()))
-    spot, bit = F.pmod(F.xxhash64("id"), F.lit(words)), F.pmod(F.shiftright(F.xxhash64("id"), 32), F.lit(64)).cast("int")
-    marks = keys.select(spot.alias("_spot"), bit.alias("_bit")).groupBy("_spot").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
-    marked = rows.withColumn("_spot", spot).withColumn("_bit", bit).join(F.broadcast(marks), "_spot")
-    return marked.where("shiftright(_bits, _bit) & 1 = 1").select(*rows.columns)
-
-
 def training_rows(
     docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, key: str = "doc_id", text: str = "text", made: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
@@ -59,7 +41,7 @@ def training_rows(
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key, modulus, remainder)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"))
     rows = docs.where(F.col(key).isNotNull() & ~held_out(key, modulus, remainder)).select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = likely(rows, known.select("id"))
+    rows = likely(rows, known, "id")
     chosen = known.groupBy("id").agg(F.max("y").alias("y"))
     return (made(rows) if made else rows).join(chosen.hint("shuffle_hash"), "id").select("text", "y")
 
@@ -84,7 +66,14 @@ class Rows:
         n = table.agg(F.sum("n").alias("n")).first()["n"] or 0
         if n > (LOCAL_ROWS if local_rows is None else local_rows):
             return cls(table.select("block"), None)
-        return cls(None, [cls.block(r["block"]) for r in table.select("block").collect()])
+        blocks = [cls.block(r["block"]) for r in table.select("block").collect()]
+        discard(table)
+        return cls(None, blocks)
+
+    def drop(self) -> None:
+        """Deletes the table, once nothing is to be summed any more."""
+        if self.table is not None:
+            discard(self.table)
 
     @staticmethod
     def block(data: bytes) -> tuple:

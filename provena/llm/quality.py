@@ -182,7 +182,10 @@ def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, remainder: int = 0, key: str = "doc_id", text: str = "text", local_rows: int | None = None) -> Model:
     """Learns from every labelled row outside the held-out fold and all preference pairs of them; vectors cross the shuffle, no texts."""
-    return learn(Rows.of(training_rows(docs, labels, label, modulus, remainder, key, text, with_vectors), vectors, "quality", local_rows))
+    rows = Rows.of(training_rows(docs, labels, label, modulus, remainder, key, text, with_vectors), vectors, "quality", local_rows)
+    model = learn(rows)
+    rows.drop()
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,14 +19,16 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mapped_column, materialise
+from .common import discard, map_arrow, mapped_column, materialise
 from .labelled import SCALE, Rows, minimise, sigmoid, training_rows, whole
+from .words import chunks
 
 THRESHOLD = 0.3
 MAX_FEATURES = 4096
@@ -50,6 +52,8 @@ _SOUP = re.compile(rf"(?:[^\W\d_]|[{_SIGN}])+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile("1{4,}")
 WORD = re.compile(r"[^\W\d_]+")
+#: Signs that stand for no letter: around a token's letters they change nothing.
+_MARKS = ".,;:?\"'`)-[]{}>/=&~^"
 _SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
 N_SYMBOLS = len(LETTERS) + 2
 OTHER = N_SYMBOLS - 1
@@ -84,6 +88,19 @@ def trigram_counts(words: Counter) -> np.ndarray:
     return out
 
 
+def text_trigrams(texts: list[str]) -> np.ndarray:
+    """``trigram_counts`` of the lower-cased words of all texts, without a loop over words."""
+    codes = np.frombuffer("\n".join([*map(str.lower, texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.flatnonzero(np.bincount(codes, minlength=1))
+    table = np.zeros(int(used.max(initial=0)) + 1, np.int32)
+    table[used] = [symbol(c) if WORD.match(c) else 0 for c in map(chr, used)]
+    # Every symbol with the two before it: 0 before a word's start, and once behind its end.
+    c = np.concatenate(([0, 0], table[codes]))
+    a, b, c = c[:-2], c[1:-1], c[2:]
+    at = ((np.where(b == 0, 0, a) * N_SYMBOLS + b) * N_SYMBOLS + c)[(b != 0) | (c != 0)]
+    return np.bincount(at, minlength=N_SYMBOLS**3).reshape((N_SYMBOLS,) * 3)
+
+
 def _spell(text: tuple | None) -> str:
     out = []
     while text:
@@ -132,10 +149,10 @@ def decode(raw: str, model: CharModel) -> str:
 
 
 class Restorer:
-    """Restores texts; remembers decoded spans, up to CACHE of them."""
+    """Restores texts; remembers decoded spans and the words of tokens with other signs, up to CACHE of either."""
 
     def __init__(self, model: CharModel):
-        self.model, self.known = model, {}
+        self.model, self.known, self.split = model, {}, {}
 
     def span(self, raw: str) -> str:
         found = self.known.get(raw)
@@ -170,6 +187,20 @@ class Restorer:
         token = _SPACED.sub(lambda m: self.span(m[0]), token)
         return WORD.sub(self._repeats, _SOUP.sub(self._soup, token))
 
+    def words(self, token: str) -> tuple[str, ...]:
+        """The words of a restored token."""
+        core = token.strip(_MARKS)
+        if core.isalpha():
+            return tuple(WORD.findall(self.span(core))) if _TRIPLE.search(core) else (core,)
+        if core.isdecimal():
+            return ()
+        found = self.split.get(token)
+        if found is None:
+            if len(self.split) > CACHE:
+                self.split.clear()
+            found = self.split[token] = tuple(WORD.findall(self.token(token)))
+        return found
+
     def tokens(self, text: str) -> tuple[list[str], list[str]]:
         """The lower-cased tokens of a text, and what its runs of single characters spell."""
         words = text.lower().split()
@@ -190,7 +221,9 @@ class Restorer:
 
 def names(word: str) -> list[str]:
     """Features of a word: itself and its prefixes."""
-    return ["=" + word, *(word[:n] + "-" for n in (4, 5, 6, 7, 8) if len(word) >= n)]
+    if len(word) >= 8:
+        return ["=" + word, word[:4] + "-", word[:5] + "-", word[:6] + "-", word[:7] + "-", word[:8] + "-"]
+    return ["=" + word, *[word[:n] + "-" for n in range(4, len(word) + 1)]]
 
 
 class Model:
@@ -208,22 +241,32 @@ class Finder:
     """
 
     def __init__(self, chars: CharModel, index: dict[str, int]):
-        self.restore, self.index, self.known = Restorer(chars), index, {}
+        self.restore, self.index = Restorer(chars), index
+        # Words that were looked up, and the numbers of those that have any.
+        self.known: set[str] = set()
+        self.hits: dict[str, tuple[int, ...]] = {}
+        #: No other word has a feature in the index than one with such first letters.
+        self.starts = {f[1:5] if f[0] == "=" else f[:4] for f in index}
 
     def __call__(self, text: str | None) -> tuple[list[int], list[float]]:
         if not text:
             return [], []
-        known, out, index = self.known, Counter(), self.index
+        known, hits, out, index, starts = self.known, self.hits, Counter(), self.index, self.starts
         tokens, spelled = self.restore.tokens(text)
         words = Counter(tokens)
         words.update(w for run in spelled for w in run.split())
-        for w, n in words.items():
-            ids = known.get(w)
-            if ids is None:
-                if len(known) > CACHE:
-                    known.clear()
-                ids = known[w] = tuple({index[f] for x in WORD.findall(self.restore.token(w)) for f in names(x) if f in index})
-            for i in ids:
+        distinct = set(words)
+        if len(known) > CACHE:
+            known.clear()
+            hits.clear()
+        for w in distinct.difference(known):
+            ids = {index[f] for x in self.restore.words(w) if x[:4] in starts for f in names(x) if f in index}
+            if ids:
+                hits[w] = tuple(ids)
+        known |= distinct
+        for w in filter(hits.__contains__, distinct):
+            n = words[w]
+            for i in hits[w]:
                 out[i] += n
         scale = 200.0 / (words.total() + 20)
         at = sorted(out)
@@ -238,8 +281,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((N_SYMBOLS,) * 3, np.int64)
         for batch in batches:
-            words = Counter(w for t in batch.column(0).to_pylist() for w in WORD.findall(t.lower()))
-            total += trigram_counts(words)
+            texts = batch.column(0).to_pylist()
+            for i, j in chunks(texts):
+                total += text_trigrams(texts[i:j])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
 
@@ -255,10 +299,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
             ones, zeros = Counter(), Counter()
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens, spelled = restore.tokens(t)
-                seen = {x for w in set(tokens) for x in WORD.findall(restore.token(w))} | {w for run in spelled for w in run.split()}
-                (ones if y else zeros).update({f for w in seen for f in names(w)})
-            every = list(ones | zeros)
-            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array([ones[f] for f in every], pa.int64()), pa.array([zeros[f] for f in every], pa.int64())], ["f", "one", "zero"])
+                seen = set(chain.from_iterable(map(restore.words, set(tokens)))).union(*map(str.split, spelled))
+                (ones if y else zeros).update(set(chain.from_iterable(map(names, seen))))
+            every = list(ones.keys() | zeros.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c.get(f, 0) for f in every], pa.int64()) for c in (ones, zeros))], ["f", "one", "zero"])
 
     by = rows.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in by}
@@ -274,6 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     bias = math.log((one + 0.5) / (zero + 0.5)) if one + zero else math.log(0.1 / 0.9)
     model = Model(chars, index, np.zeros(len(index)), bias)
     if not one or not zero:
+        discard(rows)
         return model
     own = spark.sparkContext.broadcast(index)
 
@@ -287,6 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         return y, row.astype(np.int32), np.array([i for a, _ in x for i in a], np.int32), np.array([u for _, v in x for u in v], float)
 
     found = Rows.of(rows.select("text", "y"), vectors, "toxicity", local_rows)
+    discard(rows)
     size = len(index)
 
     def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -302,6 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         return float(out[-1] + SHRINK / 2 * (w[:-1] @ w[:-1])), g
 
     w = minimise(evaluate, np.append(np.zeros(size), bias))
+    found.drop()
     model.weights, model.bias = w[:-1], float(w[-1])
     return model
 

@@ -681,13 +681,29 @@ def test_training_rows_are_found_by_any_key(spark):
 
 
 def test_a_full_bitmap_loses_no_key(spark, monkeypatch):
-    from provena.llm import labelled as l
+    from provena.llm import common as c
 
     rows, keys = spark.range(20_000), spark.range(0, 20_000, 4)
-    assert 5000 <= l.likely(rows, keys).count() < 7000 and l.likely(rows, keys).join(keys, "id").count() == 5000
-    monkeypatch.setattr(l, "MARK_WORDS", 3)
-    assert l.likely(rows, keys).join(keys, "id").count() == 5000
-    assert l.likely(rows, keys.where("id < 0")).count() == 0
+    assert 5000 <= c.likely(rows, keys, "id").count() < 7000 and c.likely(rows, keys, "id").join(keys, "id").count() == 5000
+    monkeypatch.setattr(c, "MARK_WORDS", 3)
+    assert c.likely(rows, keys, "id").join(keys, "id").count() == 5000
+    assert c.likely(rows, keys.where("id < 0"), "id").count() == 0
+
+
+def test_training_leaves_no_tables(spark):
+    import pathlib
+
+    from provena.llm import quality, toxicity
+
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    rows, labels = labelled(8, 120)
+    truth = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    before = set(shared.glob("*")) if shared.exists() else set()
+    for kind in (quality, toxicity):
+        for few in (truth, truth.where("quality = 1 and toxic = 0")):
+            kind.train(frame(spark, rows), few)
+        kind.train(frame(spark, rows), truth, local_rows=0)
+    assert set(shared.glob("*")) <= before
 
 
 def test_classifiers_are_the_same_wherever_sums_are_made(spark):
@@ -736,6 +752,31 @@ def test_classifiers_without_two_classes(spark):
         assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
 
 
+def test_short_cuts_of_the_restorer_change_nothing():
+    from provena.llm import toxicity as t
+
+    rng = random.Random(5)
+    signs = "abcdeIİΣßœZ019@$!|+€£*# .-_~,/\n\t\x1c\x85é́²½ǅ中٣'()<%[{\ud800"
+    texts = ["".join(rng.choice(signs) if rng.random() < 0.7 else rng.choice("aab") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
+    texts += ["", "stuuupid, (idiot) 1-2-3-4 12, s t u p i d a.b.c.d... --a ½aa ²²² mooo-n"]
+    counts = t.trigram_counts(Counter(w for x in texts for w in t.WORD.findall(x.lower())))
+    assert (t.text_trigrams(texts) == counts).all() and not t.text_trigrams([]).any()
+    restore, plain = t.Restorer(t.CharModel(counts)), t.Restorer(t.CharModel(counts))
+    words = {w: t.WORD.findall(plain.token(w)) for x in texts for w in plain.tokens(x)[0]}
+    assert all(list(restore.words(w)) == found for w, found in words.items())
+    # A finder gives the same numbers as a look-up of every feature.
+    every = sorted({f for found in words.values() for x in found for f in t.names(x)})
+    index = {f: i for i, f in enumerate(rng.sample(every, 200))}
+    find = t.Finder(plain.model, index)
+    for x in texts:
+        tokens, spelled = plain.tokens(x)
+        seen = Counter(tokens) + Counter(w for run in spelled for w in run.split())
+        want = Counter()
+        for w, n in seen.items():
+            want.update({i: n for i in {index[f] for y in t.WORD.findall(plain.token(w)) for f in t.names(y) if f in index}})
+        assert find(x) == (sorted(want), [math.log1p(200.0 / (seen.total() + 20) * want[i]) for i in sorted(want)])
+
+
 def test_restoring():
     from provena.llm import toxicity as t
 
