@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import bucketed, map_arrow, materialise, row_mark
+from .common import bucketed, likely, map_arrow, materialise, row_mark
 from .words import U, chunks, doc_words, mix, segment_hash, window_hash
 
 SHINGLE = 3
@@ -352,7 +352,7 @@ def near_duplicates(
     reps = materialise(twins.where("row = id").select("id", "doc", "class", "n", "signature", "bands"), "representatives")
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = materialise(banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    members = materialise(banded.join(buckets, "bucket"), "members")
+    members = materialise(likely(banded, buckets, "bucket").join(buckets, "bucket"), "members")  # most buckets have one member only
     confirm = Confirmer(source, reps, members.select("id").distinct(), (seen.get.get("all") or 0) > (seen.get.get("own") or 0), k, lower, numerator, denominator, min_agree)
 
     # Every member with the first members of its buckets.
