@@ -64,12 +64,20 @@ def discard(table: DataFrame) -> None:
         folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` as ``bucketed`` deals its buckets, which are a file each then and not one for every task."""
+    return df.repartition(_buckets(df.sparkSession), key)
+
+
+def _buckets(spark: SparkSession) -> int:
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def bucketed(df: DataFrame, key: str, compression: str = "zstd", path: str | None = None) -> str:
     """Name of a table in the shared folder bucketed by ``key``: joins on the key leave its rows where they are."""
     spark = df.sparkSession
     name = f"provena_{uuid.uuid4().hex}"
-    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.format("parquet").option("compression", compression).option("path", path or fresh_dir(spark, "table")).bucketBy(buckets, key).saveAsTable(name)
+    df.write.format("parquet").option("compression", compression).option("path", path or fresh_dir(spark, "table")).bucketBy(_buckets(spark), key).saveAsTable(name)
     return name
 
 

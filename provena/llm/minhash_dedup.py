@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import bucketed, likely, map_arrow, materialise, row_mark
+from .common import bucketed, gathered, likely, map_arrow, materialise, row_mark
 from .words import U, chunks, doc_words, mix, segment_hash, window_hash
 
 SHINGLE = 3
@@ -187,28 +187,27 @@ class Confirmer:
     buckets of their keys, a fixed size; where it saturates, sets of further
     documents are made and never used.  The sets stay in a table bucketed by
     ``at``, 64 bits of key and class; a row that occurs several times (``twins``)
-    has its set there once.
+    has its set there once.  ``reps`` are the representatives in shared buckets,
+    in a table bucketed by ``id``.
     """
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, nodes: DataFrame, twins: bool, k: int, lower: bool, numerator: int, denominator: int, min_agree: int):
+    def __init__(self, docs: DataFrame, reps: DataFrame, twins: bool, k: int, lower: bool, numerator: int, denominator: int, min_agree: int):
         spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).alias("spot")
-        wanted = reps.select("id", "doc").join(nodes, "id", "left_semi").select(spot("doc")).distinct()
+        wanted = reps.select(spot("doc")).distinct()
         own = docs.where("doc is not null").withColumn("spot", spot("doc")).join(F.broadcast(wanted), "spot", "left_semi")
         kind = docs.schema["doc"].dataType.simpleString()
         made = map_arrow(own.select("doc", "text"), _sets(k, lower), f"doc {kind}, class binary, shingles binary").where("class is not null")
         made = made.select(F.xxhash64("doc", "class").alias("at"), "class", "shingles")
-        self.name = bucketed(made.dropDuplicates(["at", "class"]) if twins else made, "at", "none")
-        self.reps = reps.select("id", "n", "signature", F.xxhash64("doc", "class").alias("at"), "class")
+        self.name = bucketed(gathered(made.dropDuplicates(["at", "class"]) if twins else made, "at"), "at", "none")
+        self.reps = reps
         self.limit, self.min_agree = (numerator, denominator), min_agree
 
     def _side(self, side: str, *columns: str) -> DataFrame:
         short = {"id": side, "n": f"n_{side}", "signature": f"s_{side}", "at": f"at_{side}", "class": f"c_{side}"}
         return self.reps.select(*[F.col(c).alias(short[c]) for c in ("id", *columns)])
 
-    def __call__(self, pairs: DataFrame, tag: str, compared: bool = False) -> DataFrame:
-        """Links (a, b) among the pairs (a, b); ``compared``: sizes and minima have been compared before."""
-        if compared:
-            return self.on_sets(pairs.join(self._side("a", "at", "class"), "a").join(self._side("b", "at", "class"), "b"), tag)
+    def __call__(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """Links (a, b) among the pairs (a, b)."""
         n, d = self.limit
         every = ("n", "signature", "at", "class")
         near = pairs.join(self._side("a", *every), "a").join(self._side("b", *every), "b").where(d * F.least("n_a", "n_b") >= n * F.greatest("n_a", "n_b"))
@@ -216,6 +215,7 @@ class Confirmer:
         return self.on_sets(near, tag)
 
     def on_sets(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """Links (a, b) among pairs as FULL has them, whose sizes and minima have been compared before."""
         sets = pairs.sparkSession.table(self.name)
         left = sets.select(F.col("at").alias("at_a"), F.col("class").alias("k_a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("at").alias("at_b"), F.col("class").alias("k_b"), F.col("shingles").alias("y"))
@@ -255,6 +255,7 @@ def _cross_pairs(minima: int, min_agree: int, numerator: int, denominator: int,
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, minima)
         keys = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+        at, cls = table.column("at").combine_chunks(), table.column("class").combine_chunks()
         bucket = table.column("bucket")[0].as_py()
         sketch = None if most else np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         names, n = np.unique(comp, return_counts=True)
@@ -274,9 +275,12 @@ def _cross_pairs(minima: int, min_agree: int, numerator: int, denominator: int,
                     hit = hit[(sketch[hit] == sketch[u]).sum(axis=1) >= enough]
                 elif len(hit) > most:
                     hit = hit[np.lexsort((ids[hit], -agree))[:most]]
-                a += np.minimum(ids[hit], ids[u]).tolist()
-                b += np.maximum(ids[hit], ids[u]).tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).group_by(["a", "b"]).aggregate([])
+                a += np.where(ids[hit] < ids[u], hit, u).tolist()
+                b += np.where(ids[hit] < ids[u], u, hit).tolist()
+        once = pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).group_by(["a", "b"]).aggregate([])
+        a, b = (once.column(c).combine_chunks() for c in ("a", "b"))  # places in the table
+        columns = [pa.array(ids).take(a), pa.array(ids).take(b), at.take(a), cls.take(a), at.take(b), cls.take(b)]
+        return pa.table(columns, ["a", "b", "at_a", "c_a", "at_b", "c_b"])
 
     return run
 
@@ -294,33 +298,25 @@ def merged(found: DataFrame, links: DataFrame, tag: str) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, component) of every node of the edges (a, b): alternating large-star and small-star.
 
-    The labels are exact: rounds go on until neither step changes an edge, when
-    every edge leads to the smallest node of its component.
+    The labels are exact: rounds go on until every node with a smaller neighbour
+    has no other one, when every edge leads to the smallest node of its component.
     """
-    def write(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
-        """The table of edges (u, v), and its count and hash sum, seen while it is written."""
-        seen = Observation()
-        hashed = F.xxhash64("u", "v")
-        marked = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(hashed, F.lit(1 << 31))).alias("low"), F.bit_xor(hashed).alias("xor"))
-        out = materialise(marked, tag)
-        return out, tuple(seen.get.get(k) for k in ("n", "low", "xor"))
-
-    now, stamp = write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        if not stamp[0]:
-            break
         # Large-star: every larger neighbour of a node goes to the smallest of its neighbours and itself.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # a table, so that hubs can be split below
+        seen = Observation()
+        near = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
+        near = near.observe(seen, F.count_if((F.col("low") < F.col("u")) & (F.col("n") > 1)).alias("open"))
+        least = materialise(near.select("u", F.least("low", "u").alias("m")), "least")  # a table, so that hubs can be split below
+        if not seen.get.get("open"):
+            break
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "large-star")
         # Small-star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now, after = write(small.where("u <> v").distinct(), "small-star")
-        if after == stamp:
-            break
-        stamp = after
+        now = materialise(small.where("u <> v").distinct(), "small-star")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))  # settled: one edge a node
@@ -353,7 +349,10 @@ def near_duplicates(
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     buckets = materialise(banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
     members = materialise(likely(banded, buckets, "bucket").join(buckets, "bucket"), "members")  # most buckets have one member only
-    confirm = Confirmer(source, reps, members.select("id").distinct(), (seen.get.get("all") or 0) > (seen.get.get("own") or 0), k, lower, numerator, denominator, min_agree)
+    # Further on only representatives in shared buckets, which stay where their ids are joined.
+    reps = gathered(likely(reps, members, "id"), "id").join(members.select("id").distinct(), "id", "left_semi")
+    reps = docs.sparkSession.table(bucketed(reps.select("id", "doc", "class", "n", "signature", "bands", F.xxhash64("doc", "class").alias("at")), "id"))
+    confirm = Confirmer(source, reps, (seen.get.get("all") or 0) > (seen.get.get("own") or 0), k, lower, numerator, denominator, min_agree)
 
     # Every member with the first members of its buckets.
     tried = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -366,18 +365,18 @@ def near_duplicates(
         if several.isEmpty():
             break
         rest = materialise(labelled.join(several, "bucket"), "rest")
-        rest = rest.join(reps.select("id", "n", "signature", "bands"), "id")
-        kept = ["bucket", "id", "n", "component", "signature", "bands", "part"]
+        rest = rest.join(reps.select("id", "n", "signature", "bands", "at", "class"), "id")
+        kept = ["bucket", "id", "n", "component", "signature", "bands", "at", "class", "part"]
         if most is None:
             sets = confirm.sets_of(rest.select("id").distinct())
             rest = rest.join(materialise(map_arrow(sets, _sketches(SKETCH), "id bigint, sketch binary"), "sketches"), "id")
             kept.append("sketch")
         rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         meet = rest.select(*kept, F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-        extra = meet.groupBy("bucket", "i", "j").applyInArrow(_cross_pairs(bands * rows, min_agree, numerator, denominator, most), "a bigint, b bigint").distinct()
+        extra = meet.groupBy("bucket", "i", "j").applyInArrow(_cross_pairs(bands * rows, min_agree, numerator, denominator, most), FULL)
         extra = materialise(extra.join(tried, ["a", "b"], "left_anti"), "extra")
-        tried = tried.unionByName(extra)
-        more = confirm(extra, "rest", compared=True)
+        tried = tried.unionByName(extra.select("a", "b"))
+        more = confirm.on_sets(extra, "rest")
         if not more.isEmpty():
             found = merged(found, more, "rest")
     # A component of nodes is named by the smallest key of its classes.

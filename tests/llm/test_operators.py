@@ -164,6 +164,32 @@ def test_near_duplicates_edges(spark, empty):
     assert all(labels[i] == 0 for i in range(1, 41)) and labels[101] == 100
 
 
+def test_near_duplicates_tables_have_a_file_a_bucket(spark):
+    from provena.llm.minhash_dedup import near_duplicates
+
+    rows = [(2 * i + j, " ".join(f"w{i}x{n}" for n in range(40 + j))) for i in range(60) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    before = {t.name for t in spark.catalog.listTables()}
+    got = near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+    made = [t.name for t in spark.catalog.listTables() if t.name.startswith("provena_") and t.name not in before]
+    assert made and all(len(spark.table(n).inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions")) for n in made)
+
+
+def test_components_of_stars_need_no_further_round(spark, monkeypatch):
+    from provena.llm import minhash_dedup
+
+    tags, write = [], minhash_dedup.materialise
+    monkeypatch.setattr(minhash_dedup, "materialise", lambda df, tag: tags.append(tag) or write(df, tag))
+    stars = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(40, 41), (41, 40), (50, 50)], "a bigint, b bigint")
+    assert {r["id"]: r["component"] for r in minhash_dedup.components(stars).collect()} == {**dict.fromkeys(range(1, 30), 0), 41: 40}
+    assert "large-star" not in tags and "small-star" not in tags
+    tags.clear()
+    open_ends = spark.createDataFrame([(5, 1), (5, 2), (7, 2)], "a bigint, b bigint")  # 5 has two smaller neighbours
+    assert {r["id"]: r["component"] for r in minhash_dedup.components(open_ends).collect()} == {2: 1, 5: 1, 7: 1}
+    assert "small-star" in tags
+
+
 # --- 8: substring dedup -----------------------------------------------------------------
 
 
